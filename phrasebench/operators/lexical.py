@@ -1,10 +1,10 @@
 """Lexical scoring over postings.
 
-The bank is partitioned by document before its text is split into terms, so term counts, document
-norms and the sum of a (query, document) pair all stay inside that one partitioning; only each
-task's best rows per query travel further. Query terms are broadcast when their measured size
-allows; otherwise the join is a shuffle on (term, salt), so a term found in a third of all
-documents is spread over many tasks. No term is ever dropped.
+Both sides are partitioned by text id before the text is split into terms. The side whose measured
+size allows is broadcast; term counts, norms and the sum of a (query, document) pair then stay inside
+the other side's partitioning, and only each task's best rows per query travel further. When neither
+side is small the join is a shuffle on (term, salt), so a term found in a third of all documents is
+spread over many tasks. No term is ever dropped.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ def postings(bank: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    """(query_id, term, qf); a repeated query term counts again through qf."""
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize_ws(text)).alias("term"))
+    """(query_id, term, qf), partitioned by ``query_id``; a repeated query term counts again through qf."""
+    rows = queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("_text")).repartition("query_id")
+    terms = rows.select("query_id", F.explode(tokenize_ws("_text")).alias("term"))
     return terms.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
@@ -45,6 +46,12 @@ class LexicalIndex:
     postings: DataFrame    # doc_id, dl, term, tf
     terms: DataFrame       # term, df, cf, raw_idf
     documents: DataFrame   # doc_id
+    source: DataFrame | None = None  # the bank's text column, when the index was built in this job
+
+    @property
+    def texts(self) -> DataFrame:
+        """What the size check measures; for a stored index the postings' terms."""
+        return self.postings.select("term") if self.source is None else self.source
 
     def n_docs(self) -> Column:
         return self.documents.agg(F.count("*")).scalar()
@@ -70,13 +77,22 @@ def lexical_index(bank: DataFrame, doc_id: str, text: str) -> LexicalIndex:
         post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         .withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     )
-    return LexicalIndex(post, terms, docs)
+    return LexicalIndex(post, terms, docs, bank.select(text))
+
+
+def small_side(queries: DataFrame, query_text: str, bank: DataFrame, limit: int = BROADCAST_BYTES) -> str | None:
+    """Which side may be broadcast, from the size of its text: a term row is at most a few times its word."""
+    if fits_broadcast(queries.select(query_text), limit):
+        return "queries"
+    return "bank" if fits_broadcast(bank, limit) else None
 
 
-def match_terms(post: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+def match_terms(post: DataFrame, terms: DataFrame, small: str | None) -> DataFrame:
     """Postings joined to query terms on ``term``; ``terms`` holds one row per query and term."""
-    if small:
+    if small == "queries":
         return post.join(F.broadcast(terms), "term")
+    if small == "bank":
+        return terms.join(F.broadcast(post), "term")
     salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = post.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return spread.join(salted, ["term", "_salt"]).drop("_salt")
@@ -85,8 +101,8 @@ def match_terms(post: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
 def bm25_scores(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex,
                 k1: float = K1, b: float = B, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, doc_id, lexical) for every pair that shares a term; all other pairs score 0."""
+    small = small_side(queries, query_text, index.texts, limit)
     terms = query_terms(queries, query_id, query_text)
-    small = fits_broadcast(terms, limit)
     terms = terms.join(index.term_stats(), "term").select("query_id", "term", "qf", "idf")
     weight = F.col("qf") * bm25_weight("tf", "dl", "idf", index.avg_length(), k1, b)
     pairs = match_terms(index.postings, terms, small)
@@ -117,8 +133,8 @@ def sparse_scores(queries: DataFrame, query_id: str, query_text: str, index: Lex
     Pairs without a common term are left out: both scores are 0 there.
     """
     vocab = vocabulary(index) if vocab is None else vocab
+    small = small_side(queries, query_text, index.texts, limit)
     q = query_terms(queries, query_id, query_text)
-    small = fits_broadcast(q, limit)
     q = q.join(index.term_stats().select("term", "idf"), "term")
     q = q.join(F.broadcast(vocab.select("term", F.col("idf").alias("v_idf"))), "term", "left")
     q = q.withColumn("_w", F.col("qf") * F.coalesce("v_idf", F.lit(0.0)))

@@ -1,43 +1,36 @@
-"""Declared schemas: the driver tables and the logical corpus tables."""
+"""Declared schemas, as DDL text: the driver tables and the logical corpus tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 TABLES = {
-    "documents": _schema("doc_id bigint, text string, lang string, source string, n_chars bigint"),
-    "labels": _schema("doc_id bigint, quality int, toxic int"),
-    "benchmark": _schema("item_id bigint, text string"),
-    "embeddings": _schema("vec_id bigint, embedding array<float>, label int"),
-    "conversations": _schema("conv_id bigint, turn bigint, role string, text string"),
-    "pages": _schema("page_id bigint, url string, html string"),
-    "events": _schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "pages": "page_id bigint, url string, html string",
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
 }
 
 #: Detection examples: one sentence of one entity with its usage label.
-DETECTION_EXAMPLE = _schema(
+DETECTION_EXAMPLE = (
     "idiom_id string, idiom_canonical string, idiom_surface string, example string, example_normalized string, "
     "example_usage_label string, minimal_pair_id string, context_type string, source_style string, "
     "sentence_length_words int")
 
 #: Retrieval examples with the entity's meaning fields.
-RETRIEVAL_EXAMPLE = _schema(
+RETRIEVAL_EXAMPLE = (
     "idiom_id string, idiom_canonical string, example string, example_usage_label string, is_example_idiom boolean, "
     "validation_status string, semantic_quality string, idiom_canonical_meaning string, "
     "meaning_paraphrases_en string, idiom_level_explanation_en string")
 
 #: Cross-lingual examples.
-CROSS_LINGUAL_EXAMPLE = _schema(
+CROSS_LINGUAL_EXAMPLE = (
     "idiom_id string, idiom_canonical string, idiom_in_example_arabic string, "
     "idiom_in_example_meaning_arabic string, idiom_canonical_meaning_arabic string, is_example_idiom boolean")
 
 #: Training pair of a pair scorer.
-TRAINING_PAIR = _schema("query string, candidate string, label double")
+TRAINING_PAIR = "query string, candidate string, label double"
 
 #: Score table of a retrieval run.
-RANKED = _schema("query_id bigint, rank int, bank_id bigint, score double, entity string, gold string")
+RANKED = "query_id bigint, rank int, bank_id bigint, score double, entity string, gold string"

@@ -15,7 +15,7 @@ __all__ = ["read_table", "load_split", "first_split", "catalogue", "read_csv", "
            "read_vectors", "read_lexical_index", "read_config"]
 
 
-def load_split(spark: SparkSession, root: str, config: str, split: str, schema: T.StructType | None = None) -> DataFrame:
+def load_split(spark: SparkSession, root: str, config: str, split: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A dataset's split: the parquet folder ``root/config/split``."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(f"{root}/{config}/{split}")
@@ -44,7 +44,7 @@ def first_split(spark: SparkSession, root: str, config: str) -> str:
     return row["split"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Delimited text with a header, quoted line breaks and an optional byte-order mark."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     df = reader.csv(path) if schema is None else reader.schema(schema).csv(path)
