@@ -88,7 +88,8 @@ def hybrid_vectors(queries: DataFrame, query_id: str, query_text: str, query_vec
             l_range.drop("n_rows"), "query_id", "left").fillna(0.0, ["lo_lexical", "hi_lexical"])
         dense = dense_topk(todo, query_id, query_vec, bank, bank_id, bank_vec, m).withColumnRenamed("bank_id", "doc_id")
         top_lex = R.rank_topk(lex, m, score="lexical", item="doc_id")
-        ids = dense.select("query_id", "doc_id").union(top_lex.select("query_id", "doc_id")).distinct()
+        ids = dense.select("query_id", "doc_id").join(
+            top_lex.select("query_id", "doc_id"), ["query_id", "doc_id"], "full_outer")
         pool = _both_scores(ids, lex, todo, query_id, query_vec, bank, bank_id, bank_vec)
         fused = F.round(linear_fusion(minmax_scale("dense", "lo_dense", "hi_dense"),
                                       minmax_scale("lexical", "lo_lexical", "hi_lexical"), weight), 6)
