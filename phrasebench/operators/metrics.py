@@ -55,10 +55,11 @@ def class_report(matrix: DataFrame) -> DataFrame:
 
     Takes the confusion table, which has one row per pair of classes.
     """
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    hit = F.when(F.col("gold") == F.col("pred"), n).otherwise(zero)
     cells = matrix.select(F.inline(F.array(
-        F.struct(F.col("gold").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
-                 F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0).alias("tp")),
-        F.struct(F.col("pred").alias("cls"), F.lit(0).cast("long"), F.col("n"), F.lit(0).cast("long")))))
+        F.struct(F.col("gold").alias("cls"), n.alias("support"), zero.alias("predicted"), hit.alias("tp")),
+        F.struct(F.col("pred").alias("cls"), zero.alias("support"), n.alias("predicted"), zero.alias("tp")))))
     per = cells.groupBy("cls").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
                                    F.sum("tp").alias("tp"))
     per = per.withColumns({"precision": safe_ratio("tp", "predicted"), "recall": safe_ratio("tp", "support")})

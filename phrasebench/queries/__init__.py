@@ -6,7 +6,7 @@ import importlib
 
 from phrasebench.queries.registry import ORACLES, QUERIES
 
-for _name in ("corpus", "text", "splits", "retrieval"):
+for _name in ("corpus", "text", "splits", "retrieval", "evaluation", "artifacts"):
     importlib.import_module(f"phrasebench.queries.{_name}")
 
 __all__ = ["QUERIES", "ORACLES"]
