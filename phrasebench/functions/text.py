@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
+#: Word endings to cut: ing after three letters or more, ed after three, s after four.
+WORD_ENDINGS = r"\b(?:([a-z]{3,})ing|([a-z]{3,})ed|([a-z]{4,})s)\b"
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -55,9 +59,14 @@ def light_stem(x: Column | str) -> Column:
 
 
 def normal_tokens(x: Column | str) -> Column:
-    """White-space tokens cut to ASCII letters and stemmed; tokens left empty are dropped."""
-    stems = F.transform(tokenize_ws(x), lambda t: light_stem(letters_only(t)))
-    return F.array_remove(stems, "")
+    """White-space tokens cut to ASCII letters and stemmed; tokens left empty are dropped.
+
+    Same words as ``light_stem(letters_only(token))`` per token, done on the whole text at once: drop
+    what is neither letter nor white space, cut endings off whole words, split.
+    """
+    letters = F.regexp_replace(F.lower(_c(x)), r"[^a-z\s\x1c-\x1f\x85\p{Z}]", "")
+    stems = F.regexp_replace(letters, WORD_ENDINGS, "$1$2$3")
+    return F.array_remove(F.split(stems, SPACE_RUN), "")
 
 
 def padded_run(tokens: Column | str) -> Column:

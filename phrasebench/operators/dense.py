@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasebench.operators.ordering import top_k_per
@@ -26,17 +26,25 @@ BLOCK_ROWS = 4096
 _CHUNK = 512
 
 
-def _blocked(queries: DataFrame, bank: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    n_q, n_b = (max(1, -(-df.count() // block_rows)) for df in (queries, bank))
+def _block(n: int, col: str = "id") -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+
+
+def _block_counts(queries: DataFrame, bank: DataFrame, block_rows: int) -> tuple[int, int]:
+    return tuple(max(1, -(-df.count() // block_rows)) for df in (queries, bank))
 
-    def block(n: int):
-        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
-    q = queries.withColumn("qb", block(n_q)).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
-    b = bank.withColumn("bb", block(n_b)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+def _spread(queries: DataFrame, bank: DataFrame, n_q: int, n_b: int) -> tuple[DataFrame, DataFrame]:
+    """Every query block to every bank block: a row is copied once per block of the other side."""
+    q = queries.withColumn("qb", _block(n_q)).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
+    b = bank.withColumn("bb", _block(n_b)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     return q, b
 
 
+def _blocked(queries: DataFrame, bank: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    return _spread(queries, bank, *_block_counts(queries, bank, block_rows))
+
+
 def _matrix(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
     ids = table.column("id").combine_chunks()
     flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -110,3 +118,64 @@ def dense_range(queries: DataFrame, query_id: str, query_vec: str,
     found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(
         range_of_block, f"query_id {q_type}, lo double, hi double")
     return found.groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def fused_topk(queries: DataFrame, query_id: str, query_vec: str,
+               bank: DataFrame, bank_id: str, bank_vec: str,
+               lexical: DataFrame, ranges: DataFrame, k: int, weight: float = 0.8,
+               decimals: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, doc_id, dense, lexical, score, rank): exact top ``k`` of scaled dense + lexical.
+
+    ``lexical`` holds the non-zero lexical scores (query_id, doc_id, lexical); they travel to the block
+    pair of their two rows. ``ranges`` has lo/hi of both scores over the whole bank per query.
+    """
+    qs, bs = _vectors(queries, query_id, query_vec), _vectors(bank, bank_id, bank_vec)
+    n_q, n_b = _block_counts(qs, bs, block_rows)
+    limits = ["lo_dense", "hi_dense", "lo_lexical", "hi_lexical"]
+    q, b = _spread(qs, bs, n_q, n_b)
+    q = q.join(ranges.select(F.col("query_id").alias("id"), *limits), "id")
+    pairs = lexical.select(_block(n_q, "query_id").alias("qb"), _block(n_b, "doc_id").alias("bb"),
+                           F.col("query_id").alias("id"), "doc_id", "lexical")
+    left = q.unionByName(pairs, allowMissingColumns=True)
+    q_type, b_type = (df.schema["id"].dataType.simpleString() for df in (q, b))
+
+    def best_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_query = pa.compute.is_valid(left.column("vec"))
+        asked, found = left.filter(is_query), left.filter(pa.compute.invert(is_query))
+        parts = []
+        if asked.num_rows and right.num_rows:
+            q_ids, q_vec = _matrix(asked)
+            b_ids, b_vec = _by_id(*_matrix(right))
+            lo_d, hi_d, lo_l, hi_l = (asked.column(c).to_numpy().astype(np.float64)[:, None] for c in limits)
+            rows = pa.compute.index_in(found.column("id").combine_chunks(), q_ids).to_numpy(zero_copy_only=False)
+            cols = pa.compute.index_in(found.column("doc_id").combine_chunks(), b_ids).to_numpy(zero_copy_only=False)
+            vals = found.column("lexical").to_numpy()
+            known = ~(np.isnan(rows.astype(float)) | np.isnan(cols.astype(float)))
+            rows, cols, vals = rows[known].astype(int), cols[known].astype(int), vals[known]
+            keep = min(k, len(b_ids))
+
+            def scaled(x, lo, hi):
+                span = hi - lo
+                return np.where(span < 1e-12, 0.0, (x - lo) / np.where(span < 1e-12, 1.0, span))
+
+            for start in range(0, len(q_ids), _CHUNK):
+                part = slice(start, start + _CHUNK)
+                dense = np.round(q_vec[part] @ b_vec.T, decimals)
+                lex = np.zeros_like(dense)
+                here = (rows >= start) & (rows < start + _CHUNK)
+                lex[rows[here] - start, cols[here]] = vals[here]
+                score = np.round(weight * scaled(dense, lo_d[part], hi_d[part])
+                                 + (1 - weight) * scaled(lex, lo_l[part], hi_l[part]), decimals)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
+                ask = np.repeat(np.arange(start, start + len(score)), keep)
+                take = [pa.array(np.take_along_axis(m, best, axis=1).ravel()) for m in (dense, lex, score)]
+                parts.append(pa.table([q_ids.take(pa.array(ask)), b_ids.take(pa.array(best.ravel())), *take], names=names))
+        if parts:
+            return pa.concat_tables(parts)
+        none = pa.array([], pa.float64())
+        return pa.table([left.column("id").slice(0, 0), right.column("id").slice(0, 0), none, none, none], names=names)
+
+    names = ["query_id", "doc_id", "dense", "lexical", "score"]
+    found = left.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(
+        best_of_block, f"query_id {q_type}, doc_id {b_type}, dense double, lexical double, score double")
+    return top_k_per(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)

@@ -20,8 +20,9 @@ def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None, d
         ranges = vals.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
         vals = vals.groupBy(*by, "_x").agg(F.count("*").alias("_c")).join(ranges, by)
     else:
-        lo, hi, n = (vals.agg(f).scalar() for f in (F.min("_x"), F.max("_x"), F.count("*")))
-        vals = vals.groupBy("_x").agg(F.count("*").alias("_c")).withColumns({"_lo": lo, "_hi": hi, "_n": n})
+        facts = vals.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n"))).scalar()
+        vals = vals.groupBy("_x").agg(F.count("*").alias("_c")).withColumns({
+            "_lo": facts["lo"], "_hi": facts["hi"], "_n": facts["n"]})
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / width))).otherwise(0)
     placed = vals.withColumns({"bin": place.cast("int"), "_w": width})
@@ -40,8 +41,10 @@ def kde(df: DataFrame, col: str, points: int = 100, cut: float = 3.0) -> DataFra
     Equal values are counted first; each distinct value then meets the ``points`` grid places.
     """
     vals = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_x"))
-    h = vals.agg(F.stddev_samp("_x") * F.pow(F.count("*"), F.lit(-0.2))).scalar()
-    lo, hi, n = (vals.agg(f).scalar() for f in (F.min("_x"), F.max("_x"), F.count("*")))
+    facts = vals.agg(F.struct(
+        (F.stddev_samp("_x") * F.pow(F.count("*"), F.lit(-0.2))).alias("h"),
+        F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n"))).scalar()
+    h, lo, hi, n = (facts[f] for f in ("h", "lo", "hi", "n"))
     counted = vals.groupBy("_x").agg(F.count("*").alias("_c"))
     counted = counted.withColumns({"_h": h, "_a": lo - cut * h, "_b": hi + cut * h, "_n": n})
     grid = counted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
@@ -63,8 +66,8 @@ def outcome_stats(df: DataFrame, score: str, correct: str) -> DataFrame:
 def calibration(df: DataFrame, score: str, correct: str, bins: int = 10, min_count: int = 100) -> DataFrame:
     """(bin, mean_score, accuracy, n) for right-closed equal-width bins with at least ``min_count`` rows."""
     vals = df.where(F.col(score).isNotNull())
-    lo, hi = (vals.agg(f(score)).scalar() for f in (F.min, F.max))
-    placed = vals.withColumns({"_lo": lo, "_hi": hi})
+    facts = vals.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
+    placed = vals.withColumns({"_lo": facts["lo"], "_hi": facts["hi"]})
     at = F.ceil((F.col(score) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo")))
     placed = placed.withColumn("bin", F.coalesce(F.greatest(F.lit(1), at), F.lit(1)).cast("int"))
     out = placed.groupBy("bin").agg(F.avg(score).alias("mean_score"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from phrasebench.functions.numeric import bm25_weight, r6, safe_ratio
 from phrasebench.functions.text import tokenize_ws
-from phrasebench.session import BROADCAST_BYTES, fits_broadcast
+from phrasebench.session import BROADCAST_BYTES, fits_broadcast, scratch_path, store_bucketed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_FEATURES, MIN_DF = 30_000, 2
@@ -56,11 +56,15 @@ class LexicalIndex:
     def n_docs(self) -> Column:
         return self.documents.agg(F.count("*")).scalar()
 
+    def _term_facts(self) -> Column:
+        """Mean idf and number of tokens, one scalar subquery for both."""
+        return self.terms.agg(F.struct(F.avg("raw_idf").alias("mean_idf"), F.sum("cf").alias("tokens"))).scalar()
+
     def avg_length(self) -> Column:
-        return self.terms.agg(F.sum("cf")).scalar() / self.n_docs()
+        return self._term_facts()["tokens"] / self.n_docs()
 
     def mean_idf(self) -> Column:
-        return self.terms.agg(F.avg("raw_idf")).scalar()
+        return self._term_facts()["mean_idf"]
 
     def term_stats(self) -> DataFrame:
         """(term, df, cf, idf): a negative idf becomes a quarter of the mean idf."""
@@ -69,15 +73,21 @@ class LexicalIndex:
         return self.terms.select("term", "df", "cf", idf.alias("idf"))
 
 
-def lexical_index(bank: DataFrame, doc_id: str, text: str) -> LexicalIndex:
-    post = postings(bank, doc_id, text)
+def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = None) -> LexicalIndex:
+    """Build the index once: postings in bucket files by document, one statistics row per term.
+
+    ``path`` keeps it for later jobs; without one it goes to the shared scratch folder.
+    """
+    root = path or scratch_path(bank.sparkSession, "lexical")
+    post = store_bucketed(postings(bank, doc_id, text), f"{root}/postings", "doc_id")
     docs = bank.select(F.col(doc_id).alias("doc_id"))
     n = docs.agg(F.count("*")).scalar()
     terms = (
         post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         .withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     )
-    return LexicalIndex(post, terms, docs, bank.select(text))
+    terms.write.parquet(f"{root}/terms")
+    return LexicalIndex(post, bank.sparkSession.read.schema(terms.schema).parquet(f"{root}/terms"), docs, bank.select(text))
 
 
 def small_side(queries: DataFrame, query_text: str, bank: DataFrame, limit: int = BROADCAST_BYTES) -> str | None:
@@ -170,16 +180,23 @@ def token_run_matches(queries: DataFrame, query_id: str, query_tokens: str,
     p = phrases.select(F.col(phrase_id).alias("phrase_id"), F.col(phrase_tokens).alias("_p"))
     p = p.where(F.size("_p") > 0)
 
-    def runs(tokens: str, width: Column) -> Column:
-        starts = F.when(F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - width + 1))
-        made = F.transform(starts, lambda i: F.array_join(F.slice(F.col(tokens), i, width), " "))
-        return F.array_distinct(made)
-
-    p_runs = p.select("phrase_id", F.explode(runs("_p", F.least(F.lit(anchor), F.size("_p")))).alias("run"))
-    widths = F.array(*[F.lit(w) for w in range(1, anchor + 1)])
-    q_runs = q.select("query_id", F.explode(widths).alias("_w"), "_q").select(
-        "query_id", F.explode(runs("_q", F.col("_w"))).alias("run"))
-    q_runs = q_runs.join(p_runs.select("run").distinct(), "run", "left_semi")
+    def runs(tokens: str) -> Column:
+        """Per width 1..anchor: (width, every run of that many tokens), built by pairing shifted arrays."""
+        made, last = [], F.col(tokens)
+        for width in range(1, anchor + 1):
+            made.append(F.struct(F.lit(width).alias("width"), last.alias("runs")))
+            shifted = F.slice(F.col(tokens), F.lit(width + 1), F.greatest(F.size(tokens) - width, F.lit(0)))
+            heads = F.slice(last, F.lit(1), F.size(shifted))
+            last = F.zip_with(heads, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array(*made)
+
+    p_runs = p.select("phrase_id", F.least(F.lit(anchor), F.size("_p")).alias("_need"), F.inline(runs("_p")))
+    p_runs = p_runs.where(F.col("width") == F.col("_need")).select("phrase_id", F.explode("runs").alias("run")).distinct()
+    # only widths some phrase needs: at most ``anchor`` values
+    widths = p.agg(F.collect_set(F.least(F.lit(anchor), F.size("_p")))).scalar()
+    q_runs = q.select("query_id", F.inline(runs("_q"))).where(F.array_contains(widths, F.col("width")))
+    q_runs = q_runs.select("query_id", F.explode("runs").alias("run"))
+    q_runs = q_runs.join(p_runs.select("run").distinct(), "run", "left_semi").distinct()
     counts = q_runs.groupBy("run").agg(F.count("*").alias("n"))
     rarest = (
         p_runs.join(counts, "run").groupBy("phrase_id")

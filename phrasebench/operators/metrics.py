@@ -85,9 +85,8 @@ def roc(scored: DataFrame, score: str, gold: str) -> DataFrame:
         F.sum(F.when(F.col(gold) == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col(gold) == 1, 0).otherwise(1)).alias("_neg"))
     points = running_sums(at, [F.desc("threshold")], {"_pos": "tp", "_neg": "fp"}).drop("_pos", "_neg")
-    totals = scored.where(F.col(score).isNotNull() & F.col(gold).isNotNull())
-    pos = totals.agg(F.count_if(F.col(gold) == 1)).scalar()
-    neg = totals.agg(F.count_if(F.col(gold) != 1)).scalar()
+    totals = points.agg(F.struct(F.max("tp").alias("pos"), F.max("fp").alias("neg"))).scalar()
+    pos, neg = totals["pos"], totals["neg"]
     start = points.sparkSession.createDataFrame([(float("inf"), 0, 0)], "threshold double, tp long, fp long")
     every = start.unionByName(points)
     return every.select("threshold", "tp", "fp", safe_ratio("tp", pos).alias("tpr"), safe_ratio("fp", neg).alias("fpr"))

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasebench.functions.numeric import dot, l2_normalize, linear_fusion, minmax_scale, r6
+from phrasebench.functions.numeric import r6
 from phrasebench.functions.text import normal_tokens, phrase_boost, phrase_score
 from phrasebench.operators import clean as C
 from phrasebench.operators import fusion as Fu
 from phrasebench.operators import metrics as M
 from phrasebench.operators import rank as R
-from phrasebench.operators.dense import dense_range, dense_topk
+from phrasebench.operators.dense import dense_range, dense_topk, fused_topk
 from phrasebench.operators.lexical import LexicalIndex, bm25_scores, lexical_index, sparse_scores
 from phrasebench.operators.rerank import PairScorer, training_pairs
 from phrasebench.session import cut_lineage
@@ -68,59 +68,16 @@ def hybrid_pooled(queries: DataFrame, query_id: str, query_text: str, bank: Data
 
 def hybrid_vectors(queries: DataFrame, query_id: str, query_text: str, query_vec: str,
                    bank: DataFrame, bank_id: str, bank_text: str, bank_vec: str,
-                   k: int = 10, weight: float = 0.8, fetch_k: int = 64) -> DataFrame:
-    """Exact whole-bank fusion of vector cosine and BM25 without scoring every pair twice.
-
-    Both lists are cut to ``fetch_k``; a row in neither list scores at most what the two cut-off
-    scores fuse to. Queries whose k-th fused score does not beat that bound are run again with
-    lists twice as long, until none is left or the lists hold the whole bank.
-    """
+                   k: int = 10, weight: float = 0.8) -> DataFrame:
+    """Exact whole-bank fusion of vector cosine and BM25: ranges first, then the fused block product."""
     index = lexical_index(bank, bank_id, bank_text)
-    n_bank = bank.count()
-    todo, done = queries, None
-    while True:
-        m = min(fetch_k, n_bank)
-        lex = cut_lineage(bm25_scores(todo, query_id, query_text, index))
-        d_range = dense_range(todo, query_id, query_vec, bank, bank_id, bank_vec)
-        l_range = Fu.score_ranges(lex, ["lexical"]).withColumn(
-            "lo_lexical", F.when(F.col("n_rows") < n_bank, F.lit(0.0)).otherwise(F.col("lo_lexical")))
-        ranges = d_range.withColumnsRenamed({"lo": "lo_dense", "hi": "hi_dense"}).join(
-            l_range.drop("n_rows"), "query_id", "left").fillna(0.0, ["lo_lexical", "hi_lexical"])
-        dense = dense_topk(todo, query_id, query_vec, bank, bank_id, bank_vec, m).withColumnRenamed("bank_id", "doc_id")
-        top_lex = R.rank_topk(lex, m, score="lexical", item="doc_id")
-        ids = dense.select("query_id", "doc_id").join(
-            top_lex.select("query_id", "doc_id"), ["query_id", "doc_id"], "full_outer")
-        pool = _both_scores(ids, lex, todo, query_id, query_vec, bank, bank_id, bank_vec)
-        fused = F.round(linear_fusion(minmax_scale("dense", "lo_dense", "hi_dense"),
-                                      minmax_scale("lexical", "lo_lexical", "hi_lexical"), weight), 6)
-        scored = pool.join(ranges, "query_id").withColumn("score", fused)
-        ranked = R.rank_topk(scored, k, item="doc_id").select("query_id", "doc_id", "dense", "lexical", "score", "rank")
-        # the best a row outside both lists can reach
-        d_edge = dense.groupBy("query_id").agg(F.min("score").alias("d_edge"))
-        l_edge = top_lex.groupBy("query_id").agg(
-            F.when(F.count("*") < m, F.lit(0.0)).otherwise(F.min("lexical")).alias("l_edge"))
-        bound = linear_fusion(minmax_scale("d_edge", "lo_dense", "hi_dense"),
-                              minmax_scale(F.coalesce("l_edge", F.lit(0.0)), "lo_lexical", "hi_lexical"), weight)
-        edge = ranges.join(d_edge, "query_id").join(l_edge, "query_id", "left").select("query_id", bound.alias("bound"))
-        kth = ranked.groupBy("query_id").agg(F.min("score").alias("kth"))
-        state = cut_lineage(ranked.join(kth.join(edge, "query_id"), "query_id")
-                            .withColumn("settled", (F.col("kth") > F.col("bound") + 1e-6) | F.lit(m >= n_bank)))
-        part = state.where("settled").drop("kth", "bound", "settled")
-        done = part if done is None else done.unionByName(part)
-        if m >= n_bank or state.where("NOT settled").isEmpty():
-            return done
-        open_ids = state.where("NOT settled").select(F.col("query_id").alias(query_id)).distinct()
-        todo, fetch_k = todo.join(open_ids, query_id, "left_semi"), fetch_k * 2
-
-
-def _both_scores(ids: DataFrame, lex: DataFrame, queries: DataFrame, query_id: str, query_vec: str,
-                 bank: DataFrame, bank_id: str, bank_vec: str) -> DataFrame:
-    """Exact dense and lexical score of every (query, row) in a candidate list."""
-    q = queries.select(F.col(query_id).alias("query_id"), l2_normalize(query_vec).alias("_qv"))
-    b = bank.select(F.col(bank_id).alias("doc_id"), l2_normalize(bank_vec).alias("_bv"))
-    out = ids.join(q, "query_id").join(b, "doc_id")
-    out = out.withColumn("dense", F.coalesce(F.round(dot("_qv", "_bv"), 6), F.lit(0.0))).drop("_qv", "_bv")
-    return Fu.attach_lexical(out, lex, ["query_id", "doc_id"])
+    lex = cut_lineage(bm25_scores(queries, query_id, query_text, index))
+    low = F.when(F.col("n_rows") < index.n_docs(), F.lit(0.0)).otherwise(F.col("lo_lexical"))
+    l_range = Fu.score_ranges(lex, ["lexical"]).withColumn("lo_lexical", low).drop("n_rows")
+    d_range = dense_range(queries, query_id, query_vec, bank, bank_id, bank_vec)
+    ranges = d_range.withColumnsRenamed({"lo": "lo_dense", "hi": "hi_dense"}).join(l_range, "query_id", "left")
+    ranges = ranges.fillna(0.0, ["lo_lexical", "hi_lexical"])
+    return fused_topk(queries, query_id, query_vec, bank, bank_id, bank_vec, lex, ranges, k, weight)
 
 
 def with_boost(scored: DataFrame, base: str, queries: DataFrame, query_id: str, query_text: str,

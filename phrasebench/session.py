@@ -60,6 +60,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Write ``df`` hashed by ``key`` into bucket files under ``path`` and open it as a table.
+
+    Joins and aggregates that include ``key`` then need no shuffle, in this job or a later one.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"phrasebench_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, key: str, buckets: int, ddl: str) -> DataFrame:
+    """Open bucket files written by an earlier job, keeping their partitioning."""
+    name = f"phrasebench_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def _column_bytes(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):

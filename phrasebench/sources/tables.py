@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phrasebench.operators.lexical import LexicalIndex
-from phrasebench.session import read_table
+from phrasebench.session import open_bucketed, read_table
 
 __all__ = ["read_table", "load_split", "first_split", "catalogue", "read_csv", "inline_table",
            "read_vectors", "read_lexical_index", "read_config"]
@@ -60,7 +60,9 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
-    return LexicalIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "documents")])
+    meta = read_config(spark, f"{path}/meta")
+    post = open_bucketed(spark, f"{path}/postings", "doc_id", meta["buckets"], meta["columns"])
+    return LexicalIndex(post, *[spark.read.parquet(f"{path}/{part}") for part in ("terms", "documents")])
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
