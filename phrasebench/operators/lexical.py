@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from phrasebench.functions.numeric import bm25_weight, r6, safe_ratio
 from phrasebench.functions.text import tokenize_ws
-from phrasebench.session import BROADCAST_BYTES, fits_broadcast, scratch_path, store_bucketed
+from phrasebench.session import cut_lineage, measured_bytes, scratch_path, store_bucketed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_FEATURES, MIN_DF = 30_000, 2
 SALTS = 32
+#: Text that may be broadcast as term rows; the rows take about ten times the text's size.
+TEXT_BYTES = 8 * 1024 * 1024
 
 
 def postings(bank: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -90,11 +92,13 @@ def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = No
     return LexicalIndex(post, bank.sparkSession.read.schema(terms.schema).parquet(f"{root}/terms"), docs, bank.select(text))
 
 
-def small_side(queries: DataFrame, query_text: str, bank: DataFrame, limit: int = BROADCAST_BYTES) -> str | None:
-    """Which side may be broadcast, from the size of its text: a term row is at most a few times its word."""
-    if fits_broadcast(queries.select(query_text), limit):
-        return "queries"
-    return "bank" if fits_broadcast(bank, limit) else None
+def small_side(queries: DataFrame, query_text: str, bank: DataFrame, limit: int = TEXT_BYTES) -> str | None:
+    """The smaller side, if its measured text may be broadcast as term rows; else None."""
+    if limit <= 0:
+        return None
+    sizes = {"queries": measured_bytes(queries.select(query_text)), "bank": measured_bytes(bank)}
+    side = min(sizes, key=sizes.get)
+    return side if sizes[side] <= limit else None
 
 
 def match_terms(post: DataFrame, terms: DataFrame, small: str | None) -> DataFrame:
@@ -109,7 +113,7 @@ def match_terms(post: DataFrame, terms: DataFrame, small: str | None) -> DataFra
 
 
 def bm25_scores(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex,
-                k1: float = K1, b: float = B, limit: int = BROADCAST_BYTES) -> DataFrame:
+                k1: float = K1, b: float = B, limit: int = TEXT_BYTES) -> DataFrame:
     """(query_id, doc_id, lexical) for every pair that shares a term; all other pairs score 0."""
     small = small_side(queries, query_text, index.texts, limit)
     terms = query_terms(queries, query_id, query_text)
@@ -136,7 +140,7 @@ def tfidf_weights(index: LexicalIndex, vocab: DataFrame) -> DataFrame:
 
 
 def sparse_scores(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex,
-                  vocab: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+                  vocab: DataFrame | None = None, limit: int = TEXT_BYTES) -> DataFrame:
     """(query_id, doc_id, dense, lexical) from one pass over the postings.
 
     ``dense`` is the cosine of tf-idf vectors, the stand-in for an encoder; ``lexical`` is BM25.
@@ -196,17 +200,17 @@ def token_run_matches(queries: DataFrame, query_id: str, query_tokens: str,
     widths = p.agg(F.collect_set(F.least(F.lit(anchor), F.size("_p")))).scalar()
     q_runs = q.select("query_id", F.inline(runs("_q"))).where(F.array_contains(widths, F.col("width")))
     q_runs = q_runs.select("query_id", F.explode("runs").alias("run"))
-    q_runs = q_runs.join(p_runs.select("run").distinct(), "run", "left_semi").distinct()
+    # one pass over the texts; what is left is only runs some phrase has
+    q_runs = cut_lineage(q_runs.join(p_runs.select("run").distinct(), "run", "left_semi").distinct())
     counts = q_runs.groupBy("run").agg(F.count("*").alias("n"))
-    rarest = (
-        p_runs.join(counts, "run").groupBy("phrase_id")
-        .agg(F.min_by("run", F.struct("n", "run")).alias("run"), F.count("*").alias("_found"))
+    best = (
+        p_runs.join(counts, "run", "left").groupBy("phrase_id")
+        .agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("run"))
     )
-    all_runs = p_runs.groupBy("phrase_id").agg(F.count("*").alias("_all"))
-    # a phrase with a run that no text holds cannot match
-    anchors = rarest.join(all_runs, "phrase_id").where(F.col("_found") == F.col("_all"))
-    hits = anchors.select("phrase_id", "run").join(q_runs, "run").select("query_id", "phrase_id")
-    checked = hits.join(q, "query_id").join(p, "phrase_id")
+    # a phrase with a run that no text holds keeps that run, and so finds nothing
+    hits = cut_lineage(best.join(q_runs, "run").select("query_id", "phrase_id"))
+    texts = q.join(hits.select("query_id").distinct(), "query_id", "left_semi")
+    checked = hits.join(texts, "query_id").join(p, "phrase_id")
     inside = F.contains(
         F.concat(F.lit(" "), F.array_join("_q", " "), F.lit(" ")),
         F.concat(F.lit(" "), F.array_join("_p", " "), F.lit(" ")))

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasebench.functions.numeric import r6
-from phrasebench.functions.text import normal_tokens, phrase_boost, phrase_score
+from phrasebench.functions.text import normal_tokens, phrase_boost
 from phrasebench.operators import clean as C
 from phrasebench.operators import fusion as Fu
 from phrasebench.operators import metrics as M
 from phrasebench.operators import rank as R
 from phrasebench.operators.dense import dense_range, dense_topk, fused_topk
-from phrasebench.operators.lexical import LexicalIndex, bm25_scores, lexical_index, sparse_scores
+from phrasebench.operators.lexical import (
+    LexicalIndex, bm25_scores, lexical_index, sparse_scores, token_run_matches)
 from phrasebench.operators.rerank import PairScorer, training_pairs
 from phrasebench.session import cut_lineage
 
@@ -82,12 +83,18 @@ def hybrid_vectors(queries: DataFrame, query_id: str, query_text: str, query_vec
 
 def with_boost(scored: DataFrame, base: str, queries: DataFrame, query_id: str, query_text: str,
                bank: DataFrame, bank_id: str, entity: str, phrase: str, item: str = "doc_id") -> DataFrame:
-    """Add entity, ``phrase_boost`` and ``score`` = base + boost to candidate rows."""
-    q = queries.select(F.col(query_id).alias("query_id"), normal_tokens(query_text).alias("_q"))
-    b = bank.select(F.col(bank_id).alias(item), F.col(entity).alias("entity"), normal_tokens(phrase).alias("_p"))
-    out = scored.join(q, "query_id").join(b, item)
-    out = out.withColumn("phrase_boost", phrase_boost(phrase_score("_p", "_q")))
-    return out.withColumn("score", r6(F.col(base) + F.col("phrase_boost"))).drop("_p", "_q")
+    """Add entity, ``phrase_boost`` and ``score`` = base + boost to candidate rows.
+
+    Phrase hits come from the run join, so no candidate row carries its query's text.
+    """
+    q = queries.select(F.col(query_id).alias("_q_id"), normal_tokens(query_text).alias("_q"))
+    b = bank.select(F.col(bank_id).alias("_b_id"), normal_tokens(phrase).alias("_p"))
+    hits = token_run_matches(q, "_q_id", "_q", b, "_b_id", "_p").select(
+        "query_id", F.col("phrase_id").alias(item), F.lit(1.0).alias("_match"))
+    names = bank.select(F.col(bank_id).alias(item), F.col(entity).alias("entity"))
+    out = scored.join(names, item).join(hits, ["query_id", item], "left")
+    out = out.withColumn("phrase_boost", phrase_boost(F.coalesce("_match", F.lit(0.0))))
+    return out.withColumn("score", r6(F.col(base) + F.col("phrase_boost"))).drop("_match")
 
 
 def rerank_candidates(candidates: DataFrame, scorer: PairScorer, k: int) -> DataFrame:

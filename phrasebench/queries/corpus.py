@@ -274,7 +274,7 @@ def _(t):
  round(count(DISTINCT w) / count(*), 6) AS type_token_ratio FROM (SELECT unnest({tokens_of('text')}) AS w FROM documents)""")
 def _(t):
     """A15, X05"""
-    return P.token_totals(t.documents, "text").withColumn("type_token_ratio", r6("type_token_ratio"))
+    return P.token_totals(t.texts, "text").withColumn("type_token_ratio", r6("type_token_ratio"))
 
 
 HIST = """r AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM v),
@@ -286,7 +286,7 @@ SELECT bin, count(*) AS n, round(max(lo) + bin * max(w), 6) AS lo, round(max(lo)
 def _(t):
     """Histogram of text lengths in words, 30 bins."""
     from phrasebench.functions.text import tokenize_ws
-    lengths = t.documents.select(F.size(tokenize_ws("text")).alias("words"))
+    lengths = t.texts.select(F.size(tokenize_ws("text")).alias("words"))
     return G.histogram(lengths, "words", 30).withColumns({"lo": r6("lo"), "hi": r6("hi")})
 
 
@@ -316,7 +316,7 @@ FROM g, c GROUP BY i, gx""")
 def _(t):
     """Kernel density of text lengths."""
     from phrasebench.functions.text import tokenize_ws
-    lengths = t.documents.select(F.size(tokenize_ws("text")).alias("words"))
+    lengths = t.texts.select(F.size(tokenize_ws("text")).alias("words"))
     return G.kde(lengths, "words").withColumns({"x": r6("x"), "density": r6("density")})
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasebench.session import read_table
+from phrasebench.session import read_table, spread_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return read_table(self.spark, self.root, name)
 
+    @property
+    def texts(self) -> DataFrame:
+        """Documents for work that is heavy per row."""
+        return spread_small(self.documents)
+
     @property
     def examples(self) -> DataFrame:
         """Documents with their labels, null where unlabelled."""

@@ -71,7 +71,7 @@ def _(t):
 @query("light_stem", f"SELECT w AS word, {stem_of('w')} AS stem, count(*) AS n FROM (SELECT unnest({tokens_of('text')}) AS w FROM documents) GROUP BY 1, 2")
 def _(t):
     """X11: stem of every word of the corpus."""
-    words = t.documents.select(F.explode(X.tokenize_ws("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = t.texts.select(F.explode(X.tokenize_ws("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return words.select("word", X.light_stem("word").alias("stem"), "n")
 
 
@@ -95,7 +95,7 @@ p AS (SELECT item_id, ' ' || array_to_string({norm_of('text')}, ' ') || ' ' AS p
 SELECT doc_id AS query_id, item_id AS phrase_id FROM d, p WHERE contains(q, p)""")
 def _(t):
     """Which passages occur as a token run of which document; anchor runs joined, hits verified."""
-    docs = t.documents.select("doc_id", X.normal_tokens("text").alias("q"))
+    docs = t.texts.select("doc_id", X.normal_tokens("text").alias("q"))
     items = t.benchmark.select("item_id", X.normal_tokens("text").alias("p"))
     return token_run_matches(docs, "doc_id", "q", items, "item_id", "p")
 

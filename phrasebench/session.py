@@ -9,10 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Largest side that may be broadcast, measured on the data before the hint is given.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
 def build_session(app: str = "phrasebench", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution and skew-join handling on; other settings stay the cluster's."""
     builder = SparkSession.builder.appName(app)
@@ -96,14 +92,14 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(total).alias("b")).first()["b"] or 0
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return limit > 0 and measured_bytes(df) <= limit
-
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}.parquet")
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` when its measured size allows; else leave the join strategy to Spark."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a table read from too few file splits over all cores; a table with enough is left alone.
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    Only for tables read straight from files: asking for their splits starts no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
