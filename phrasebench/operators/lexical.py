@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from phrasebench.functions.numeric import bm25_weight, r6, safe_ratio
 from phrasebench.functions.text import tokenize_ws
@@ -146,30 +147,25 @@ def sparse_scores(queries: DataFrame, query_id: str, query_text: str, index: Lex
     ``dense`` is the cosine of tf-idf vectors, the stand-in for an encoder; ``lexical`` is BM25.
     Pairs without a common term are left out: both scores are 0 there.
     """
-    vocab = vocabulary(index) if vocab is None else vocab
+    vocab = cut_lineage(vocabulary(index) if vocab is None else vocab)
     small = small_side(queries, query_text, index.texts, limit)
-    q = query_terms(queries, query_id, query_text)
-    q = q.join(index.term_stats().select("term", "idf"), "term")
-    q = q.join(F.broadcast(vocab.select("term", F.col("idf").alias("v_idf"))), "term", "left")
-    q = q.withColumn("_w", F.col("qf") * F.coalesce("v_idf", F.lit(0.0)))
-    q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("q_norm"))
-    q = q.join(q_norm, "query_id").select("query_id", "term", "qf", "idf", "v_idf", "_w", "q_norm")
-
-    # stays in the postings' partitioning by document
-    weighted = index.postings.join(F.broadcast(vocab.select("term", F.col("idf").alias("d_idf"))), "term")
-    w = F.col("tf") * F.col("d_idf")
-    d_norm = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("d_norm"))
-
+    q = query_terms(queries, query_id, query_text).join(index.term_stats().select("term", "idf"), "term")
+    q = _with_norm(q, vocab, "query_id", "qf", "q")
+    d = _with_norm(index.postings, vocab, "doc_id", "tf", "d")
     bm25 = F.col("qf") * bm25_weight("tf", "dl", "idf", index.avg_length())
-    cosine = F.col("_w") * F.col("tf") * F.coalesce("v_idf", F.lit(0.0))
-    pairs = (
-        match_terms(index.postings, q, small)
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(cosine).alias("_dot"), F.max("q_norm").alias("q_norm"), F.sum(bm25).alias("_bm25"))
-    )
-    dense = safe_ratio(F.col("_dot"), F.col("q_norm") * F.coalesce("d_norm", F.lit(0.0)))
-    return pairs.join(d_norm, "doc_id", "left").select(
-        "query_id", "doc_id", r6(dense).alias("dense"), r6("_bm25").alias("lexical"))
+    pairs = match_terms(d, q, small).groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("q_w") * F.col("d_w")).alias("_dot"), F.sum(bm25).alias("_bm25"),
+        F.max("q_norm").alias("q_norm"), F.max("d_norm").alias("d_norm"))
+    dense = safe_ratio(F.col("_dot"), F.col("q_norm") * F.col("d_norm"))
+    return pairs.select("query_id", "doc_id", r6(dense).alias("dense"), r6("_bm25").alias("lexical"))
+
+
+def _with_norm(terms: DataFrame, vocab: DataFrame, text_id: str, count: str, side: str) -> DataFrame:
+    """Add a term's tf-idf weight and its text's norm; the window is one text's terms, already together."""
+    weighted = terms.join(F.broadcast(vocab.select("term", F.col("idf").alias("_v"))), "term", "left")
+    weighted = weighted.withColumn(f"{side}_w", F.col(count) * F.coalesce("_v", F.lit(0.0))).drop("_v")
+    squares = F.sum(F.col(f"{side}_w") * F.col(f"{side}_w")).over(W.partitionBy(text_id))
+    return weighted.withColumn(f"{side}_norm", F.sqrt(squares))
 
 
 def token_run_matches(queries: DataFrame, query_id: str, query_tokens: str,
