@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from phrasebench.fixed import (
+    BANK_PARTS, ERROR_TYPES, FAILURE_TYPES, LABEL_WORDS, PHRASE_BOOST, PHRASE_THRESHOLD, SHORT_WORDS, WEAK_CONTEXTS)
+
 
 #: Any run of white space, beyond ASCII too.
 SPACE_RUN = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -28,7 +31,7 @@ def strip_all(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), rf"^{SPACE_RUN}|{SPACE_RUN}$", "")
 
 
-def remove_label_words(x: Column | str, words: tuple[str, ...] = ("literal", "idiomatic")) -> Column:
+def remove_label_words(x: Column | str, words: tuple[str, ...] = LABEL_WORDS) -> Column:
     """Cut whole words that leak the label (case-sensitive), then strip; inner double spaces stay."""
     return strip_all(F.regexp_replace(_c(x), rf"\b({'|'.join(words)})\b", ""))
 
@@ -81,17 +84,15 @@ def phrase_score(phrase_tokens: Column | str, query_tokens: Column | str) -> Col
     return F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def phrase_boost(score: Column | str, boost: float = 0.20, threshold: float = 0.85) -> Column:
+def phrase_boost(score: Column | str, boost: float = PHRASE_BOOST, threshold: float = PHRASE_THRESHOLD) -> Column:
     return F.when(_c(score) >= threshold, F.lit(boost)).otherwise(F.lit(0.0))
 
 
 def bank_text(entity, meaning, paraphrase, explanation, usage) -> Column:
     """Labelled template with the entity named twice, white space collapsed."""
-    e = safe_text(entity)
-    return collapse_space(F.concat(
-        F.lit("idiom: "), e, F.lit(". idiom: "), e,
-        F.lit(". meaning: "), safe_text(meaning), F.lit(". paraphrase: "), safe_text(paraphrase),
-        F.lit(". explanation: "), safe_text(explanation), F.lit(". usage: "), safe_text(usage)))
+    values = (entity, entity, meaning, paraphrase, explanation, usage)
+    return collapse_space(F.concat(*[
+        c for name, v in zip(BANK_PARTS, values) for c in (F.lit(name), safe_text(v))]))
 
 
 def join_nonempty(*parts: Column | str, sep: str = " | ") -> Column:
@@ -119,9 +120,9 @@ def failure_type(gold: Column | str, pred: Column | str) -> Column:
     """Shared word → lexical; both at most three distinct words → short; else semantic."""
     g, p = word_set(gold), word_set(pred)
     return (
-        F.when(F.size(F.array_intersect(g, p)) > 0, "Lexical Confusion")
-        .when((F.size(g) <= 3) & (F.size(p) <= 3), "Short/Ambiguous Idioms")
-        .otherwise("Semantic Confusion")
+        F.when(F.size(F.array_intersect(g, p)) > 0, FAILURE_TYPES[0])
+        .when((F.size(g) <= SHORT_WORDS) & (F.size(p) <= SHORT_WORDS), FAILURE_TYPES[1])
+        .otherwise(FAILURE_TYPES[2])
     )
 
 
@@ -130,14 +131,14 @@ def error_type(gold: Column | str, preds: list[Column]) -> Column:
     g = _c(gold)
     later = F.coalesce(g == preds[1], F.lit(False)) | F.coalesce(g == preds[2], F.lit(False))
     return (
-        F.when(F.coalesce(g == preds[0], F.lit(False)), "Correct")
-        .when(later, "Near-miss (Top-3)").otherwise("Hard error")
+        F.when(F.coalesce(g == preds[0], F.lit(False)), ERROR_TYPES[0])
+        .when(later, ERROR_TYPES[1]).otherwise(ERROR_TYPES[2])
     )
 
 
 def weak_context_rows(entity: Column | str) -> Column:
     """Four (text, label) rows of a short context around an entity; explode the result."""
     e = _c(entity)
-    made = [(e, 1), (F.concat(F.lit("she "), e), 1),
-            (F.concat(e, F.lit(" on the floor")), 0), (F.concat(e, F.lit(" in the cup")), 0)]
-    return F.array(*[F.struct(t.alias("text"), F.lit(y).alias("label")) for t, y in made])
+    return F.array(*[
+        F.struct(F.concat(F.lit(before), e, F.lit(after)).alias("text"), F.lit(y).alias("label"))
+        for before, after, y in WEAK_CONTEXTS])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phrasebench.fixed import LABELS, SURE
+
 
 def not_empty(col: str) -> Column:
     return F.coalesce(F.trim(F.col(col)) != "", F.lit(False))
@@ -43,8 +45,8 @@ def quality_funnel(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame
     return counts.select(F.inline(F.array(*pairs)))
 
 
-def weak_flags(label: str, confidence: str, threshold: float = 0.90) -> list[Column]:
+def weak_flags(label: str, confidence: str, threshold: float = SURE) -> list[Column]:
     """Literal-usage note and low-confidence flag; the literal note wins."""
-    note = F.when(F.col(label) == "Literal", "literal_note").when(
+    note = F.when(F.col(label) == LABELS[0], "literal_note").when(
         F.col(confidence) < threshold, "low_confidence").otherwise("none")
     return [note.alias("note"), (F.col(confidence) < threshold).alias("ambiguous")]

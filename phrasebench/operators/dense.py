@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phrasebench.fixed import DENSE_WEIGHT
 from phrasebench.operators.ordering import top_k_per
 
 # the block functions travel with the job, so workers need no copy of this package
@@ -122,8 +123,8 @@ def dense_range(queries: DataFrame, query_id: str, query_vec: str,
 
 def fused_topk(queries: DataFrame, query_id: str, query_vec: str,
                bank: DataFrame, bank_id: str, bank_vec: str,
-               lexical: DataFrame, ranges: DataFrame, k: int, weight: float = 0.8,
-               decimals: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+               lexical: DataFrame, ranges: DataFrame, k: int, weight: float = DENSE_WEIGHT,
+               decimals: int = 6, block_rows: int = BLOCK_ROWS // 2) -> DataFrame:
     """(query_id, doc_id, dense, lexical, score, rank): exact top ``k`` of scaled dense + lexical.
 
     ``lexical`` holds the non-zero lexical scores (query_id, doc_id, lexical); they travel to the block

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasebench.functions.numeric import thresholds
+from phrasebench.session import cut_lineage
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None, density: bool = False) -> DataFrame:
     """(bin, lo, hi, n[, density]) of equal-width bins over the column's range; empty bins are left out.
 
-    With ``by`` the range is taken per key, as separate histograms would; the ranges table has one
-    row per key.
+    With ``by`` the range is taken per key, as separate histograms would. The ranges table has one row
+    per key and is written first, so Spark knows its size and a hot key is not shuffled to one task.
     """
     by = by or []
     vals = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_x"))
     if by:
         ranges = vals.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
+        ranges = cut_lineage(ranges)
         vals = vals.groupBy(*by, "_x").agg(F.count("*").alias("_c")).join(ranges, by)
     else:
         facts = vals.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n"))).scalar()

@@ -15,12 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from phrasebench.fixed import EPSILON, K1, MAX_FEATURES, MIN_DF, B
 from phrasebench.functions.numeric import bm25_weight, r6, safe_ratio
 from phrasebench.functions.text import tokenize_ws
 from phrasebench.session import cut_lineage, measured_bytes, scratch_path, store_bucketed
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-MAX_FEATURES, MIN_DF = 30_000, 2
 SALTS = 32
 #: Text that may be broadcast as term rows; the rows take about ten times the text's size.
 TEXT_BYTES = 8 * 1024 * 1024

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phrasebench.fixed import DENSE_WEIGHT
 from phrasebench.functions.numeric import r6
 from phrasebench.functions.text import normal_tokens, phrase_boost
 from phrasebench.operators import clean as C
@@ -49,7 +50,7 @@ def lexical_retrieval(queries: DataFrame, query_id: str, query_text: str, index:
 
 
 def hybrid_whole_bank(queries: DataFrame, query_id: str, query_text: str, bank: DataFrame, bank_id: str,
-                      bank_text: str, k: int = 10, weight: float = 0.8) -> DataFrame:
+                      bank_text: str, k: int = 10, weight: float = DENSE_WEIGHT) -> DataFrame:
     """Dense and BM25 scores scaled over the whole bank, fused and cut to ``k``."""
     index = lexical_index(bank, bank_id, bank_text)
     pairs = sparse_scores(queries, query_id, query_text, index)
@@ -58,7 +59,7 @@ def hybrid_whole_bank(queries: DataFrame, query_id: str, query_text: str, bank:
 
 def hybrid_pooled(queries: DataFrame, query_id: str, query_text: str, bank: DataFrame, bank_id: str,
                   bank_text: str, entity: str, phrase: str, k: int = 5, fetch_k: int = 50,
-                  weight: float = 0.8) -> DataFrame:
+                  weight: float = DENSE_WEIGHT) -> DataFrame:
     """Pool of both lists, scaled and fused inside the pool, phrase boost, best row per entity."""
     index = lexical_index(bank, bank_id, bank_text)
     pool = Fu.fuse_pool(Fu.pool_union(sparse_scores(queries, query_id, query_text, index), fetch_k), weight)
@@ -69,7 +70,7 @@ def hybrid_pooled(queries: DataFrame, query_id: str, query_text: str, bank: Data
 
 def hybrid_vectors(queries: DataFrame, query_id: str, query_text: str, query_vec: str,
                    bank: DataFrame, bank_id: str, bank_text: str, bank_vec: str,
-                   k: int = 10, weight: float = 0.8) -> DataFrame:
+                   k: int = 10, weight: float = DENSE_WEIGHT) -> DataFrame:
     """Exact whole-bank fusion of vector cosine and BM25: ranges first, then the fused block product."""
     index = lexical_index(bank, bank_id, bank_text)
     lex = cut_lineage(bm25_scores(queries, query_id, query_text, index))
