@@ -18,16 +18,17 @@ from pyspark.sql import Window as W
 from phrasebench.fixed import EPSILON, K1, MAX_FEATURES, MIN_DF, B
 from phrasebench.functions.numeric import bm25_weight, r6, safe_ratio
 from phrasebench.functions.text import tokenize_ws
-from phrasebench.session import cut_lineage, measured_bytes, scratch_path, store_bucketed
+from phrasebench.session import bucket_count, cut_lineage, measured_bytes, scratch_path, store_bucketed
 
 SALTS = 32
 #: Text that may be broadcast as term rows; the rows take about ten times the text's size.
 TEXT_BYTES = 8 * 1024 * 1024
 
 
-def postings(bank: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, dl, term, tf), partitioned by ``doc_id``."""
-    docs = bank.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).repartition("doc_id")
+def postings(bank: DataFrame, doc_id: str, text: str, spread: bool = True) -> DataFrame:
+    """(doc_id, dl, term, tf), partitioned by ``doc_id``; ``spread=False`` when the bank already is."""
+    docs = bank.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    docs = docs.repartition("doc_id") if spread else docs
     # the length is taken before the split into rows, so no row carries its document's token array
     docs = docs.withColumn("dl", F.size(tokenize_ws("_text")))
     terms = docs.select("doc_id", "dl", F.explode(tokenize_ws("_text")).alias("term"))
@@ -49,6 +50,7 @@ class LexicalIndex:
     terms: DataFrame       # term, df, cf, raw_idf
     documents: DataFrame   # doc_id
     source: DataFrame | None = None  # the bank's text column, when the index was built in this job
+    buckets: int = 0                 # bucket files the postings are stored in
 
     @property
     def texts(self) -> DataFrame:
@@ -81,7 +83,10 @@ def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = No
     ``path`` keeps it for later jobs; without one it goes to the shared scratch folder.
     """
     root = path or scratch_path(bank.sparkSession, "lexical")
-    post = store_bucketed(postings(bank, doc_id, text), f"{root}/postings", "doc_id")
+    # postings of a text take about ten times its bytes
+    buckets = bucket_count(bank.sparkSession, 10 * measured_bytes(bank.select(text)))
+    rows = postings(bank.repartition(buckets, F.col(doc_id)), doc_id, text, spread=False)
+    post = store_bucketed(rows, f"{root}/postings", "doc_id", buckets)
     docs = bank.select(F.col(doc_id).alias("doc_id"))
     n = docs.agg(F.count("*")).scalar()
     terms = (
@@ -89,7 +94,8 @@ def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = No
         .withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     )
     terms.write.parquet(f"{root}/terms")
-    return LexicalIndex(post, bank.sparkSession.read.schema(terms.schema).parquet(f"{root}/terms"), docs, bank.select(text))
+    return LexicalIndex(post, bank.sparkSession.read.schema(terms.schema).parquet(f"{root}/terms"), docs,
+                        bank.select(text), buckets)
 
 
 def small_side(queries: DataFrame, query_text: str, bank: DataFrame, limit: int = TEXT_BYTES) -> str | None:

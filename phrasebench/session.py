@@ -56,15 +56,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store_bucketed(df: DataFrame, path: str, key: str) -> DataFrame:
+def bucket_count(spark: SparkSession, size: int, per_bucket: int = 64 * 1024 * 1024) -> int:
+    """Buckets for ``size`` bytes: one per 64 MB, at least one per core, at most the shuffle width."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(width, max(spark.sparkContext.defaultParallelism, -(-size // per_bucket)))
+
+
+def store_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
     """Write ``df`` hashed by ``key`` into bucket files under ``path`` and open it as a table.
 
     Joins and aggregates that include ``key`` then need no shuffle, in this job or a later one.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"phrasebench_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
