@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasebench.llm import bpe, chat, mixing
+from phrasebench.llm import bpe, chat, mixing, perplexity
 from phrasebench.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,16 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(docs, "doc_id", "source", tokens, sources, BLOCK_TOKENS)
 
 
+# ---- 5: quality rules ----------------------------------------------------------------------------
+
+@_query("op5_perplexity_bands")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    """Base rule and perplexity band of every document, under a model of all documents."""
+    judged = perplexity.judge(read_table(spark, root, "documents"), "doc_id", "text", "lang")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "perplexity")
+
+
 # ---- 7: byte-level BPE ---------------------------------------------------------------------------
 
 def tokenizer() -> tuple[bytes, str]:
