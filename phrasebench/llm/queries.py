@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasebench.llm import bpe, chat, mixing, perplexity
+from phrasebench.llm import bpe, chat, mixing, perplexity, pii
 from phrasebench.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,16 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return chat.digest(chat.format_conversations(rows.unionByName(odd)))
+
+
+# ---- 10: PII -------------------------------------------------------------------------------------
+
+#: Stands for the secret that a deployment passes in; surrogates cannot be traced back without it.
+SURROGATE_KEY = "phrasebench"
+
+
+@_query("op10_pii_surrogates")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its personal data replaced, and the kinds of what was replaced, in order."""
+    safe = pii.protect(read_table(spark, root, "documents"), "doc_id", "text", SURROGATE_KEY)
+    return safe.select("doc_id", "text", F.size("pii").cast("long").alias("n_entities"), F.col("pii")["kind"].alias("kinds"))
