@@ -20,6 +20,8 @@ from phrasebench.llm.workers import cached
 
 #: A text longer than this is cut at safe boundaries before it is encoded.
 PIECE_CHARS = 1 << 16
+#: Rows handled and handed on at once; an Arrow batch holds up to 10,000.
+ROWS = 256
 #: A letter or digit followed by a space or line feed: no match of the pre-split pattern spans this point,
 #: because white space only ever starts a match or stands in a match of white space alone.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
@@ -55,6 +57,12 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
+def _parts(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _list_column(parts: list, kind: pa.DataType) -> pa.Array:
     import numpy as np
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
@@ -82,7 +90,7 @@ def encode(df: DataFrame, text: str, ranks: bytes, pattern: str, out: str = "ids
     def run(batches):
         import numpy as np
         enc = encoder(*shared.value)
-        for batch in batches:
+        for batch in _parts(batches):
             made = []
             for value in batch.column(text).to_pylist():
                 value = value or ""
@@ -102,8 +110,10 @@ def decode(df: DataFrame, ids: str, ranks: bytes, pattern: str, out: str = "deco
 
     def run(batches):
         enc = encoder(*shared.value)
-        for batch in batches:
-            made = [enc.decode_bytes(v or []) for v in batch.column(ids).to_pylist()]
+        for batch in _parts(batches):
+            column = batch.column(ids)
+            flat, ends = column.values.to_numpy(), column.offsets.to_pylist()
+            made = [enc.decode_bytes(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield _replace(batch, out, pa.array(made, type=pa.binary()))
 
     return df.mapInArrow(run, _schema(df, out, T.BinaryType()))
