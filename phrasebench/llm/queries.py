@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasebench.llm import bpe, chat, mixing, perplexity, pii
+from phrasebench.llm import bpe, chat, mixing, ordermin, perplexity, pii
 from phrasebench.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,14 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(docs, "doc_id", "source", tokens, sources, BLOCK_TOKENS)
 
 
+# ---- 4: near-duplicates --------------------------------------------------------------------------
+
+@_query("op4_order_minhash")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    """Near-duplicate class of every document, and whether it is the one that stays."""
+    return ordermin.mark(read_table(spark, root, "documents"), "doc_id", "text")
+
+
 # ---- 5: quality rules ----------------------------------------------------------------------------
 
 @_query("op5_perplexity_bands")
