@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasebench.llm import bpe, chat, mixing, ordermin, perplexity, pii
+from phrasebench.llm import bpe, chat, mixing, ordermin, perplexity, pii, toxicity
 from phrasebench.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,18 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
     return bpe.digest(bpe.decode(ids.drop("text"), "ids", ranks, pattern), "doc_id")
 
 
+# ---- 8: toxicity ---------------------------------------------------------------------------------
+
+@_query("op8_compression_toxicity")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity score of every document; the fold with remainder 0 is never learned from."""
+    docs = read_table(spark, root, "documents")
+    model = toxicity.fit(toxicity.labelled_sample(docs, read_table(spark, root, "labels"), "doc_id", "text", "toxic"))
+    return toxicity.score(docs, "doc_id", "text", model).select(
+        "doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # ---- 9: chat formatting --------------------------------------------------------------------------
 
 _CHAT_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
