@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasebench.llm import bpe, chat, mixing, ordermin, perplexity, pii, toxicity
+from phrasebench.llm import bpe, chat, mixing, ordermin, perplexity, pii, toxicity, vptree
 from phrasebench.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,16 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(docs, "doc_id", "source", tokens, sources, BLOCK_TOKENS)
 
 
+# ---- 3: approximate nearest neighbours -----------------------------------------------------------
+
+@_query("op3_vantage_points")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector, among all others."""
+    rows = read_table(spark, root, "embeddings").select("vec_id", "embedding")
+    trees = vptree.index(rows, "vec_id", "embedding")
+    return vptree.nearest(trees, rows.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", 5)
+
+
 # ---- 4: near-duplicates --------------------------------------------------------------------------
 
 @_query("op4_order_minhash")
