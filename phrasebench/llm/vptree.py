@@ -122,7 +122,7 @@ def search(tree: dict, unit, ids, queries, query_ids, k: int, factor: float):
 
 def _pack(df: DataFrame, group: str, what) -> DataFrame:
     """One row (group, blob) per group of bounded size."""
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         return pa.table({group: [key[0].as_py()], "blob": [what(table)]}, schema=pa.schema([(group, pa.int64()), ("blob", pa.binary())]))
     return df.groupBy(group).applyInArrow(run, f"{group} bigint, blob binary")
 
@@ -168,7 +168,7 @@ def nearest(trees: tuple[DataFrame, int], queries: DataFrame, key: str, vector:
     right = packed.withColumn("chunk", F.floor(F.col("block") / F.lit(CHUNK_BLOCKS)).cast("int"))
     right = right.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
-    def run(tree_rows: pa.Table, block_rows: pa.Table) -> pa.Table:
+    def run(tree_rows, block_rows):
         import numpy as np
         out = {"query_id": [], "vec_id": [], "score": []}
         for tree_blob in tree_rows.column("blob").to_pylist():
