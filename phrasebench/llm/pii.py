@@ -3,7 +3,7 @@
 Entities are found by one alternation of patterns. An entity's surrogate is a keyed function of its kind and its
 canonical form (case and separators removed), so it is the same wherever, and however written, the entity occurs
 (coreference). It has the entity's format: digits become digits, letters become letters of the same script and
-case, separators stay; card numbers stay valid, a country code and a top-level domain stay; a name after a title
+case, separators stay; card numbers stay valid, country codes and top-level domains stay; a name after a title
 becomes a name of the title's gender and of the same script and number of words.
 
 Collision check: over all distinct entities of the corpus, no two of a kind may share a surrogate and no surrogate
@@ -53,9 +53,16 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity holds one of these; texts without any are not searched further.
+HINT = r"[0-9@]|[a-f]{32}|[A-F]{32}|gh[pousr]_|sk-|(?=[MHFSDгκ])" + _TITLE + r" \p{Lu}"
 _GAPS = r"[^\p{L}\p{N}]"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def kind_of(value: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS.items():
@@ -116,76 +123,71 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(0), F.length(digits) - F.lit(1)), F.lit(0), add), F.lit(10))
 
 
-def _email(key: str, value: Column, salt: Column) -> Column:
-    at = F.instr(value, "@")
-    local, domain = F.substring(value, F.lit(1), at - F.lit(1)), F.substring(value, at + F.lit(1), F.length(value))
-    host = F.regexp_extract(domain, r"^(.*)(\.[A-Za-z]+)$", 1)
-    own = _stream(key, F.concat(F.lit("email|"), F.lower(value)), salt)
-    place = _stream(key, F.concat(F.lit("host|"), F.lower(host)), F.lit(0))
-    # a very short local part has few surrogates; from the fourth salt on it grows
-    longer = F.when(salt > 3, F.concat(_shaped(local, own), F.substring(own, F.lit(100), salt))).otherwise(_shaped(local, own))
-    return F.concat(longer, F.lit("@"), _shaped(host, place), F.regexp_extract(domain, r"(\.[A-Za-z]+)$", 1))
-
-
-def _ip(key: str, value: Column, salt: Column) -> Column:
-    own = _stream(key, F.concat(F.lit("ip|"), value), salt)
+def _ip(own: Column) -> Column:
     return F.concat_ws(".", *[(F.pmod(_number(own, F.lit(i)), F.lit(254)) + F.lit(1)).cast("string") for i in range(4)])
 
 
-def _card(key: str, value: Column, salt: Column) -> Column:
-    digits = F.regexp_replace(value, r"\D", "")
-    made = _shaped(value, _stream(key, F.concat(F.lit("card|"), digits), salt))
-    plain = F.regexp_replace(F.concat(F.substring(made, F.lit(1), F.length(made) - F.lit(1)), F.lit("0")), r"\D", "")
-    check = F.pmod(F.lit(10) - luhn(plain), F.lit(10)).cast("string")
-    return F.when(luhn(digits) == 0, F.concat(F.substring(made, F.lit(1), F.length(made) - F.lit(1)), check)).otherwise(made)
+def _pick(words: Column, k: Column) -> Column:
+    return F.element_at(words, F.pmod(k, F.size(words)) + F.lit(1))
 
 
-def _phone(key: str, value: Column, salt: Column) -> Column:
-    code = F.regexp_extract(value, r"^(\+\d{1,3})(?=\D)", 1)
-    rest = F.substring(value, F.length(code) + F.lit(1), F.length(value))
-    return F.concat(code, _shaped(rest, _stream(key, F.concat(F.lit("phone|"), F.regexp_replace(value, r"\D", "")), salt)))
-
-
-def _pick(words: list[str], k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), F.pmod(k, F.lit(len(words))) + F.lit(1))
+def _by_script(table: dict, script: Column, male: Column) -> Column:
+    """The entry of ``table`` for a script and gender."""
+    out = None
+    for (s, g), words in table.items():
+        value = F.split(F.lit(" ".join(words)), " ") if isinstance(words, list) else F.lit(words)
+        cond = (script == s) & (male if g == "m" else ~male)
+        out = F.when(cond, value) if out is None else out.when(cond, value)
+    return out
 
 
-def _name(key: str, value: Column, salt: Column) -> Column:
+def _name(value: Column, own: Column, salt: Column) -> Column:
+    """A name of the title's gender, of the same script and number of words; a salt adds syllables."""
     at = F.instr(value, " ")
     title, name = F.substring(value, F.lit(1), at - F.lit(1)), F.substring(value, at + F.lit(1), F.length(value))
-    own = _stream(key, F.concat(F.lit("name|"), F.lower(value)), salt)
-    words = F.size(F.split(name, " "))
-
-    def made(script: str, gender: str) -> Column:
-        more = F.transform(F.sequence(F.lit(4), salt + F.lit(4)), lambda i: _pick(SYLLABLES[script], _number(own, i)))
-        last = F.initcap(F.concat(_pick(SYLLABLES[script], _number(own, F.lit(0))), _pick(SYLLABLES[script], _number(own, F.lit(1))),
-                                  F.array_join(more, ""), F.lit(SURNAME_END[script, gender])))
-        first, second = (_pick(GIVEN[script, gender], _number(own, F.lit(p))) for p in (2, 3))
-        return F.when(words == 1, last).when(words == 2, F.concat_ws(" ", first, last)).otherwise(F.concat_ws(" ", first, second, last))
-
-    male = title.isin(*MALE_TITLES)
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(name.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
-    out = None
-    for (s, g) in GIVEN:
-        cond = (script == s) & (male if g == "m" else ~male)
-        out = F.when(cond, made(s, g)) if out is None else out.when(cond, made(s, g))
-    return F.concat(title, F.lit(" "), out)
+    male, words = title.isin(*MALE_TITLES), F.size(F.split(name, " "))
+    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    syllables = _by_script({(s, g): SYLLABLES[s] for s, g in GIVEN}, script, male)
+    parts = F.transform(F.sequence(F.lit(0), salt + F.lit(2)), lambda i: _pick(syllables, _number(own, i + F.lit(2))))
+    last = F.initcap(F.concat(F.array_join(parts, ""), _by_script(SURNAME_END, script, male)))
+    given = F.transform(F.sequence(F.lit(1), words), lambda i: F.when(i == words, last).otherwise(
+        _pick(_by_script(GIVEN, script, male), _number(own, i - F.lit(1)))))
+    return F.concat(title, F.lit(" "), F.array_join(given, " "))
 
 
 def surrogate(key: str, kind: Column, value: Column, salt: Column) -> Column:
     """The replacement of one entity."""
-    label = F.concat(kind, F.lit("|"), canonical(kind, value))
+    own = _stream(key, F.concat(kind, F.lit("|"), canonical(kind, value)), salt)
+    return _let(own, lambda o: _replacement(kind, value, salt, o))
+
+
+def _replacement(kind: Column, value: Column, salt: Column, own: Column) -> Column:
+    """What a kind keeps at either end, and keyed characters between."""
+    head = (F.when(kind == "phone", F.regexp_extract(value, r"^(\+\d{1,3})(?=\D)", 1))
+            .when(kind == "iban", F.substring(value, 1, 2)).otherwise(F.lit("")))
+    tail = F.when(kind == "email", F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1)).otherwise(F.lit(""))
+    middle = F.substring(value, F.length(head) + F.lit(1), F.length(value) - F.length(head) - F.length(tail))
+    # a very short address has few surrogates; from the fourth salt on it grows
+    middle = F.when((kind == "email") & (salt > 3), F.concat(F.repeat(F.lit("x"), salt - F.lit(3)), middle)).otherwise(middle)
     hexadecimal = (kind == "secret") & value.rlike("^[0-9A-Fa-f]+$")
-    return (F.when(kind == "email", _email(key, value, salt)).when(kind == "ip", _ip(key, value, salt))
-            .when(kind == "card", _card(key, value, salt)).when(kind == "phone", _phone(key, value, salt))
-            .when(kind == "name", _name(key, value, salt)).otherwise(_shaped(value, _stream(key, label, salt), hexadecimal)))
+    made = F.concat(head, _shaped(middle, own, hexadecimal), tail)
+    card = (kind == "card") & (luhn(F.regexp_replace(value, r"\D", "")) == 0)
+    return (F.when(kind == "ip", _ip(own)).when(kind == "name", _name(value, own, salt))
+            .when(card, _let(made, _with_check_digit)).otherwise(made))
+
+
+def _with_check_digit(number: Column) -> Column:
+    body = F.substring(number, F.lit(1), F.length(number) - F.lit(1))
+    check = F.pmod(F.lit(10) - luhn(F.concat(F.regexp_replace(body, r"\D", ""), F.lit("0"))), F.lit(10))
+    return F.concat(body, check.cast("string"))
 
 
 # ---- corpus --------------------------------------------------------------------------------------
 
 def found(text: Column) -> Column:
     """Entities of a text in order, as strings; empty for a null text."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    hits = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    return F.coalesce(hits, F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame, text: str) -> DataFrame:
