@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasebench.llm import bpe, chat, mixing, ordermin, perplexity, pii, toxicity, vptree
-from phrasebench.session import read_table
+from phrasebench.llm import bpe, chat, mixing, ordermin, perplexity, pii, toxicity, vptree, warc
+from phrasebench.session import cut_lineage, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,33 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(docs, "doc_id", "source", tokens, sources, BLOCK_TOKENS)
 
 
+# ---- 2: WARC -------------------------------------------------------------------------------------
+
+_WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS h FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((('0x' || substr(hex || '00', 1 + (i * 5) // 4, 2))::INT >> (3 - (i * 5) % 4)) & 31), 1)), '') AS d FROM g)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = h THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> h THEN h END AS refers_to FROM b"""
+
+
+@_query("op2_warc_chains", _WARC_SQL)
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    """Every page written to archives, read back by boundary chains; sizes and digests of the full payloads."""
+    path = scratch_path(spark, "warc")
+    warc.write(read_table(spark, root, "pages"), path, "page_id", "url", "html", 0, compression="gzip")
+    head = F.col("headers")
+    records = cut_lineage(warc.read(spark, path).select(
+        head[warc.KEY_HEADER].cast("long").alias("page_id"), head["WARC-Record-ID"].alias("id"), head["WARC-Refers-To"].alias("to"),
+        head["WARC-Type"].alias("record_type"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.payload_digest(F.col("payload")).alias("payload_digest")))
+    held = records.where("record_type = 'response'").select(F.col("id").alias("to"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    again = records.where("record_type = 'revisit'").select("page_id", "record_type", "to").join(held, "to")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*names).union(again.select(*names))
+
+
 # ---- 3: approximate nearest neighbours -----------------------------------------------------------
 
 @_query("op3_vantage_points")
