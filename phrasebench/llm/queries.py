@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasebench.llm import bpe, chat, mixing, ordermin, perplexity, pii, toxicity, vptree, warc
+from phrasebench.llm import bpe, chat, mincut, mixing, ordermin, perplexity, pii, toxicity, vptree, warc
 from phrasebench.session import cut_lineage, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,15 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
                          "base_failed", "kept", "perplexity")
 
 
+# ---- 6: HTML extraction --------------------------------------------------------------------------
+
+@_query("op6_minimum_cut")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    """Main text of every page."""
+    pages = mincut.extract(read_table(spark, root, "pages").select("page_id", "url", "html"), "html")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 # ---- 7: byte-level BPE ---------------------------------------------------------------------------
 
 def tokenizer() -> tuple[bytes, str]:
