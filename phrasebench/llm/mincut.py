@@ -36,7 +36,7 @@ BAD_WORDS = frozenset("nav navbar navigation menu menubar footer foot header mas
                       "disqus reply replies respond discussion subscribe subscription newsletter signup login search breadcrumb "
                       "breadcrumbs pager pagination widget copyright disclaimer legal toolbar tags byline skip".split())
 GOOD_WORDS = frozenset("article post entry story main content body text".split())
-HARD, NEAR, SIBLING = 50.0, 0.6, 0.8
+HARD, NEAR, SIBLING, APART = 50.0, 0.6, 0.8, 0.25
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,8192}"|'[^']{0,8192}')*+)>"""
                   r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
@@ -138,19 +138,23 @@ def evidence(block: Block) -> float:
     if abs(block.hint) >= 1:
         return HARD * block.hint
     words = block.text.count(" ") + 1
-    score = min(0.1 * words, 4.0) - 1.4 - 4.0 * min(1.0, block.linked / max(1, len(block.text))) + 5.0 * block.hint
+    score = min(0.1 * words, 4.0) - 1.4 - 5.0 * max(0.0, min(1.0, block.linked / len(block.text)) - 0.25) + 5.0 * block.hint
     score += {"p": 0.8, "h1": 1.0, "h2": 0.6, "h3": 0.4, "pre": 0.8, "blockquote": 0.8, "li": -0.4, "td": -0.2}.get(block.tag, 0.0)
     return score + (0.4 if block.text[-1] in ".!?…»”\"" else 0.0)
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness between neighbours in page order, and between neighbouring children of one element."""
+    """Smoothness between neighbours in page order, and between neighbouring children of one element.
+
+    Blocks whose elements suggest different things are further apart: an advert amid an article says little of it.
+    """
     out, last = [], {}
+    tie = lambda i, j, w: (i, j, w if found[i].hint == found[j].hint else w * APART)
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, NEAR))
+            out.append(tie(i - 1, i, NEAR))
         if b.parent in last:
-            out.append((last[b.parent], i, SIBLING))
+            out.append(tie(last[b.parent], i, SIBLING))
         last[b.parent] = i
     return out
 

@@ -172,6 +172,6 @@ def mix(docs: DataFrame, key: str, source: str, tokens: Column, sources: DataFra
     total = sources.agg(F.sum("_mix_target")).first()[0] or 0
     blocks = max(1, -(-total // block_tokens))
     at = (F.col("_mix_epoch") * F.col("_mix_tokens") + F.col("_mix_end") - F.col("tokens")).cast("double")
-    block = F.least(F.floor(at / F.col("_mix_target").cast("double") * F.lit(float(blocks))), F.lit(blocks - 1))
+    block = F.least(F.floor(at / F.greatest(F.col("_mix_target"), F.lit(1)).cast("double") * F.lit(float(blocks))), F.lit(blocks - 1))
     return kept.select(key, "source", "tokens", F.col("_mix_epoch").alias("epoch"), block.cast("long").alias("block"),
                        F.col("_mix_key").alias("order_key"))

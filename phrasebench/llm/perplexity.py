@@ -240,11 +240,12 @@ def judge(docs: DataFrame, key: str, text: str, lang: str, below: float = BAND["
           least: float = BAND["least"], slack: float = BAND["slack"]) -> DataFrame:
     """Per row: key, lang, the counts, perplexity, base_failed, kept."""
     scored = cut_lineage(score(docs, key, text, lang, fit(docs, text)))
-    x = -F.col("log_prob") / F.col("n_bytes")
+    n = F.nullif(F.col("n_bytes"), F.lit(0))
+    x = -F.col("log_prob") / n
     off = (x - F.col("_mid")) / F.col("_dev")
-    more = F.lit(slack) / F.sqrt("n_bytes")
+    more = F.lit(slack) / F.sqrt(n)
     inside = F.coalesce((off >= -(F.lit(below) + more)) & (off <= F.lit(above) + more), F.lit(False))
     joined = scored.join(bands(scored, lang, least), F.col(lang).eqNullSafe(F.col("_lang")), "left")
-    return (joined.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(x)))
+    return (joined.withColumn("perplexity", F.exp(x))
             .withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
             .drop("_lang", "_mid", "_dev", "log_prob", "n_bytes"))

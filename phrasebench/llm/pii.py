@@ -11,7 +11,8 @@ may be an entity that occurs. The later one (in text order) of a clash is given
 Rows decide by themselves with salt 0; only rows that hold a re-salted entity are joined with the salts.
 
 Cases: a null text stays null and an empty one empty; without entities a text is unchanged; rows with equal keys
-share their salts; repeated rows and an empty table need no care; further columns are carried through.
+share their salts; repeated rows and an empty table need no care; further columns are carried through, but for one
+named ``pii`` and those starting with ``_pii``, which are replaced.
 """
 
 from __future__ import annotations

@@ -51,7 +51,7 @@ k AS (SELECT *, md5(concat_ws('|', '42', epoch::VARCHAR, coalesce(doc_id::VARCHA
 o AS (SELECT *, sum(tokens) OVER (PARTITION BY sk, epoch ORDER BY order_key)::BIGINT AS e FROM k),
 b AS (SELECT greatest(1, (sum(target)::BIGINT + {BLOCK_TOKENS - 1}) // {BLOCK_TOKENS}) AS blocks FROM w)
 SELECT doc_id, source, tokens, epoch,
-  least(floor((epoch * n + e - tokens)::DOUBLE / target * blocks)::BIGINT, blocks - 1) AS block, order_key
+  least(floor((epoch * n + e - tokens)::DOUBLE / greatest(target, 1) * blocks)::BIGINT, blocks - 1) AS block, order_key
 FROM o, b WHERE epoch < target // n OR e <= target % n"""
 
 
