@@ -23,7 +23,7 @@ def _c(x: Column | str) -> Column:
 
 def safe_text(x: Column | str) -> Column:
     """Trimmed text, empty for null."""
-    return F.coalesce(F.trim(_c(x).cast("string")), F.lit(""))
+    return F.coalesce(strip_all(_c(x).cast("string")), F.lit(""))
 
 
 def strip_all(x: Column | str) -> Column:
@@ -33,7 +33,7 @@ def strip_all(x: Column | str) -> Column:
 
 def remove_label_words(x: Column | str, words: tuple[str, ...] = LABEL_WORDS) -> Column:
     """Cut whole words that leak the label (case-sensitive), then strip; inner double spaces stay."""
-    return strip_all(F.regexp_replace(_c(x), rf"\b({'|'.join(words)})\b", ""))
+    return strip_all(F.regexp_replace(_c(x), rf"(?U)\b({'|'.join(words)})\b", ""))
 
 
 def collapse_space(x: Column | str) -> Column:
@@ -96,7 +96,7 @@ def bank_text(entity, meaning, paraphrase, explanation, usage) -> Column:
 
 
 def join_nonempty(*parts: Column | str, sep: str = " | ") -> Column:
-    return F.concat_ws(sep, *[F.nullif(F.trim(_c(p)), F.lit("")) for p in parts])
+    return F.concat_ws(sep, *[F.nullif(strip_all(_c(p)), F.lit("")) for p in parts])
 
 
 def role_prefix(x: Column | str, role: str) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasebench.functions.text import safe_text
+from phrasebench.functions.text import safe_text, strip_all
 from phrasebench.operators.ordering import first_per, global_rank, rank_in_group, top_k_per
 
 
 def first_nonempty(col: str, order: str) -> Column:
     """First non-empty trimmed value by ``order``, '' when there is none; a combining aggregate."""
-    text = F.trim(F.col(col))
+    text = strip_all(col)
     value = F.when(text != "", text)
     return F.coalesce(F.min_by(value, F.when(value.isNotNull(), F.col(order))), F.lit(""))
 
@@ -38,9 +38,9 @@ def texts_by_entity(df: DataFrame, entity: str, key: str, text: str, seed: int =
 
 def multiview_bank(df: DataFrame, entity: str, views: dict[str, str]) -> DataFrame:
     """(bank_text, source_type, entity): one row per non-empty view (name → column), distinct."""
-    made = [F.struct(F.trim(F.col(c)).alias("bank_text"), F.lit(v).alias("source_type"))
+    made = [F.struct(strip_all(c).alias("bank_text"), F.lit(v).alias("source_type"))
             for v, c in views.items()]
-    long = df.select(F.trim(F.col(entity)).alias("entity"), F.inline(F.array(*made)))
+    long = df.select(strip_all(entity).alias("entity"), F.inline(F.array(*made)))
     return long.where(F.col("bank_text") != "").distinct()
 
 

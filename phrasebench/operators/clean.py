@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasebench.fixed import LABELS, SURE
+from phrasebench.functions.text import strip_all
 
 
 def not_empty(col: str) -> Column:
-    return F.coalesce(F.trim(F.col(col)) != "", F.lit(False))
+    return F.coalesce(strip_all(col) != "", F.lit(False))
 
 
 def number_or_null(col: str) -> Column:

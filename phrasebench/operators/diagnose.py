@@ -20,16 +20,15 @@ def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None, d
     if by:
         ranges = vals.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
         ranges = cut_lineage(ranges)
-        vals = vals.groupBy(*by, "_x").agg(F.count("*").alias("_c")).join(ranges, by)
+        vals = vals.join(ranges, by)
     else:
         facts = vals.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n"))).scalar()
-        vals = vals.groupBy("_x").agg(F.count("*").alias("_c")).withColumns({
-            "_lo": facts["lo"], "_hi": facts["hi"], "_n": facts["n"]})
+        vals = vals.withColumns({"_lo": facts["lo"], "_hi": facts["hi"], "_n": facts["n"]})
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / width))).otherwise(0)
     placed = vals.withColumns({"bin": place.cast("int"), "_w": width})
     out = placed.groupBy(*by, "bin").agg(
-        F.sum("_c").alias("n"), F.max("_lo").alias("_lo"), F.max("_w").alias("_w"), F.max("_n").alias("_n"))
+        F.count("*").alias("n"), F.max("_lo").alias("_lo"), F.max("_w").alias("_w"), F.max("_n").alias("_n"))
     out = out.withColumns({"lo": F.col("_lo") + F.col("bin") * F.col("_w"),
                            "hi": F.col("_lo") + (F.col("bin") + 1) * F.col("_w")})
     if density:
@@ -83,9 +82,10 @@ def threshold_sweep(df: DataFrame, score: str, correct: str) -> DataFrame:
     A row is placed once, at the highest threshold it reaches; ten counters are then accumulated.
     """
     ts = thresholds()
-    total = df.agg(F.count("*")).scalar()
     reach = F.size(F.filter(ts, lambda t: F.col(score) >= t))
     at = df.groupBy(reach.alias("_r")).agg(F.count("*").alias("_n"), F.sum(F.col(correct)).alias("_ok"))
+    at = cut_lineage(at)  # at most eleven rows
+    total = at.agg(F.sum("_n")).scalar()
     grid = at.withColumn("_i", F.explode_outer(F.when(F.col("_r") > 0, F.sequence(F.lit(0), F.col("_r") - 1))))
     grid = grid.where(F.col("_i").isNotNull())
     out = grid.groupBy(F.get(ts, F.col("_i")).alias("threshold")).agg(
@@ -101,8 +101,8 @@ def outcome(rank: str, k: int = 5) -> Column:
 
 def shares(df: DataFrame, by: list[str], places: Column | None = None) -> DataFrame:
     """Rows and percentage per value."""
-    total = df.agg(F.count("*")).scalar()
-    return df.groupBy(*by).agg(F.count("*").alias("n")).withColumn("pct", F.col("n") / total * 100)
+    counts = cut_lineage(df.groupBy(*by).agg(F.count("*").alias("n")))
+    return counts.withColumn("pct", F.col("n") / counts.agg(F.sum("n")).scalar() * 100)
 
 
 def hardest(df: DataFrame, keep: Column, score: str, key: str, n: int) -> DataFrame:

@@ -44,11 +44,12 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 
 @dataclass
 class LexicalIndex:
-    """Postings and term statistics of one bank, and its ids; all three can be stored and read back."""
+    """Postings, term statistics, norms and ids of one bank; all can be stored and read back."""
 
     postings: DataFrame    # doc_id, dl, term, tf
-    terms: DataFrame       # term, df, cf, raw_idf
+    terms: DataFrame       # term, df, cf, raw_idf, smooth_idf
     documents: DataFrame   # doc_id
+    norms: DataFrame       # doc_id, norm of its tf-idf vector over all terms
     source: DataFrame | None = None  # the bank's text column, when the index was built in this job
     buckets: int = 0                 # bucket files the postings are stored in
 
@@ -71,16 +72,17 @@ class LexicalIndex:
         return self._term_facts()["mean_idf"]
 
     def term_stats(self) -> DataFrame:
-        """(term, df, cf, idf): a negative idf becomes a quarter of the mean idf."""
+        """(term, df, cf, idf, smooth_idf): a negative idf becomes a quarter of the mean idf."""
         floor = F.lit(EPSILON) * self.mean_idf()
         idf = F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf"))
-        return self.terms.select("term", "df", "cf", idf.alias("idf"))
+        return self.terms.select("term", "df", "cf", idf.alias("idf"), "smooth_idf")
 
 
 def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = None) -> LexicalIndex:
-    """Build the index once: postings in bucket files by document, one statistics row per term.
+    """Build the index once: postings and norms in bucket files by document, one statistics row per term.
 
-    ``path`` keeps it for later jobs; without one it goes to the shared scratch folder.
+    ``path`` keeps it for later jobs, replacing what is there; without one it goes to the shared scratch folder. The
+    norms take the only shuffle of postings by term; a search then needs none.
     """
     root = path or scratch_path(bank.sparkSession, "lexical")
     # postings of a text take about ten times its bytes
@@ -92,10 +94,14 @@ def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = No
     terms = (
         post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         .withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        .withColumn("smooth_idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1)
     )
-    terms.write.parquet(f"{root}/terms")
-    return LexicalIndex(post, bank.sparkSession.read.schema(terms.schema).parquet(f"{root}/terms"), docs,
-                        bank.select(text), buckets)
+    terms.write.mode("overwrite").parquet(f"{root}/terms")
+    terms = bank.sparkSession.read.schema(terms.schema).parquet(f"{root}/terms")
+    weight = F.col("tf") * F.col("smooth_idf")
+    norms = post.join(terms.select("term", "smooth_idf"), "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    norms = store_bucketed(norms.repartition(buckets, "doc_id"), f"{root}/norms", "doc_id", buckets)
+    return LexicalIndex(post, terms, docs, norms, bank.select(text), buckets)
 
 
 def small_side(queries: DataFrame, query_text: str, bank: DataFrame, limit: int = TEXT_BYTES) -> str | None:
@@ -130,7 +136,7 @@ def bm25_scores(queries: DataFrame, query_id: str, query_text: str, index: Lexic
 
 
 def vocabulary(index: LexicalIndex, max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> DataFrame:
-    """(term, df, cf, idf) of the most frequent terms; never more than ``max_features`` rows."""
+    """(term, df, cf, idf) of the most frequent terms, the published cut of the detection features; not used in search."""
     kept = index.terms.where(F.col("df") >= min_df)
     kept = kept.orderBy(F.desc("cf"), "term").limit(max_features)
     idf = F.log((F.lit(1.0) + index.n_docs()) / (F.lit(1.0) + F.col("df"))) + 1
@@ -146,33 +152,25 @@ def tfidf_weights(index: LexicalIndex, vocab: DataFrame) -> DataFrame:
 
 
 def sparse_scores(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex,
-                  vocab: DataFrame | None = None, limit: int = TEXT_BYTES) -> DataFrame:
+                  limit: int = TEXT_BYTES) -> DataFrame:
     """(query_id, doc_id, dense, lexical) from one pass over the postings.
 
-    ``dense`` is the cosine of tf-idf vectors, the stand-in for an encoder; ``lexical`` is BM25.
-    Pairs without a common term are left out: both scores are 0 there.
+    ``dense`` is the cosine of tf-idf vectors over all terms of the bank, the stand-in for an encoder; ``lexical`` is
+    BM25. Pairs without a common term are left out: both scores are 0 there. A query's norm counts the bank's terms.
     """
-    vocab = cut_lineage(vocabulary(index) if vocab is None else vocab)
     small = small_side(queries, query_text, index.texts, limit)
-    q = query_terms(queries, query_id, query_text).join(index.term_stats().select("term", "idf"), "term")
-    q = _with_norm(q, vocab, "query_id", "qf", "q")
-    d = _with_norm(index.postings, vocab, "doc_id", "tf", "d")
+    q = query_terms(queries, query_id, query_text).join(index.term_stats().select("term", "idf", "smooth_idf"), "term")
+    q = q.withColumn("q_w", F.col("qf") * F.col("smooth_idf"))
+    q = q.withColumn("q_norm", F.sqrt(F.sum(F.col("q_w") * F.col("q_w")).over(W.partitionBy("query_id"))))
+    d = index.postings.join(index.norms, "doc_id")
     bm25 = F.col("qf") * bm25_weight("tf", "dl", "idf", index.avg_length())
     pairs = match_terms(d, q, small).groupBy("query_id", "doc_id").agg(
-        F.sum(F.col("q_w") * F.col("d_w")).alias("_dot"), F.sum(bm25).alias("_bm25"),
-        F.max("q_norm").alias("q_norm"), F.max("d_norm").alias("d_norm"))
+        F.sum(F.col("q_w") * F.col("tf") * F.col("smooth_idf")).alias("_dot"), F.sum(bm25).alias("_bm25"),
+        F.max("q_norm").alias("q_norm"), F.max("norm").alias("d_norm"))
     dense = safe_ratio(F.col("_dot"), F.col("q_norm") * F.col("d_norm"))
     return pairs.select("query_id", "doc_id", r6(dense).alias("dense"), r6("_bm25").alias("lexical"))
 
 
-def _with_norm(terms: DataFrame, vocab: DataFrame, text_id: str, count: str, side: str) -> DataFrame:
-    """Add a term's tf-idf weight and its text's norm; the window is one text's terms, already together."""
-    weighted = terms.join(F.broadcast(vocab.select("term", F.col("idf").alias("_v"))), "term", "left")
-    weighted = weighted.withColumn(f"{side}_w", F.col(count) * F.coalesce("_v", F.lit(0.0))).drop("_v")
-    squares = F.sum(F.col(f"{side}_w") * F.col(f"{side}_w")).over(W.partitionBy(text_id))
-    return weighted.withColumn(f"{side}_norm", F.sqrt(squares))
-
-
 def token_run_matches(queries: DataFrame, query_id: str, query_tokens: str,
                       phrases: DataFrame, phrase_id: str, phrase_tokens: str,
                       anchor: int = 3) -> DataFrame:

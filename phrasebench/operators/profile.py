@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phrasebench.functions.numeric import round_half_even
 from phrasebench.functions.text import tokenize_ws
 from phrasebench.operators.ordering import top_k_per
+from phrasebench.session import cut_lineage
 
 
 def value_counts(df: DataFrame, col: str, keep_null: bool = False) -> DataFrame:
@@ -26,8 +27,8 @@ def top_values(df: DataFrame, cols: list[str], n: int = 20) -> DataFrame:
 def percentages(df: DataFrame, col: str, places: int = 2) -> DataFrame:
     """(value, pct) over the non-null rows."""
     rows = df.where(F.col(col).isNotNull())
-    total = rows.agg(F.count("*")).scalar()
-    counts = rows.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("_n"))
+    counts = cut_lineage(rows.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).scalar()
     return counts.select("value", round_half_even(F.col("_n") / total * 100, places).alias("pct"))
 
 
@@ -36,7 +37,7 @@ def overview(variants: dict[str, DataFrame], entity: str, text: str) -> DataFram
     out = None
     for name, df in variants.items():
         row = df.agg(F.count("*").alias("n_rows"), F.countDistinct(entity).alias("n_entities"),
-                     F.countDistinct(text).alias("n_texts"))
+                     F.countDistinct(F.md5(text)).alias("n_texts"))
         row = row.select(F.lit(name).alias("dataset"), "n_rows", F.lit(len(df.columns)).alias("n_columns"),
                          "n_entities", "n_texts",
                          round_half_even(F.col("n_rows") / F.col("n_entities"), 2).alias("rows_per_entity"))

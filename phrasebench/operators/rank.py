@@ -30,11 +30,28 @@ def distinct_topk(scored: DataFrame, k: int, fetch_k: int | None = None, by: str
     return rank_topk(best_per_entity(rows, by, entity, score, item), k, by, score, item)
 
 
+def fill_lists(scored: DataFrame, queries: DataFrame, query_id: str, bank: DataFrame, bank_id: str, k: int,
+               scores: list[str], by: str = "query_id", item: str = "doc_id") -> DataFrame:
+    """``scored`` plus zero-score rows, so that every query has ``k`` rows where the bank has as many.
+
+    Ties go to the lower id, so the rows that can fill a list are among the ``k`` lowest ids of the bank: at most ``k``
+    rows per query are added, whatever the bank's size.
+    """
+    lowest = bank.select(F.col(bank_id).alias(item)).orderBy(item).limit(k).agg(F.collect_list(item)).scalar()
+    spare = queries.select(F.col(query_id).alias(by)).distinct().withColumn(item, F.explode(lowest))
+    spare = spare.join(scored.select(by, item), [by, item], "left_anti").withColumns({c: F.lit(0.0) for c in scores})
+    return scored.select(by, item, *scores).unionByName(spare)
+
+
 def gold_rank(ranked: DataFrame, by: str = "query_id", entity: str = "entity", gold: str = "gold",
-              rank: str = "rank") -> DataFrame:
-    """(query, gold_rank): first rank of the gold entity, null when it is not in the list."""
+              rank: str = "rank", queries: DataFrame | None = None) -> DataFrame:
+    """(query, gold_rank): first rank of the gold entity, null when it is not in the list.
+
+    ``queries`` (with the ``by`` column): all queries; one without any ranked row then counts as a miss.
+    """
     hit = F.when(F.col(entity) == F.col(gold), F.col(rank))
-    return ranked.groupBy(by).agg(F.min(hit).alias("gold_rank"))
+    found = ranked.groupBy(by).agg(F.min(hit).alias("gold_rank"))
+    return found if queries is None else queries.select(by).distinct().join(found, by, "left")
 
 
 def prediction_lists(ranked: DataFrame, k: int, by: str = "query_id", entity: str = "entity",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasebench.functions.text import bank_text, remove_label_words
+from phrasebench.functions.text import bank_text, remove_label_words, strip_all
 from phrasebench.operators import bank as B
 from phrasebench.operators import clean as C
 from phrasebench.operators import detect as D
@@ -42,7 +42,7 @@ def detection_dataset(df: DataFrame, text: str, label: str, labels: dict, pair_i
 
 def detection_baseline(train: DataFrame, test: DataFrame, text: str, label: str) -> dict:
     """Fit the bag-of-words classifier and report on the held-out rows."""
-    model = D.text_classifier(text, label, train.count()).fit(train)
+    model = D.fit_text_classifier(train, text, label)
     scored = D.detect(model, test, [c for c in test.columns])
     matrix = M.confusion(scored, label, "class_id", [0, 1])
     return {"model": model, "scored": scored, "confusion": matrix, "report": M.class_report(matrix)}
@@ -85,7 +85,7 @@ def cross_lingual_set(df: DataFrame, entity: str, key: str, views: dict[str, str
     """Filter, split inside every entity, multi-view bank from the training rows."""
     rows = df.where(F.col(flag) == F.lit(True))
     for c in [*required, entity]:
-        rows = rows.where(C.not_empty(c)).withColumn(c, F.trim(c))
+        rows = rows.where(C.not_empty(c)).withColumn(c, strip_all(c))
     parts = S.within_entity_split(rows, entity, key, seed=seed)
     train = parts.where(F.col("split") == "train")
     return {"train": train, "test": parts.where(F.col("split") == "test"),

@@ -12,12 +12,11 @@ from phrasebench.functions.numeric import r6
 from phrasebench.functions.text import normal_tokens, phrase_boost
 from phrasebench.operators import clean as C
 from phrasebench.operators import fusion as Fu
-from phrasebench.operators import metrics as M
 from phrasebench.operators import rank as R
 from phrasebench.operators.dense import dense_range, dense_topk, fused_topk
 from phrasebench.operators.lexical import (
     LexicalIndex, bm25_scores, lexical_index, sparse_scores, token_run_matches)
-from phrasebench.operators.rerank import PairScorer, training_pairs
+from phrasebench.operators.rerank import PairScorer, candidate_pairs, training_pairs
 from phrasebench.session import cut_lineage
 
 #: An embedder maps a table with a text column to the same table plus a vector column.
@@ -41,19 +40,23 @@ def dense_retrieval(queries: DataFrame, query_id: str, query_vec: str, gold: str
     return R.distinct_topk(found, k)
 
 
-def ranking_report(ranked: DataFrame, max_rank: int | None = None) -> DataFrame:
-    return M.ranking_metrics(R.gold_rank(ranked), max_rank=max_rank)
+def lexical_retrieval(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, k: int = 10) -> DataFrame:
+    scored = bm25_scores(queries, query_id, query_text, index)
+    scored = R.fill_lists(scored, queries, query_id, index.documents, "doc_id", k, ["lexical"])
+    return R.rank_topk(scored, k, score="lexical", item="doc_id")
 
 
-def lexical_retrieval(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, k: int = 10) -> DataFrame:
-    return R.rank_topk(bm25_scores(queries, query_id, query_text, index), k, score="lexical", item="doc_id")
+def filled_pairs(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, k: int) -> DataFrame:
+    """Pairs with both scores; every query has ``k`` of them where the bank has as many."""
+    pairs = sparse_scores(queries, query_id, query_text, index)
+    return R.fill_lists(pairs, queries, query_id, index.documents, "doc_id", k, ["dense", "lexical"])
 
 
 def hybrid_whole_bank(queries: DataFrame, query_id: str, query_text: str, bank: DataFrame, bank_id: str,
                       bank_text: str, k: int = 10, weight: float = DENSE_WEIGHT) -> DataFrame:
     """Dense and BM25 scores scaled over the whole bank, fused and cut to ``k``."""
     index = lexical_index(bank, bank_id, bank_text)
-    pairs = sparse_scores(queries, query_id, query_text, index)
+    pairs = cut_lineage(filled_pairs(queries, query_id, query_text, index, k))
     return R.rank_topk(Fu.fuse_whole_bank(pairs, index.n_docs(), weight), k, item="doc_id")
 
 
@@ -62,7 +65,8 @@ def hybrid_pooled(queries: DataFrame, query_id: str, query_text: str, bank: Data
                   weight: float = DENSE_WEIGHT) -> DataFrame:
     """Pool of both lists, scaled and fused inside the pool, phrase boost, best row per entity."""
     index = lexical_index(bank, bank_id, bank_text)
-    pool = Fu.fuse_pool(Fu.pool_union(sparse_scores(queries, query_id, query_text, index), fetch_k), weight)
+    pairs = cut_lineage(filled_pairs(queries, query_id, query_text, index, fetch_k))
+    pool = Fu.fuse_pool(Fu.pool_union(pairs, fetch_k), weight)
     boosted = with_boost(pool.withColumnRenamed("score", "hybrid_score"), "hybrid_score",
                          queries, query_id, query_text, bank, bank_id, entity, phrase)
     return R.distinct_topk(boosted, k, item="doc_id")
@@ -98,6 +102,14 @@ def with_boost(scored: DataFrame, base: str, queries: DataFrame, query_id: str,
     return out.withColumn("score", r6(F.col(base) + F.col("phrase_boost"))).drop("_match")
 
 
+def hybrid_rerank(queries: DataFrame, query_id: str, query_text: str, bank: DataFrame, bank_id: str, bank_text: str,
+                  entity: str, phrase: str, scorer: PairScorer, pool: int = 20, k: int = 5) -> DataFrame:
+    """Pooled hybrid search with boost, one row per entity, ``pool`` entities; rescored as pairs and cut to ``k``."""
+    ranked = hybrid_pooled(queries, query_id, query_text, bank, bank_id, bank_text, entity, phrase, pool)
+    ranked = ranked.select("query_id", F.col("doc_id").alias("bank_id"), "rank", "score")
+    return rerank_candidates(candidate_pairs(ranked, queries, query_id, query_text, bank, bank_id, entity, bank_text), scorer, k)
+
+
 def rerank_candidates(candidates: DataFrame, scorer: PairScorer, k: int) -> DataFrame:
     """Score (query, candidate) pairs and re-order each list; all score columns are kept."""
     return R.rerank(scorer(candidates), k)

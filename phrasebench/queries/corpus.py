@@ -235,7 +235,7 @@ def _(t):
 @query("a05_distinct", "SELECT count(DISTINCT source) AS sources, count(DISTINCT text) AS texts, count(DISTINCT lang) AS langs FROM documents")
 def _(t):
     """A05"""
-    return t.documents.agg(F.countDistinct("source").alias("sources"), F.countDistinct("text").alias("texts"),
+    return t.documents.agg(F.countDistinct("source").alias("sources"), F.countDistinct(F.md5("text")).alias("texts"),
                            F.countDistinct("lang").alias("langs"))
 
 

@@ -15,7 +15,7 @@ from phrasebench.operators import rank as R
 from phrasebench.plans import reports as Rep
 from phrasebench.queries.registry import (
     SCORED, SCORED_ORDERS, half_even, md5_of, query, ranked_vectors, tokens_of)
-from phrasebench.queries.retrieval import ranked_vector_rows
+from phrasebench.queries.retrieval import ranked_vector_rows, vector_sets
 
 RANKED = f"WITH {ranked_vectors()}"
 TEN = f"WITH {ranked_vectors(10, 100)}"
@@ -26,7 +26,8 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def gold_ranks(t, k: int = 5, fetch: int = 25) -> DataFrame:
-    return R.gold_rank(ranked_vector_rows(t, k, fetch))
+    queries = vector_sets(t)[0].select(F.col("vec_id").alias("query_id"))
+    return R.gold_rank(ranked_vector_rows(t, k, fetch), queries=queries)
 
 
 METRICS = """count(*) AS n_queries, round(avg(coalesce((gold_rank <= 1)::INT, 0)), 6) AS top1, round(avg(coalesce((gold_rank <= 3)::INT, 0)), 6) AS top3,

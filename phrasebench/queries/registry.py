@@ -148,14 +148,17 @@ idf0 AS (SELECT term, df, cf, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM st, nn
 idf AS (SELECT term, df, cf, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM idf0) ELSE raw END AS idf FROM idf0),
 qt AS (SELECT query_id, term, count(*) AS qf FROM
   (SELECT {qid} AS query_id, unnest({tokens_of(qtext)}) AS term FROM {queries}) GROUP BY ALL),
-bm AS (SELECT query_id, doc_id,
+bm0 AS (SELECT query_id, doc_id,
   round(sum(qf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS lexical
-  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), nn GROUP BY ALL)"""
+  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), nn GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, coalesce(lexical, 0::DOUBLE) AS lexical FROM (
+  SELECT a.query_id, b.doc_id FROM (SELECT {qid} AS query_id FROM {queries}) a CROSS JOIN (SELECT {did} AS doc_id FROM {bank}) b)
+  LEFT JOIN bm0 USING (query_id, doc_id))"""
 
 
 def hybrid_sql(*args: str) -> str:
     return lexical_sql(*args) + """,
-vocab AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS vi FROM st, nn WHERE df >= 2 ORDER BY cf DESC, term LIMIT 30000),
+vocab AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS vi FROM st, nn),
 dn AS (SELECT doc_id, sqrt(sum((tf * vi) * (tf * vi))) AS dn FROM tf JOIN vocab USING (term) GROUP BY 1),
 qn AS (SELECT query_id, sqrt(sum((qf * vi) * (qf * vi))) AS qn FROM qt JOIN vocab USING (term) GROUP BY 1),
 cs AS (SELECT query_id, doc_id, sum(qf * vi * tf * vi) AS d FROM qt JOIN tf USING (term) JOIN vocab USING (term) GROUP BY ALL),

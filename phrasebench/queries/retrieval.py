@@ -36,13 +36,8 @@ def bench_index(t):
     return L.lexical_index(t.documents, "doc_id", "text")
 
 
-def bench_pairs(t):
-    return L.sparse_scores(t.benchmark, "item_id", "text", bench_index(t))
-
-
-def doc_pool(t, fetch: int = 50):
-    index = L.lexical_index(t.benchmark, "item_id", "text")
-    return Fu.pool_union(L.sparse_scores(t.documents, "doc_id", "text", index), fetch)
+def bench_pairs(t, k: int = 20):
+    return cut_lineage(Z.filled_pairs(t.benchmark, "item_id", "text", bench_index(t), k))
 
 
 @query("dense_top5", f"""WITH {VECTORS} SELECT query_id, bank_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) AS rank
@@ -106,7 +101,7 @@ def _(t):
 @query("lexical_stats", f"WITH {lexical_sql(*BENCH_ON_DOCS)} SELECT term, df, cf, round(idf, 6) AS idf FROM idf")
 def _(t):
     """Document frequency, collection frequency and floored idf of every term."""
-    return bench_index(t).term_stats().withColumn("idf", r6("idf"))
+    return bench_index(t).term_stats().select("term", "df", "cf", r6("idf").alias("idf"))
 
 
 @query("bm25_top10", f"WITH {lexical_sql(*BENCH_ON_DOCS)} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS rank FROM bm QUALIFY rank <= 10")
@@ -189,25 +184,31 @@ SELECT query_id, doc_id, dense, coalesce(lexical, 0) AS lexical FROM d LEFT JOIN
 def _(t):
     """J16"""
     index = bench_index(t)
-    d = R.rank_topk(L.sparse_scores(t.benchmark, "item_id", "text", index), 20, score="dense", item="doc_id")
+    d = R.rank_topk(Z.filled_pairs(t.benchmark, "item_id", "text", index, 20), 20, score="dense", item="doc_id")
     lx = Z.lexical_retrieval(t.benchmark, "item_id", "text", index, 20).select("query_id", "doc_id", "lexical")
     return Fu.attach_lexical(d.select("query_id", "doc_id", "dense"), lx, ["query_id", "doc_id"])
 
 
-@query("w05_minmax", f"""WITH {lexical_sql(*BENCH_ON_DOCS)}, r AS (SELECT query_id, min(lexical) AS lo, max(lexical) AS hi FROM bm GROUP BY 1)
-SELECT query_id, doc_id, lexical, round(CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (lexical - lo) / (hi - lo) END, 6) AS lexical_norm FROM bm JOIN r USING (query_id)""")
+LIST50 = f"""WITH {lexical_sql(*BENCH_ON_DOCS)},
+l AS (SELECT query_id, doc_id, lexical FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) <= 50),
+r AS (SELECT query_id, min(lexical) AS lo, max(lexical) AS hi FROM l GROUP BY 1)"""
+
+
+def lexical_pool(t):
+    return Z.lexical_retrieval(t.benchmark, "item_id", "text", bench_index(t), 50).select("query_id", "doc_id", "lexical")
+
+
+@query("w05_minmax", f"""{LIST50} SELECT query_id, doc_id, lexical, round(CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (lexical - lo) / (hi - lo) END, 6) AS lexical_norm
+FROM l JOIN r USING (query_id)""")
 def _(t):
-    """Min-max scaling of every scored pair of a query."""
-    scored = L.bm25_scores(t.benchmark, "item_id", "text", bench_index(t))
-    return Fu.minmax(scored, ["lexical"]).withColumn("lexical_norm", r6("lexical_norm"))
+    """Min-max scaling inside each query's candidate pool."""
+    return Fu.minmax_pool(lexical_pool(t), ["lexical"]).withColumn("lexical_norm", r6("lexical_norm"))
 
 
-@query("a41_max_scale", f"""WITH {lexical_sql(*BENCH_ON_DOCS)}, r AS (SELECT query_id, max(lexical) AS hi FROM bm GROUP BY 1)
-SELECT query_id, doc_id, lexical, round(coalesce(lexical / nullif(hi, 0), 0), 6) AS lexical_max_norm FROM bm JOIN r USING (query_id)""")
+@query("a41_max_scale", f"""{LIST50} SELECT query_id, doc_id, lexical, round(coalesce(lexical / nullif(hi, 0), 0), 6) AS lexical_max_norm FROM l JOIN r USING (query_id)""")
 def _(t):
-    """A41"""
-    scored = L.bm25_scores(t.benchmark, "item_id", "text", bench_index(t))
-    return Fu.max_scale(scored, "lexical").withColumn("lexical_max_norm", r6("lexical_max_norm"))
+    """Over each query's candidate pool."""
+    return Fu.max_scale(lexical_pool(t), "lexical").withColumn("lexical_max_norm", r6("lexical_max_norm"))
 
 
 @query("phrase_boost_search", f"""WITH {hybrid_sql(*DOCS_ON_BENCH)},
@@ -221,7 +222,7 @@ SELECT query_id, doc_id, dense, phrase_boost, score, row_number() OVER (PARTITIO
 def _(t):
     """Dense top 30, boost for a contained phrase, best row per entity."""
     index = L.lexical_index(t.benchmark, "item_id", "text")
-    pairs = L.sparse_scores(t.documents, "doc_id", "text", index)
+    pairs = Z.filled_pairs(t.documents, "doc_id", "text", index, 30)
     d = R.rank_topk(pairs, 30, score="dense", item="doc_id").select("query_id", "doc_id", "dense")
     boosted = Z.with_boost(d, "dense", t.texts, "doc_id", "text", t.benchmark, "item_id", "text", "text")
     return R.distinct_topk(boosted, 5, item="doc_id").select("query_id", "doc_id", "dense", "phrase_boost", "score", "rank")
@@ -272,8 +273,8 @@ def _(t):
     return Z.mining_set(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold")), ranked)
 
 
-PAIRS = f"""WITH {hybrid_sql(*BENCH_ON_DOCS)},
-t10 AS (SELECT query_id, doc_id, lexical, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS rank FROM sp QUALIFY rank <= 10),
+PAIRS = f"""WITH {lexical_sql(*BENCH_ON_DOCS)},
+t10 AS (SELECT query_id, doc_id, lexical, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc_id) AS rank FROM bm QUALIFY rank <= 10),
 prs AS (SELECT t10.query_id, t10.doc_id AS bank_id, rank, b.text AS query, d.source || ' | ' || d.text AS candidate
  FROM t10 JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id))"""
 
@@ -290,25 +291,34 @@ def _(t):
     return pair_rows(t).select("query_id", "bank_id", "rank", "query", "candidate")
 
 
-OVERLAP = f"""{PAIRS}, st2 AS (SELECT *, list_distinct({tokens_of('query')}) AS qs, list_distinct({tokens_of('candidate')}) AS cs2,
+OVERLAP_STEPS = f""", st2 AS (SELECT *, list_distinct({tokens_of('query')}) AS qs, list_distinct({tokens_of('candidate')}) AS cs2,
  ' ' || array_to_string({norm_of('query')}, ' ') || ' ' AS qr, ' ' || array_to_string({norm_of('candidate')}, ' ') || ' ' AS cr FROM prs),
 rs AS (SELECT query_id, bank_id, rank, len(list_intersect(qs, cs2)) / len(list_distinct(list_concat(qs, cs2)))
  + 0.5::DOUBLE * CASE WHEN contains(qr, cr) THEN 1 ELSE 0 END AS raw FROM st2),
 rr AS (SELECT query_id, bank_id, rank, round(raw, 6) AS rerank_score FROM rs)"""
+OVERLAP = PAIRS + OVERLAP_STEPS
+
+POOL20 = f"""{POOL}, f20 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fbest QUALIFY rank <= 20),
+prs AS (SELECT f20.query_id, f20.doc_id AS bank_id, rank, d.text AS query, b.text || ' | ' || b.text AS candidate
+ FROM f20 JOIN documents d ON d.doc_id = f20.query_id JOIN benchmark b ON b.item_id = f20.doc_id)"""
+
+
+def rounded_overlap(pairs):
+    return K.overlap_scorer(pairs).withColumn("rerank_score", r6("rerank_score"))
 
 
-@query("hybrid_rerank", f"""{OVERLAP} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, bank_id) AS rerank_rank FROM rr QUALIFY rerank_rank <= 5""")
+@query("hybrid_rerank", f"""{POOL20}{OVERLAP_STEPS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, bank_id) AS rerank_rank FROM rr QUALIFY rerank_rank <= 5""")
 def _(t):
-    """Candidates rescored by a pair scorer and re-ordered."""
-    scored = K.overlap_scorer(pair_rows(t)).withColumn("rerank_score", r6("rerank_score"))
-    return R.rerank(scored, 5).select("query_id", "bank_id", "rank", "rerank_score", "rerank_rank")
+    """Pooled hybrid search with boost, 20 entities a query, rescored as pairs, first five."""
+    out = Z.hybrid_rerank(t.texts, "doc_id", "text", t.benchmark, "item_id", "text", "text", "text", rounded_overlap)
+    return out.select("query_id", "bank_id", "rank", "rerank_score", "rerank_rank")
 
 
 @query("w05_display_scale", f"""{OVERLAP}, x AS (SELECT query_id, min(rerank_score) AS lo, max(rerank_score) AS hi FROM rr GROUP BY 1)
 SELECT query_id, bank_id, round(CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (rerank_score - lo) / (hi - lo) END, 6) AS shown FROM rr JOIN x USING (query_id)""")
 def _(t):
     """Rerank scores scaled for display inside each list."""
-    scored = K.overlap_scorer(pair_rows(t)).withColumn("rerank_score", r6("rerank_score"))
+    scored = rounded_overlap(pair_rows(t))
     shown = Fu.minmax_pool(scored, ["rerank_score"])
     return shown.select("query_id", "bank_id", r6("rerank_score_norm").alias("shown"))
 
@@ -322,7 +332,9 @@ def _(t):
     return D.term_table(t.documents, "doc_id", "text").withColumn("idf", r6("idf"))
 
 
-@query("m08_tfidf_weights", f"""WITH {hybrid_sql(*BENCH_ON_DOCS)} SELECT doc_id, term, round(tf * vi / dn, 6) AS weight FROM tf JOIN vocab USING (term) JOIN dn USING (doc_id)""")
+@query("m08_tfidf_weights", f"""WITH {lexical_sql(*BENCH_ON_DOCS)},
+vocab AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS vi FROM st, nn WHERE df >= 2 ORDER BY cf DESC, term LIMIT 30000),
+dn AS (SELECT doc_id, sqrt(sum((tf * vi) * (tf * vi))) AS dn FROM tf JOIN vocab USING (term) GROUP BY 1) SELECT doc_id, term, round(tf * vi / dn, 6) AS weight FROM tf JOIN vocab USING (term) JOIN dn USING (doc_id)""")
 def _(t):
     """L2-normalised tf-idf weights in table form."""
     index = bench_index(t)
@@ -333,8 +345,8 @@ def detection_rows(t):
     return t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
 
 
-def detector(t, rows):
-    return D.text_classifier("text", "quality", rows.count()).fit(rows.where(F.col("split") == "train"))
+def detector(rows):
+    return D.fit_text_classifier(rows.where(F.col("split") == "train"), "text", "quality")
 
 
 @query("detector_scores")
@@ -342,7 +354,7 @@ def _(t):
     """Classifier fitted on the training groups, scores of the held-out ones."""
     from phrasebench.operators.split import group_split
     rows = group_split(detection_rows(t).withColumn("k", F.md5("text")), "k")
-    return D.detect(detector(t, rows), rows.where(F.col("split") == "test"), ["doc_id", "quality"])
+    return D.detect(detector(rows), rows.where(F.col("split") == "test"), ["doc_id", "quality"])
 
 
 @query("rerank_model")
@@ -373,7 +385,7 @@ def _(t):
 def _(t):
     """Detector verdict and flags beside the retrieved answers of every passage."""
     train = detection_rows(t)
-    model = D.text_classifier("text", "quality", train.count()).fit(train)
+    model = D.fit_text_classifier(train, "text", "quality")
     verdict = D.detect(model, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), ["query_id"])
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return Z.two_layer(queries, verdict, answers(t).where(F.col("rank") <= 3))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def build_session(app: str = "phrasebench", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution and skew-join handling on; other settings stay the cluster's."""
     builder = SparkSession.builder.appName(app)
@@ -57,9 +59,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def bucket_count(spark: SparkSession, size: int, per_bucket: int = 64 * 1024 * 1024) -> int:
-    """Buckets for ``size`` bytes: one per 64 MB, at least one per core, at most the shuffle width."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(width, max(spark.sparkContext.defaultParallelism, -(-size // per_bucket)))
+    """Buckets for ``size`` bytes: one per 64 MB, at least one per core; Spark's own bound is raised where it is lower."""
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size // per_bucket))
+    if buckets > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(buckets))
+    return buckets
 
 
 def store_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
@@ -69,14 +73,26 @@ def store_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFram
     """
     spark = df.sparkSession
     name = f"phrasebench_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    df.write.format("parquet").mode("overwrite").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return _forget_at_exit(spark, name)
 
 
 def open_bucketed(spark: SparkSession, path: str, key: str, buckets: int, ddl: str) -> DataFrame:
     """Open bucket files written by an earlier job, keeping their partitioning."""
     name = f"phrasebench_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    quoted = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+    return _forget_at_exit(spark, name)
+
+
+def _forget_at_exit(spark: SparkSession, name: str) -> DataFrame:
+    """The table, whose catalog entry (not its files) goes when the driver ends."""
+    def drop() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session may have ended before, and with it an in-memory catalog
+            pass
+    atexit.register(drop)
     return spark.table(name)
 
 

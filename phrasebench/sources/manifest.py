@@ -36,7 +36,7 @@ def check_artifacts(spark: SparkSession, expected: DataFrame, root: str) -> Data
 
 def require_artifacts(spark: SparkSession, expected: DataFrame, root: str) -> None:
     """Raise, naming what is missing."""
-    missing = check_artifacts(spark, expected, root).where(F.col("status") != "ok").select("artifact").limit(100)
+    missing = check_artifacts(spark, expected, root).where(F.col("status") != "ok").select("artifact")
     names = [r["artifact"] for r in missing.collect()]
     if names:
         raise FileNotFoundError("missing artifacts: " + ", ".join(sorted(names)))

@@ -62,7 +62,8 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
     meta = read_config(spark, f"{path}/meta")
     post = open_bucketed(spark, f"{path}/postings", "doc_id", meta["buckets"], meta["columns"])
-    return LexicalIndex(post, *[spark.read.parquet(f"{path}/{part}") for part in ("terms", "documents")])
+    norms = open_bucketed(spark, f"{path}/norms", "doc_id", meta["buckets"], meta["norms"])
+    return LexicalIndex(post, *[spark.read.parquet(f"{path}/{part}") for part in ("terms", "documents")], norms)
 
 
 def read_config(spark: SparkSession, path: str) -> dict:

@@ -297,7 +297,7 @@ def test_sparse_scores_paths_agree(spark, limit):
     docs, queries, d, q = corpus(spark)
     index = L.lexical_index(d, "d", "text")
     got = {(r["query_id"], r["doc_id"]): r for r in L.sparse_scores(q, "q", "text", index, limit=limit).collect()}
-    vocab = {r["term"]: r["idf"] for r in L.vocabulary(index).collect()}
+    vocab = {r["term"]: r["smooth_idf"] for r in index.terms.collect()}
     for (qi, di), r in list(got.items())[:100]:
         qt, dt = dict(queries)[qi].split(), dict(docs)[di].split()
         qw = {w: qt.count(w) * vocab[w] for w in set(qt) if w in vocab}
