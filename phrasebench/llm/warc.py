@@ -149,16 +149,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     whose payload holds a cut.
     """
     cuts = cut_lineage(candidates(spark, path))
-    narrow = cut_lineage(placed(cuts.drop("raw", "headers")))
-    good = reachable(narrow.where("length IS NOT NULL").select("file", "offset", "next"))
-    false = cut_lineage(narrow.join(good, ["file", "offset"], "left_anti").select("file", "offset"))
-    rows = placed(cuts)
+    number = F.xxhash64("file").alias("f")  # paths are long; rounds carry eight bytes for them
+    narrow = cut_lineage(placed(cuts.drop("raw", "headers")).select(number, "offset", "next", "length"))
+    good = reachable(narrow.where("length IS NOT NULL").select(F.col("f").alias("file"), "offset", "next"))
+    false = narrow.join(good.withColumnRenamed("file", "f"), ["f", "offset"], "left_anti").select("f", "offset")
+    false = cut_lineage(false)
+    rows = placed(cuts).withColumn("f", number)
     whole = F.coalesce(F.octet_length("raw") >= F.col("head") + F.col("length"), F.lit(False))
     own = F.substring(F.col("raw"), F.col("head").cast("int") + 1, F.col("length").cast("int"))
     if false.isEmpty():
         return rows.select("file", "offset", "headers", own.alias("payload"))
-    simple = rows.where(whole).join(false, ["file", "offset"], "left_anti").select("file", "offset", "headers", own.alias("payload"))
-    marked = rows.join(false.withColumn("false", F.lit(True)), ["file", "offset"], "left").where(F.col("false") | ~whole)
+    simple = rows.where(whole).join(false, ["f", "offset"], "left_anti").select("file", "offset", "headers", own.alias("payload"))
+    marked = rows.join(false.withColumn("false", F.lit(True)), ["f", "offset"], "left").where(F.col("false") | ~whole)
     owner = F.max(F.when(F.col("false").isNull(), F.col("offset"))).over(W.partitionBy("file").orderBy("offset"))
     piece = F.struct("offset", F.when(F.col("false"), F.concat(F.lit(_CUT).cast("binary"), "raw")).otherwise(F.col("raw")).alias("raw"))
     parts = marked.withColumn("owner", owner).where("owner IS NOT NULL").groupBy("file", "owner").agg(
