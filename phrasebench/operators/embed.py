@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import RegexTokenizer, Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +32,6 @@ def model_embedder(load: Callable[[], Callable[[list[str]], list]], text: str, o
     return lambda df: df.withColumn(out, encode(text))
 
 
-def fit_word_embedder(df: DataFrame, text: str, size: int = 64, seed: int = 42, out: str = "vec"):
-    """Mean word vectors fitted with Spark ML; returns an embedder."""
-    model = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\s+"),
-        Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="_w", outputCol="_v"),
-    ]).fit(df)
-    return lambda rows: model.transform(rows).withColumn(out, vector_to_array("_v", "float32")).drop("_w", "_v")
-
-
 def model_pair_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list]]) -> Callable[[DataFrame], DataFrame]:
     """User's pair model: ``load`` runs once per worker and returns batch-of-pairs → scores."""
     @F.pandas_udf("double")

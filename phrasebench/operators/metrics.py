@@ -132,8 +132,3 @@ def compare_models(metrics: DataFrame, baseline: str, cols: list[str], model: st
 
 def to_long(metrics: DataFrame, cols: list[str], model: str = "model") -> DataFrame:
     return metrics.unpivot([model], cols, "metric", "value")
-
-
-def to_wide(long: DataFrame, names: list[str], model: str = "model") -> DataFrame:
-    """One column per metric; values are first per (model, metric)."""
-    return long.groupBy(model).pivot("metric", names).agg(F.max("value"))

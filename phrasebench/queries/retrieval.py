@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phrasebench.functions.numeric import minmax_scale, r6
+from phrasebench.functions.numeric import r6
 from phrasebench.functions.text import normal_tokens
 from phrasebench.operators import detect as D
 from phrasebench.operators import fusion as Fu
@@ -120,7 +120,7 @@ SELECT k::INT AS k, round(count_if(gold_rank <= k) / count(*), 6) AS recall FROM
 def _(t):
     """Recall of the documents that hold the passage, k = 1..10."""
     from phrasebench.operators.metrics import recall_curve
-    docs = t.texts.select("doc_id", normal_tokens("text").alias("q"))
+    docs = t.documents.select("doc_id", normal_tokens("text").alias("q"))
     items = t.benchmark.select("item_id", normal_tokens("text").alias("p"))
     gold = L.token_run_matches(docs, "doc_id", "q", items, "item_id", "p").select(
         F.col("phrase_id").alias("query_id"), F.col("query_id").alias("doc_id"))
@@ -148,7 +148,7 @@ def _(t):
  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fbest QUALIFY rank <= 5""")
 def _(t):
     """Documents as queries, passages as bank."""
-    out = Z.hybrid_pooled(t.texts, "doc_id", "text", t.benchmark, "item_id", "text", "text", "text")
+    out = Z.hybrid_pooled(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", "text", "text")
     return out.select("query_id", "doc_id", "entity", r6("hybrid_score").alias("hybrid_score"), "phrase_boost", "score", "rank")
 
 
@@ -224,7 +224,7 @@ def _(t):
     index = L.lexical_index(t.benchmark, "item_id", "text")
     pairs = Z.filled_pairs(t.documents, "doc_id", "text", index, 30)
     d = R.rank_topk(pairs, 30, score="dense", item="doc_id").select("query_id", "doc_id", "dense")
-    boosted = Z.with_boost(d, "dense", t.texts, "doc_id", "text", t.benchmark, "item_id", "text", "text")
+    boosted = Z.with_boost(d, "dense", t.documents, "doc_id", "text", t.benchmark, "item_id", "text", "text")
     return R.distinct_topk(boosted, 5, item="doc_id").select("query_id", "doc_id", "dense", "phrase_boost", "score", "rank")
 
 
@@ -234,7 +234,7 @@ LETTERS = (f"list_transform(string_split('{','.join(ALPHABET)}', ','), lambda c:
 @query("m11_letter_vectors", f"WITH e AS (SELECT doc_id, {LETTERS} AS v FROM documents) SELECT doc_id, array_to_string(list_transform(v, lambda x: x::BIGINT), ',') AS vec FROM e")
 def _(t):
     """An embedder adds a vector column."""
-    rows = letter_embedder("text")(t.texts.select("doc_id", "text"))
+    rows = letter_embedder("text")(t.documents.select("doc_id", "text"))
     return rows.select("doc_id", F.array_join(F.col("vec").cast("array<bigint>").cast("array<string>"), ",").alias("vec"))
 
 
@@ -251,7 +251,7 @@ def _(t):
     embed = letter_embedder("text")
     # vectors are made once and stored, as an encoder's would be
     q = cut_lineage(embed(t.benchmark.select("item_id", "text")))
-    b = cut_lineage(embed(t.texts.select("doc_id", "text")))
+    b = cut_lineage(embed(t.documents.select("doc_id", "text")))
     return Z.hybrid_vectors(q, "item_id", "text", "vec", b, "doc_id", "text", "vec", 10)
 
 
@@ -310,7 +310,7 @@ def rounded_overlap(pairs):
 @query("hybrid_rerank", f"""{POOL20}{OVERLAP_STEPS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, bank_id) AS rerank_rank FROM rr QUALIFY rerank_rank <= 5""")
 def _(t):
     """Pooled hybrid search with boost, 20 entities a query, rescored as pairs, first five."""
-    out = Z.hybrid_rerank(t.texts, "doc_id", "text", t.benchmark, "item_id", "text", "text", "text", rounded_overlap)
+    out = Z.hybrid_rerank(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", "text", "text", rounded_overlap)
     return out.select("query_id", "bank_id", "rank", "rerank_score", "rerank_rank")
 
 

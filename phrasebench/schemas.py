@@ -1,4 +1,4 @@
-"""Declared schemas, as DDL text: the driver tables and the logical corpus tables."""
+"""Declared schemas of the driver tables, as DDL text."""
 
 from __future__ import annotations
 
@@ -11,26 +11,3 @@ TABLES = {
     "pages": "page_id bigint, url string, html string",
     "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
 }
-
-#: Detection examples: one sentence of one entity with its usage label.
-DETECTION_EXAMPLE = (
-    "idiom_id string, idiom_canonical string, idiom_surface string, example string, example_normalized string, "
-    "example_usage_label string, minimal_pair_id string, context_type string, source_style string, "
-    "sentence_length_words int")
-
-#: Retrieval examples with the entity's meaning fields.
-RETRIEVAL_EXAMPLE = (
-    "idiom_id string, idiom_canonical string, example string, example_usage_label string, is_example_idiom boolean, "
-    "validation_status string, semantic_quality string, idiom_canonical_meaning string, "
-    "meaning_paraphrases_en string, idiom_level_explanation_en string")
-
-#: Cross-lingual examples.
-CROSS_LINGUAL_EXAMPLE = (
-    "idiom_id string, idiom_canonical string, idiom_in_example_arabic string, "
-    "idiom_in_example_meaning_arabic string, idiom_canonical_meaning_arabic string, is_example_idiom boolean")
-
-#: Training pair of a pair scorer.
-TRAINING_PAIR = "query string, candidate string, label double"
-
-#: Score table of a retrieval run.
-RANKED = "query_id bigint, rank int, bank_id bigint, score double, entity string, gold string"

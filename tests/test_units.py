@@ -32,8 +32,8 @@ def one(spark, expr):
 # ---- text ----------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("phrase,text,want", [
-    ("spill the tea", "She spilled the tea about the party", 1.0),
-    ("spill the tea", "the spill was tea", 0.0),
+    ("mend the lamp", "They mended the lamps by noon", 1.0),
+    ("mend the lamp", "the mend was a lamp", 0.0),
     ("a b c", "a b", 0.0),
     ("", "a b", 0.0),
     ("123", "a 123 b", 0.0),
@@ -43,14 +43,14 @@ def test_phrase_score(spark, phrase, text, want):
     assert got == want
 
 
-WORDS = ["running", "spilled", "beans", "red", "bus", "sing", "being", "rings", "things", "bed", "needed", "class", "ing", "x"]
+WORDS = ["running", "mended", "lamps", "red", "bus", "sing", "being", "rings", "things", "bed", "needed", "class", "ing", "x"]
 
 
 def test_light_stem(spark):
-    want = ["runn", "spill", "bean", "red", "bus", "sing", "being", "ring", "thing", "bed", "need", "clas", "ing", "x"]
+    want = ["runn", "mend", "lamp", "red", "bus", "sing", "being", "ring", "thing", "bed", "need", "clas", "ing", "x"]
     rows = spark.createDataFrame([(i, w) for i, w in enumerate(WORDS)], "i int, w string")
     assert [r[0] for r in rows.orderBy("i").select(X.light_stem("w")).collect()] == want
-    assert one(spark, X.normal_tokens(F.lit("Running, SPILLED! ' beans red\tbus sing."))) == ["runn", "spill", "bean", "red", "bus", "sing"]
+    assert one(spark, X.normal_tokens(F.lit("Running, MENDED! ' lamps red\tbus sing."))) == ["runn", "mend", "lamp", "red", "bus", "sing"]
     assert one(spark, X.normal_tokens(F.lit(" ".join(WORDS)))) == want
 
 
@@ -67,9 +67,9 @@ def test_clean_text(spark):
 
 
 @pytest.mark.parametrize("gold,pred,want", [
-    ("spill the beans", "spill the tea", "Lexical Confusion"),
-    ("break ice", "cold feet", "Short/Ambiguous Idioms"),
-    ("kick a big old bucket", "hang up", "Semantic Confusion"),
+    ("paint the fence", "paint the wall", "Lexical Confusion"),
+    ("warm rain", "low tide", "Short/Ambiguous Idioms"),
+    ("carry a wide green ladder", "sit down", "Semantic Confusion"),
 ])
 def test_failure_type(spark, gold, pred, want):
     assert one(spark, X.failure_type(F.lit(gold), F.lit(pred))) == want
@@ -428,3 +428,31 @@ def test_user_models(spark):
     pairs = spark.createDataFrame([("a", "bb")], "query string, candidate string")
     scored = model_pair_scorer(lambda: (lambda ps: [float(len(a) + len(b)) for a, b in ps]))(pairs)
     assert scored.first()["rerank_score"] == 3.0
+
+
+def test_fill_lists_completes_short_lists_by_the_tie_rule(spark):
+    from phrasebench.operators import rank as R
+    bank = spark.createDataFrame([(i,) for i in (7, 3, 9, 5, 1)], "d long")
+    queries = spark.createDataFrame([(0,), (1,), (2,)], "q long")
+    scored = spark.createDataFrame([(0, 5, 0.5), (0, 1, 0.0), (1, 9, 1.0), (1, 7, 0.9), (1, 5, 0.8)], "query_id long, doc_id long, s double")
+    full = R.rank_topk(R.fill_lists(scored, queries, "q", bank, "d", 3, ["s"]), 3, score="s", item="doc_id")
+    got = {q: [r.doc_id for r in sorted(full.collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in range(3)}
+    assert got == {0: [5, 1, 3], 1: [9, 7, 5], 2: [1, 3, 5]}
+
+
+def test_gold_rank_counts_queries_without_hits(spark):
+    from phrasebench.operators import metrics as M
+    from phrasebench.operators import rank as R
+    ranked = spark.createDataFrame([(1, "a", "a", 1), (2, "b", "a", 1), (2, "a", "a", 2)], "query_id long, entity string, gold string, rank int")
+    queries = spark.createDataFrame([(1,), (2,), (3,), (4,)], "query_id long")
+    ranks = R.gold_rank(ranked, queries=queries)
+    assert {r.query_id: r.gold_rank for r in ranks.collect()} == {1: 1, 2: 2, 3: None, 4: None}
+    assert abs(M.recall_curve(ranks, 2).where("k = 2").first()["recall"] - 0.5) < 1e-9
+
+
+def test_classifier_weights_terms_found_everywhere(spark):
+    from phrasebench.operators.detect import fit_text_classifier
+    rows = spark.createDataFrame([("common alpha", 0), ("common beta", 1), ("common alpha", 0), ("common beta", 1)], "text string, label int")
+    model = fit_text_classifier(rows, min_df=1)
+    place = model.stages[3].vocabulary.index("common")
+    assert abs(model.stages[4].getScalingVec()[place] - 1.0) < 1e-12  # ln((n + 1) / (df + 1)) + 1 at df = n
