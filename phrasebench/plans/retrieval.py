@@ -119,6 +119,19 @@ def mining_set(queries: DataFrame, ranked: DataFrame, n: int = 3, depth: int = 1
     return training_pairs(queries, ranked, n, depth)
 
 
+def two_layer_answers(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, bank: DataFrame, bank_id: str,
+                      bank_text: str, entity: str, scorer: PairScorer, k: int = 3, pool: int = 20) -> DataFrame:
+    """(query_id, bank_id, entity, fused, rerank_score, rank): dense top ``pool`` with its lexical scores, fused, scored
+    as pairs, best row per entity, cut to ``k``."""
+    pairs = filled_pairs(queries, query_id, query_text, index, pool)
+    top = Fu.fuse_demo(R.rank_topk(pairs, pool, score="dense", item="doc_id"))
+    top = top.select("query_id", F.col("doc_id").alias("bank_id"), "rank", r6("score").alias("fused"))
+    scored = scorer(candidate_pairs(top, queries, query_id, query_text, bank, bank_id, entity, bank_text))
+    names = bank.select(F.col(bank_id).alias("bank_id"), F.col(entity).alias("entity"))
+    found = scored.drop("rank", "query", "candidate").join(names, "bank_id")
+    return R.distinct_topk(found, k, score="rerank_score")
+
+
 def two_layer(queries: DataFrame, detections: DataFrame, answers: DataFrame) -> DataFrame:
     """Detector verdict and flags beside the retrieved meanings of every query."""
     notes = detections.select("query_id", "label_name", "confidence", *C.weak_flags("label_name", "confidence"))

@@ -381,6 +381,29 @@ def _(t):
     return answers(t).select("query_id", "bank_id", "rank", "answer")
 
 
+TWO_LAYER = f"""{DEMO}, t20 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS rank,
+ round(0.65::DOUBLE * dense + (1 - 0.65::DOUBLE) * coalesce(lexical / nullif(max(lexical) OVER (PARTITION BY query_id), 0), 0), 6) AS fused FROM d),
+prs AS (SELECT t20.query_id, t20.doc_id AS bank_id, rank, b.text AS query, dd.source || ' | ' || dd.text AS candidate
+ FROM t20 JOIN benchmark b ON b.item_id = t20.query_id JOIN documents dd ON dd.doc_id = t20.doc_id){OVERLAP_STEPS},
+e AS (SELECT rr.query_id, rr.bank_id, rerank_score, source AS entity, fused FROM rr JOIN documents ON doc_id = bank_id
+ JOIN t20 ON t20.query_id = rr.query_id AND t20.doc_id = rr.bank_id
+ QUALIFY row_number() OVER (PARTITION BY rr.query_id, source ORDER BY rerank_score DESC, bank_id) = 1)
+SELECT query_id, bank_id, entity, fused, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, bank_id) AS rank
+FROM e QUALIFY rank <= 3"""
+
+
+def two_layer_rows(queries, index, docs):
+    """The retrieval half of the two-layer job; the feed runs it too."""
+    out = Z.two_layer_answers(queries, "item_id", "text", index, docs, "doc_id", "text", "source", rounded_overlap)
+    return out.select("query_id", "bank_id", "entity", "fused", "rerank_score", "rank")
+
+
+@query("two_layer_retrieval", TWO_LAYER)
+def _(t):
+    """Dense top 20, fused with BM25, scored as pairs, best row per entity, first three."""
+    return two_layer_rows(t.benchmark, bench_index(t), t.documents)
+
+
 @query("two_layer")
 def _(t):
     """Detector verdict and flags beside the retrieved answers of every passage."""
@@ -388,4 +411,4 @@ def _(t):
     model = D.fit_text_classifier(train, "text", "quality")
     verdict = D.detect(model, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), ["query_id"])
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return Z.two_layer(queries, verdict, answers(t).where(F.col("rank") <= 3))
+    return Z.two_layer(queries, verdict, two_layer_rows(t.benchmark, bench_index(t), t.documents))
