@@ -24,6 +24,9 @@ from phrasebench.operators.ordering import top_k_per
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 4096
+#: A query block holds so many times the rows of a bank block: the bank is copied once per query block, and a block's
+#: queries are multiplied ``_CHUNK`` at a time, so only their vectors take memory.
+QUERY_FACTOR = 16
 _CHUNK = 512
 
 
@@ -31,8 +34,8 @@ def _block(n: int, col: str = "id") -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
-def _block_counts(queries: DataFrame, bank: DataFrame, block_rows: int) -> tuple[int, int]:
-    return tuple(max(1, -(-df.count() // block_rows)) for df in (queries, bank))
+def _block_counts(queries: DataFrame, bank: DataFrame, block_rows: int, factor: int = QUERY_FACTOR) -> tuple[int, int]:
+    return tuple(max(1, -(-df.count() // rows)) for df, rows in ((queries, factor * block_rows), (bank, block_rows)))
 
 
 def _spread(queries: DataFrame, bank: DataFrame, n_q: int, n_b: int) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +134,7 @@ def fused_topk(queries: DataFrame, query_id: str, query_vec: str,
     pair of their two rows. ``ranges`` has lo/hi of both scores over the whole bank per query.
     """
     qs, bs = _vectors(queries, query_id, query_vec), _vectors(bank, bank_id, bank_vec)
-    n_q, n_b = _block_counts(qs, bs, block_rows)
+    n_q, n_b = _block_counts(qs, bs, block_rows, 1)  # a block pair also holds its lexical scores
     limits = ["lo_dense", "hi_dense", "lo_lexical", "hi_lexical"]
     q, b = _spread(qs, bs, n_q, n_b)
     q = q.join(ranges.select(F.col("query_id").alias("id"), *limits), "id")
