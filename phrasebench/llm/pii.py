@@ -55,7 +55,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity holds one of these; texts without any are not searched further.
-HINT = r"[0-9@]|[a-f]{32}|[A-F]{32}|gh[pousr]_|sk-|(?=[MHFSDгκ])" + _TITLE + r" \p{Lu}"
+HINT = r"[0-9@]|[a-f]{32}|[A-F]{32}|A[KS]IA|gh[pousr]_|sk-|(?=[MHFSDгκ])" + _TITLE + r" \p{Lu}"
 _GAPS = r"[^\p{L}\p{N}]"
 
 

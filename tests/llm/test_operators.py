@@ -419,3 +419,15 @@ def test_surrogates(spark):
     assert twin.text == made[0] + " twin"
     assert {r.doc_id: r.text for r in out if r.doc_id in (3, 4)} == {3: None, 4: ""} and len(text) == len(rows)
     assert pii.protect(df.where("false"), "doc_id", "text", "k").count() == 0
+
+
+def test_every_kind_of_entity_passes_the_search_filter(spark):
+    key = "ABCDEFGHIJKLMNOP"
+    bare = [("secret", "AKIA" + key), ("secret", "ASIA" + key), ("secret", "abcdef" * 6), ("secret", "ABCDEF" * 6), ("secret", "ghp_" + "x" * 36),
+            ("secret", "sk-" + "y" * 20), ("email", "a.b@host.example")] + [("name", t + " Xyz") for t in pii.MALE_TITLES + pii.FEMALE_TITLES]
+    digits = [("secret", "0123456789abcdef" * 2), ("ip", "10.0.0.1"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789"),
+              ("phone", "+1 743-555-3824"), ("phone", "(743) 555-3824"), ("card", "4111 1111 1111 1111")]
+    rows = bare + digits
+    out = {r.doc_id: r for r in pii.protect(frame(spark, [(i, f"it is {v} here", "en", "s") for i, (_, v) in enumerate(rows)]), "doc_id", "text", "k").collect()}
+    for i, (kind, value) in enumerate(rows):
+        assert [x.kind for x in out[i].pii] == [kind] and value not in out[i].text
