@@ -431,3 +431,23 @@ def test_every_kind_of_entity_passes_the_search_filter(spark):
     out = {r.doc_id: r for r in pii.protect(frame(spark, [(i, f"it is {v} here", "en", "s") for i, (_, v) in enumerate(rows)]), "doc_id", "text", "k").collect()}
     for i, (kind, value) in enumerate(rows):
         assert [x.kind for x in out[i].pii] == [kind] and value not in out[i].text
+
+
+# ---- pipeline ------------------------------------------------------------------------------------
+
+def test_filtering_stages_decide_by_row(spark):
+    import corpus_pipeline
+    rng = random.Random(21)
+    parts = ["ba", "lo", "mi", "ten", "ra", "su", "del"]
+    prose = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    clean = [(None, prose(80), "en", "s"), (None, prose(90), "en", "s"), (3, prose(100), "en", "s"), (4, prose(100), None, "s")]
+    junk = [(None, "too short", "en", "s"), (3, "again too short", "en", "s"), (4, None, None, "s"), (None, None, "en", "s")]
+    docs = frame(spark, clean + junk)
+    out = corpus_pipeline.keep_fluent(spark, docs, "")
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, t) for i, t, _, _ in clean)
+    base = prose(100)
+    rows = [(1, base, "en", "s"), (5, base + " end", "en", "s"), (5, prose(100), "en", "s"), (6, prose(60), "en", "s"), (None, base, "en", "s"),
+            (7, prose(70), "en", "s"), (7, prose(70), "en", "s"), (8, None, "en", "s")]
+    out = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, t) for n, (i, t, _, _) in enumerate(rows) if n != 1)
