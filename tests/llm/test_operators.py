@@ -219,6 +219,36 @@ def test_near_duplicate_classes_against_brute_force(spark):
     assert got == {i: top(i) for i in range(len(texts))}
 
 
+def brute_classes(texts):
+    split, root = [(t or "").split() for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if ordermin.similar(split[i], split[j]) is not None:
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return {i: top(i) for i in range(len(texts))}
+
+
+def test_one_large_bucket_of_unlike_texts_leaves_no_link_unmet(spark, monkeypatch):
+    rng, real = random.Random(23), ordermin.sign
+    monkeypatch.setattr(ordermin, "sign", lambda *a: real(*a).withColumn("sketches", F.array(F.lit(7).cast("long"))))
+    shared = words(rng, 30)
+    texts = [shared + " " + words(rng, 40) for _ in range(150)]
+    texts += [" ".join(edited(rng, t.split(), 8)) for t in texts[:30]]  # links of single texts
+    base = words(rng, 100).split()
+    swap = lambda t, lo, hi: [f"s{rng.randrange(10**6)}" if lo <= i < hi else w for i, w in enumerate(t)]
+    left, right = swap(base, 0, 10), swap(base, 90, 100)  # alike by exactly 0.8
+    texts += [" ".join(x) for x in (left, right)] + [" ".join(swap(left, 40 + i, 50 + i)) for i in range(20)] + [" ".join(swap(right, 40 + i, 50 + i)) for i in range(20)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in ordermin.mark(frame(spark, rows), "doc_id", "text").collect()}
+    assert got == brute_classes(texts)
+
+
 def test_near_duplicates_odd_ids(spark):
     rows = [(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (None, "a b c", "en", "s"), (2, "a b c", "en", "s")]
     out = ordermin.mark(frame(spark, rows), "doc_id", "text").collect()
