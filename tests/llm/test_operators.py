@@ -249,6 +249,20 @@ def test_one_large_bucket_of_unlike_texts_leaves_no_link_unmet(spark, monkeypatc
     assert got == brute_classes(texts)
 
 
+@pytest.mark.parametrize("similarity,least", [(0.8, 0.98), (0.85, 0.99), (0.9, 0.99)])
+def test_scattered_edits_share_a_sketch(similarity, least):
+    rng = np.random.default_rng(29)
+    met, tries = 0, 600
+    for i in range(tries):
+        n = int(rng.integers(60, 400))
+        a = rng.integers(1, 2**62, n).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(n, int(n * (1 - similarity) + 1e-9), replace=False)] = rng.integers(1, 2**62, int(n * (1 - similarity) + 1e-9)).astype(np.uint64)
+        met += bool((ordermin.sketch(a) == ordermin.sketch(b)).any())
+    print("share a sketch", similarity, met / tries)
+    assert met >= least * tries
+
+
 def test_near_duplicates_odd_ids(spark):
     rows = [(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (None, "a b c", "en", "s"), (2, "a b c", "en", "s")]
     out = ordermin.mark(frame(spark, rows), "doc_id", "text").collect()
