@@ -3,8 +3,8 @@
 The model is a modified Kneser-Ney model over the bytes of words, of order 5: Spark counts the n-grams of every
 word of every text (words are first summed inside a task, so what is shuffled is one row per n-gram and task);
 lower orders count distinct left extensions. An n-gram's code is its bytes packed into one integer, a hash without
-collisions; the model is a set of arrays sorted by code. At most ``MAX_NGRAMS`` n-grams of the highest order are
-kept, those of the highest counts, which bounds the model at about 60 MB whatever the corpus.
+collisions; the model is a set of arrays sorted by code. Every n-gram is kept, also those seen once, so the model grows
+with the number of distinct n-grams: it is built in the driver and each worker holds a copy.
 
 A text's score is its mean negative log probability per byte. Each language has a band around the median of its
 own scores, as many robust deviations wide on either side as stated, and wider for short texts, whose means vary
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from phrasebench.session import cut_lineage
 
 ORDER = 5
-MAX_NGRAMS = 1_000_000
 #: Distinct words a task holds at once while counting or scoring.
 MAX_WORDS = 300_000
 START, END = b" ", b"\n"  # neither occurs in a word
@@ -92,7 +91,7 @@ def discounts(counts_of_counts: list[int]) -> tuple[float, float, float]:
 
 
 def build_model(codes, counts, top: list[int]) -> list[dict]:
-    """Arrays per order, lowest first: code, logp (interpolated), ctx, backoff. ``top``: counts of counts before the cut."""
+    """Arrays per order, lowest first: code, logp (interpolated), ctx, backoff. ``top``: counts of counts of the highest order."""
     import numpy as np
     levels = [None] * ORDER
     at = np.argsort(codes)
@@ -137,17 +136,12 @@ def log_prob(model: list[dict], codes):
 
 
 def fit(df: DataFrame, text: str) -> list[dict]:
-    """The model of all texts. What reaches the driver is at most ``MAX_NGRAMS`` rows of 16 bytes."""
+    """The model of all texts: what reaches the driver is one row of 16 bytes per distinct n-gram."""
     import numpy as np
     counted = cut_lineage(count_ngrams(df, text))
     seen = counted.agg(*[F.count(F.when(F.col("n") == c, 1)).alias(f"c{c}") for c in (1, 2, 3, 4)]).first()
-    sizes = {r["b"]: r["c"] for r in counted.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
-    least, total = 0, sum(sizes.values())
-    while total > MAX_NGRAMS:  # halve the tail: keep counts of at least 2**least
-        total -= sizes.get(least, 0)
-        least += 1
-    kept = counted.where(F.col("n") >= (1 << least)).toArrow()
-    codes, counts = (kept.column(c).to_numpy() for c in ("code", "n"))
+    whole = counted.toArrow()
+    codes, counts = (whole.column(c).to_numpy() for c in ("code", "n"))
     return build_model(codes.astype(np.int64), counts, [seen[f"c{c}"] for c in (1, 2, 3, 4)])
 
 

@@ -307,6 +307,18 @@ def test_model_is_a_distribution_and_counts_all_words(spark):
         assert abs(np.exp(perplexity.log_prob(model, np.arange(256, dtype=np.int64) + start)).sum() - 1) < 1e-9
 
 
+def test_model_keeps_every_ngram_of_a_large_vocabulary(spark):
+    spread = F.explode(F.sequence(F.lit(0), F.lit(39)))
+    made = spark.range(5000).select("id", spread.alias("i")).groupBy("id").agg(F.concat_ws(" ", F.collect_list(F.substring(F.base64(F.unhex(F.md5(F.concat("id", F.lit("|"), "i")))), 1, 12))).alias("text"))
+    df = made.select("text").localCheckpoint()
+    model = perplexity.fit(df, "text")
+    raw = {w for r in df.collect() for w in r.text.encode().split()}
+    inner = {w[i:i + 5] for w in raw for i in range(len(w) - 4)}
+    assert len(inner) > 1_000_000 and len(model[-1]["code"]) > 1_000_000
+    codes = np.fromiter((int.from_bytes(x, "big") for x in inner), dtype=np.int64)
+    assert np.isin(codes, model[-1]["code"]).all()
+
+
 def test_base_rule_against_plain_counts_and_odd_rows(spark):
     rng = random.Random(9)
     block = words(rng, 12)
