@@ -1,7 +1,8 @@
 """Quality rules: repetition rules and perplexity bands of a byte n-gram language model.
 
-The model is a modified Kneser-Ney model over the bytes of words, of order 5: Spark counts the n-grams of every
-word of every text (words are first summed inside a task, so what is shuffled is one row per n-gram and task);
+The model is a modified Kneser-Ney model over the bytes of the running text, of order 5: words with one end mark
+after each, so n-grams cross from word to word and the order of words counts. Spark counts the n-grams of all texts
+(words with the bytes before them are first summed inside a task, so what is shuffled is one row per n-gram and task);
 lower orders count distinct left extensions. An n-gram's code is its bytes packed into one integer, a hash without
 collisions; the model is a set of arrays sorted by code. Every n-gram is kept, also those seen once, so the model grows
 with the number of distinct n-grams: it is built in the driver and each worker holds a copy.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from phrasebench.session import cut_lineage
 
 ORDER = 5
-#: Distinct words a task holds at once while counting or scoring.
+#: Distinct words in context a task holds at once while counting or scoring.
 MAX_WORDS = 300_000
 START, END = b" ", b"\n"  # neither occurs in a word
 SYMBOLS = "#*$%&|<>"
@@ -40,21 +41,35 @@ WINDOW = 8
 BAND = {"below": 2.0, "above": 2.0, "least": 0.015, "slack": 60.0}
 
 
-# ---- n-grams of words ----------------------------------------------------------------------------
+# ---- n-grams ------------------------------------------------------------------------------------
+
+def in_context(words: list[bytes], running: bool = True) -> list[bytes]:
+    """Each word after the bytes before it: those of the running text, words ended by END, or only START."""
+    tail, out = START * (ORDER - 1), []
+    for w in words:
+        out.append(tail + w)
+        if running:
+            tail = (tail + w + END)[1 - ORDER:]
+    return out
+
 
 def word_codes(words: list[bytes]):
-    """Codes of the n-grams that end at each byte of each word and at its end mark, and their number per word."""
+    """Codes of the n-grams that end at each byte of each word in context and at its end mark, and their number per word."""
     import numpy as np
-    pad = START * (ORDER - 1)
-    raw = np.frombuffer(b"".join([pad + w + END for w in words]), dtype=np.uint8)
+    raw = np.frombuffer(b"".join([w + END for w in words]), dtype=np.uint8)
     codes = np.zeros(len(raw), dtype=np.int64)
     for back in range(ORDER):
         codes[back:] |= raw[:len(raw) - back].astype(np.int64) << (8 * back)
-    return codes[raw != START[0]], np.array([len(w) + 1 for w in words], dtype=np.int64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    own = np.ones(len(raw), dtype=bool)
+    starts = np.cumsum(sizes) - sizes
+    for back in range(ORDER - 1):
+        own[starts + back] = False
+    return codes[own], sizes - (ORDER - 1)
 
 
-def count_ngrams(df: DataFrame, text: str) -> DataFrame:
-    """(code, n): n-grams of the highest order over all words of all texts."""
+def count_ngrams(df: DataFrame, text: str, running: bool = False) -> DataFrame:
+    """(code, n): n-grams of the highest order over all words of all texts, each alone or in the running text."""
 
     def run(batches):
         import numpy as np
@@ -69,7 +84,7 @@ def count_ngrams(df: DataFrame, text: str) -> DataFrame:
         words: Counter = Counter()
         for batch in batches:
             for value in batch.column(text).to_pylist():
-                words.update((value or "").encode().split())
+                words.update(in_context((value or "").encode().split(), running))
                 if len(words) > MAX_WORDS:
                     yield flush(words)
                     words = Counter()
@@ -138,7 +153,7 @@ def log_prob(model: list[dict], codes):
 def fit(df: DataFrame, text: str) -> list[dict]:
     """The model of all texts: what reaches the driver is one row of 16 bytes per distinct n-gram."""
     import numpy as np
-    counted = cut_lineage(count_ngrams(df, text))
+    counted = cut_lineage(count_ngrams(df, text, running=True))
     seen = counted.agg(*[F.count(F.when(F.col("n") == c, 1)).alias(f"c{c}") for c in (1, 2, 3, 4)]).first()
     whole = counted.toArrow()
     codes, counts = (whole.column(c).to_numpy() for c in ("code", "n"))
@@ -184,18 +199,19 @@ def score(df: DataFrame, key: str, text: str, lang: str, model: list[dict]) -> D
 
     def run(batches):
         import numpy as np
+        names: dict[bytes, int] = {}
         known: dict[bytes, int] = {}
         value = np.zeros(0)
         for batch in batches:
             if len(known) > MAX_WORDS:
-                known, value = {}, np.zeros(0)
+                names, known, value = {}, {}, np.zeros(0)
             first, rows, ids, sizes = len(known), [], [], []
             for t in batch.column(text).to_pylist():
                 t = t or ""
                 raw = t.encode()
                 words = raw.split()
-                own = np.fromiter([known.setdefault(w, len(known)) for w in words], dtype=np.int64, count=len(words))
-                ids.append(own)
+                own = np.fromiter([names.setdefault(w, len(names)) for w in words], dtype=np.int64, count=len(words))
+                ids.append(np.fromiter([known.setdefault(w, len(known)) for w in in_context(words)], dtype=np.int64, count=len(words)))
                 blank = sum(map(t.count, SPACES))
                 rows.append((len(words), len(t) - blank, sum(map(t.count, SYMBOLS)), line_repeats(t), repeated_words(own)))
                 sizes.append(len(raw) - blank + len(words))
@@ -210,8 +226,7 @@ def score(df: DataFrame, key: str, text: str, lang: str, model: list[dict]) -> D
             made = list(zip(*rows)) if rows else [()] * 5
             columns = [batch.column(key), batch.column(lang), *[pa.array(c, type=pa.int64()) for c in made],
                        pa.array(totals, type=pa.float64()), pa.array(sizes, type=pa.int64())]
-            names = [key, lang, *[x.split()[0] for x in SCORES.split(", ")]]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=[key, lang, *[x.split()[0] for x in SCORES.split(", ")]])
 
     return df.select(key, lang, text).mapInArrow(run, f"`{key}` {kinds[key]}, `{lang}` {kinds[lang]}, {SCORES}")
 

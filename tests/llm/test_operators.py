@@ -319,6 +319,22 @@ def test_model_keeps_every_ngram_of_a_large_vocabulary(spark):
     assert np.isin(codes, model[-1]["code"]).all()
 
 
+def test_word_order_counts_in_the_score(spark):
+    rng = random.Random(31)
+    chain = ["alpha", "of", "x", "beta", "running", "to", "gamma", "delta"]
+    plain = [" ".join(chain * 6)] * 40
+    shuffled = chain * 6
+    rng.shuffle(shuffled)
+    df = frame(spark, [(i, t, "en", "s") for i, t in enumerate([*plain, " ".join(shuffled)])])
+    model = perplexity.fit(df, "text")
+    out = {r.doc_id: (r.log_prob, r.n_bytes) for r in perplexity.score(df, "doc_id", "text", "lang", model).collect()}
+    assert out[0][1] == out[40][1] and out[40][0] < 2 * out[0][0]
+    for i, t in ((0, plain[0]), (40, " ".join(shuffled))):
+        raw = b" " * 4 + b"".join(w.encode() + b"\n" for w in t.split())
+        codes = np.array([int.from_bytes(raw[j:j + 5], "big") for j in range(len(raw) - 4)])
+        assert abs(perplexity.log_prob(model, codes).sum() - out[i][0]) < 1e-6
+
+
 def test_base_rule_against_plain_counts_and_odd_rows(spark):
     rng = random.Random(9)
     block = words(rng, 12)
