@@ -99,6 +99,67 @@ def dense_topk(queries: DataFrame, query_id: str, query_vec: str,
     return top_k_per(found, ["query_id"], [F.desc("score"), F.col("bank_id")], k)
 
 
+def gold_places(queries: DataFrame, query_id: str, query_vec: str, gold: str,
+                bank: DataFrame, bank_id: str, bank_vec: str, entity: str,
+                decimals: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, gold_rank): place of each query's best row of its gold entity among all bank rows; null without one.
+
+    A first block product finds the best gold row, a second counts the rows above it (score, then lower id); per block
+    pair one row a query is handed on, and no list is cut.
+    """
+    qs = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("vec"), F.col(gold).alias("label")).where(F.size("vec") > 0)
+    bs = bank.select(F.col(bank_id).alias("id"), F.col(bank_vec).alias("vec"), F.col(entity).alias("label")).where(F.size("vec") > 0)
+    n_q, n_b = _block_counts(qs, bs, block_rows)
+    q_type, b_type = (df.schema["id"].dataType.simpleString() for df in (qs, bs))
+
+    def products(left: pa.Table, right: pa.Table):
+        """(first query, scores) per chunk of queries."""
+        _, q_vec = _matrix(left)
+        _, b_vec = _matrix(right)
+        for start in range(0, len(q_vec), _CHUNK):
+            yield start, np.round(q_vec[start:start + _CHUNK] @ b_vec.T, decimals) + 0.0
+
+    def best_gold(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, cols, best = [], [], []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("id")
+            names = pa.compute.unique(pa.compute.drop_null(right.column("label")))
+            of_bank, of_query = (pa.compute.fill_null(pa.compute.index_in(t.column("label"), names), none).to_numpy()
+                                 for t, none in ((right, -1), (left, -2)))
+            for start, scores in products(left, right):
+                same = of_query[start:start + len(scores), None] == of_bank[None, :]
+                at = np.where(same, scores, -np.inf).argmax(axis=1)
+                hit = np.flatnonzero(same.any(axis=1))
+                rows.append(hit + start)
+                cols.append(at[hit])
+                best.append(scores[hit, at[hit]])
+        take = [pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64)) for x in (rows, cols)]
+        return pa.table({"query_id": left.column("id").take(take[0]), "bank_id": right.column("id").take(take[1]),
+                         "score": pa.array(np.concatenate(best) if best else np.zeros(0))})
+
+    def above(left: pa.Table, right: pa.Table) -> pa.Table:
+        counts = []
+        if left.num_rows and right.num_rows:
+            ids = right.column("id").to_numpy()
+            own, least = left.column("own").to_numpy()[:, None], left.column("least").to_numpy()[:, None]
+            for start, scores in products(left, right):
+                part = slice(start, start + len(scores))
+                first = (scores > least[part]) | ((scores == least[part]) & (ids[None, :] < own[part]))
+                counts.append((first & (ids[None, :] != own[part])).sum(axis=1))
+        n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+        return pa.table({"query_id": left.column("id").slice(0, len(n)), "n": pa.array(n.astype(np.int64))})
+
+    def meet(q: DataFrame, what, ddl: str) -> DataFrame:
+        q, b = _spread(q, bs, n_q, n_b)
+        return q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(what, ddl)
+
+    found = meet(qs, best_gold, f"query_id {q_type}, bank_id {b_type}, score double")
+    best = found.groupBy(F.col("query_id").alias("id")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("bank_id").alias("i"))).alias("best"))
+    asked = qs.join(best, "id").select("id", "vec", F.col("best.i").alias("own"), (-F.col("best.s")).alias("least"))
+    places = meet(asked, above, f"query_id {q_type}, n bigint").groupBy("query_id").agg((F.sum("n") + F.lit(1)).alias("gold_rank"))
+    return queries.select(F.col(query_id).alias("query_id")).distinct().join(places, "query_id", "left")
+
+
 def dense_range(queries: DataFrame, query_id: str, query_vec: str,
                 bank: DataFrame, bank_id: str, bank_vec: str,
                 decimals: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -12,9 +12,10 @@ from phrasebench.functions.text import error_type, failure_type
 from phrasebench.operators import diagnose as G
 from phrasebench.operators import metrics as M
 from phrasebench.operators import rank as R
+from phrasebench.operators.dense import gold_places
 from phrasebench.plans import reports as Rep
 from phrasebench.queries.registry import (
-    SCORED, SCORED_ORDERS, half_even, md5_of, query, ranked_vectors, tokens_of)
+    SCORED, SCORED_ORDERS, VECTORS, half_even, md5_of, query, ranked_vectors, tokens_of)
 from phrasebench.queries.retrieval import ranked_vector_rows, vector_sets
 
 RANKED = f"WITH {ranked_vectors()}"
@@ -49,10 +50,23 @@ def _(t):
 @query("a29_mrr_cuts", f"""{TEN} SELECT round(avg(coalesce(1.0::DOUBLE / gold_rank, 0)), 6) AS mrr_full,
  round(avg(CASE WHEN gold_rank <= 5 THEN 1.0::DOUBLE / gold_rank ELSE 0 END), 6) AS mrr_5, round(avg(CASE WHEN gold_rank <= 3 THEN 1.0::DOUBLE / gold_rank ELSE 0 END), 6) AS mrr_3 FROM granks""")
 def _(t):
-    """MRR over the whole list and cut."""
+    """MRR of the list of 10 entities (mrr_full, as the check SQL names it) and cut; ``a29_mrr_whole`` ranks all rows."""
     return gold_ranks(t, 10, 100).agg(*[r6(M.mrr("gold_rank", k)).alias(n) for n, k in (("mrr_full", None), ("mrr_5", 5), ("mrr_3", 3))])
 
 
+@query("a29_mrr_whole", f"""WITH {VECTORS},
+best AS (SELECT query_id, score AS s, bank_id AS i FROM vpairs WHERE entity = gold
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) = 1),
+places AS (SELECT query_id, count(*) FILTER (score > s OR (score = s AND bank_id <= i)) AS gold_rank
+  FROM vpairs LEFT JOIN best USING (query_id) GROUP BY query_id)
+SELECT round(avg(coalesce(1.0::DOUBLE / nullif(gold_rank, 0), 0)), 6) AS mrr_whole, count(*) AS n_queries FROM places""")
+def _(t):
+    """MRR over the full ranking of all bank rows."""
+    q, b = vector_sets(t)
+    places = gold_places(q, "vec_id", "embedding", "label", b, "vec_id", "embedding", "label")
+    return places.agg(r6(M.mrr("gold_rank")).alias("mrr_whole"), F.count("*").alias("n_queries"))
+
+
 @query("recall_curve", f"{TEN} SELECT k::INT AS k, round(count_if(gold_rank <= k) / count(*), 6) AS recall FROM granks, range(1, 11) t(k) GROUP BY k")
 def _(t):
     """A30"""

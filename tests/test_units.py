@@ -224,6 +224,21 @@ def test_dense_topk_blocks(spark, block):
     assert all(np.allclose(ranges[i], (cos[i].min(), cos[i].max())) for i in range(20))
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_gold_places_count_the_whole_bank(spark, block):
+    from phrasebench.operators.dense import gold_places
+    qv, q = vectors(spark, 20, 3, 1, "q")
+    bv, b = vectors(spark, 150, 3, 2, "b")
+    q, b = q.withColumn("g", F.when(F.col("q") < 18, F.col("q") % 5).otherwise(99)), b.withColumn("e", F.when(F.col("b") % 30 < 5, F.col("b") % 30))
+    cos = np.round((qv / np.linalg.norm(qv, axis=1, keepdims=True)) @ (bv / np.linalg.norm(bv, axis=1, keepdims=True)).T, 6)
+    want = {}
+    for i in range(20):
+        order = np.lexsort((np.arange(150), -cos[i]))
+        want[i] = next((r for r, j in enumerate(order, 1) if j % 30 == i % 5), None) if i < 18 else None
+    got = {r["query_id"]: r["gold_rank"] for r in gold_places(q, "q", "v", "g", b, "b", "v", "e", block_rows=block).collect()}
+    assert got == want and max(x for x in want.values() if x) > 10
+
+
 @pytest.mark.parametrize("block", [6, 4096])
 def test_fused_topk_blocks(spark, block):
     qv, q = vectors(spark, 15, 5, 3, "q")
