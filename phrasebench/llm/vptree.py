@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from phrasebench.session import cut_lineage
 
 #: Rows of a shard and of a query block, on average; blocks that share a copy of a tree; leaf size; pruning factor.
-SHARD_ROWS, BLOCK_ROWS, CHUNK_BLOCKS, LEAF_ROWS, FACTOR = 4096, 1024, 16, 128, 4.0
+SHARD_ROWS, BLOCK_ROWS, CHUNK_BLOCKS, LEAF_ROWS, FACTOR = 4096, 1024, 16, 128, 2.5
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:

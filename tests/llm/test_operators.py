@@ -154,6 +154,28 @@ def test_vantage_points_with_factor_one_are_exact(spark):
     assert {r.query_id for r in got} == set(wanted)
 
 
+@pytest.mark.parametrize("dim", [4, 8, 16])
+@pytest.mark.parametrize("shards", [1, 8])
+def test_vantage_points_recall_at_the_factor_used(dim, shards):
+    rng = np.random.default_rng(dim)
+    n, k = 4096 * shards, 5
+    unit = rng.normal(size=(n, dim)) @ rng.normal(size=(dim, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    ids, asked = np.arange(n), np.arange(0, n, n // 100)[:100]
+    found = [[] for _ in asked]
+    for s in range(shards):
+        own = unit[s::shards]
+        for out, rows in zip(found, vptree.search(vptree.build_tree(own), own, ids[s::shards], unit[asked], asked, k, vptree.FACTOR)):
+            out += ids[s::shards][rows].tolist()
+    hits = 0
+    for q, out in zip(asked, found):
+        score = unit @ unit[q]
+        score[q] = -9
+        best = np.array(out)[np.argsort(-score[out], kind="stable")[:k]]
+        hits += len(set(best.tolist()) & set(np.argsort(-score, kind="stable")[:k].tolist()))
+    assert hits >= 0.95 * k * len(asked)
+
+
 def test_vantage_points_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = vptree.nearest(vptree.index(df, "vec_id", "embedding"), df.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).collect()
