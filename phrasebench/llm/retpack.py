@@ -1,7 +1,8 @@
 """Packing of tokenised documents into windows by lexical retrieval: a window holds a seed and its BM25 neighbours.
 
-1. Tokens: texts are split at ASCII blanks, which no token of the vocabulary spans; every distinct word is encoded
-   once per worker, and a text's ids are gathered from its words. The token table is written once.
+1. Tokens: texts are split at ASCII white space, and between a letter and a mark, which no token of the vocabulary
+   spans; a worker encodes a distinct word once and gathers a text's ids from its words. The vocabulary must lower-case.
+   The token table is written once.
 2. Document frequencies of all tokens are counted over all documents; the table has a row per vocabulary entry.
 3. Shards: every token has one place in a weighted random order (rarer shared tokens tend to come first, those in more
    than half of the documents last), and a document's sketch is its first ``SKETCH`` tokens in that order. Documents are
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +37,25 @@ WINDOW, END = 2048, 1
 SHARD_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 22
 K1, B = 1.2, 0.75
 SKETCH = 4
+#: Characters of words kept in a worker's cache, and bytes of text handled at once.
+MAX_CHARS, TEXT_BYTES = 1 << 23, 1 << 23
+#: Stands between words that are encoded together; its one token ends no word without this character.
+_MARK = "\x01"
+#: A letter and a mark behind it are never in one match of the vocabulary's pattern, so a word may end between them.
+_LETTER_MARK = r"([a-z])([.,;:!?%&#*$|)])"
+#: Words that normalising leaves alone and the pattern matches as a whole: they go straight to the merges.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be seen, else the next from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+_TOKENS = 1 << 20, 1 << 22
+K1, B = 1.2, 0.75
+SKETCH = 4
 #: Characters of words kept in a worker's cache, and rows handled at once.
 MAX_CHARS, ROWS = 1 << 26, 512
 
@@ -45,46 +66,77 @@ _PIECES = "key bigint, start bigint, length bigint, ids binary, doc_tokens bigin
 # ---- tokens --------------------------------------------------------------------------------------
 
 class Words:
-    """Ids of texts by way of their words; the ids of every word seen are kept."""
+    """Ids of texts by way of their words; the ids of the words seen are kept until they fill ``MAX_CHARS``."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, end: int):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer, self.end = Tokenizer.from_str(vocabulary), end
         self.tokenizer.encode_special_tokens = True
+        self.mark, self.letters = self._encode(_MARK), byte_letters()
         self.clear()
 
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def clear(self) -> None:
+        """Forget all words; number 0 is the end of a text."""
         import numpy as np
         self.code: dict[str, int] = {}
-        self.flat, self.starts, self.sizes, self.chars = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+        self.flat, self.used = np.full(1 << 16, self.end, dtype=np.int32), 1
+        self.starts, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.sizes[0], self.chars = 1, 0
+
+    def _merge(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def _learn(self, words: list[str]) -> None:
         import numpy as np
-        made = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array([i for ids in made for i in ids], dtype=np.int32)])
+        easy = [w for w in words if _LETTERS.fullmatch(w)]
+        hard = [w for w in words if not _LETTERS.fullmatch(w)]
+        plain = [w for w in hard if _MARK not in w] if len(self.mark) == 1 else []
+        alone = [w for w in hard if _MARK in w] if len(self.mark) == 1 else hard
+        # one call for all that need the whole chain, each followed by the mark: a call a word costs several times as much
+        joined = np.array(self._encode("".join(f"{w} {_MARK} " for w in plain)), dtype=np.int32)
+        ends = np.flatnonzero(joined == (self.mark[0] if plain else -1))
+        rest = [*map(self._merge, easy), *map(self._encode, alone)]
+        ids = np.concatenate([np.delete(joined, ends), np.array([i for own in rest for i in own], dtype=np.int32)])
+        sizes = np.concatenate([np.diff(ends, prepend=-1) - 1, np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))])
+        words = [*plain, *easy, *alone]
+        first = len(self.code) + 1
+        self.code.update(zip(words, range(first, first + len(words))))
         self.chars += sum(map(len, words))
-
-    def ids(self, texts: list[str]) -> list:
-        """The ids of every text, as int32 arrays."""
+        self.flat, self.starts, self.sizes = (
+            _room(a, n) for a, n in ((self.flat, self.used + len(ids)), (self.starts, first + len(words)), (self.sizes, first + len(words))))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.sizes[first:first + len(words)] = sizes
+        self.starts[first:first + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+    def ids(self, texts: pa.Array):
+        """(ids, ends): the ids of all texts, each with its end id, and where each text's ids end."""
         import numpy as np
+        import pyarrow.compute as pc
         if self.chars > MAX_CHARS:
             self.clear()
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.code.keys()
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
-            sizes = self.sizes[at]
-            out.append(self.flat[spans(self.starts[at], sizes)])
-        return out
+        texts = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), _LETTER_MARK, r"\1 \2")
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        own = words.dictionary.to_pylist()
+        if new := [w for w in own if w not in self.code]:
+            self._learn(new)
+        codes = np.fromiter(map(self.code.__getitem__, own), dtype=np.int64, count=len(own))[words.indices.to_numpy()]
+        counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        codes = np.insert(codes, np.cumsum(counts), 0)
+        sizes = self.sizes[codes]
+        return self.flat[spans(self.starts[codes], sizes)], np.cumsum(sizes)[np.cumsum(counts + 1) - 1]
+
+
+def _room(array, n: int):
+    """``array`` with room for ``n`` entries, twice as much as before when it grows."""
+    import numpy as np
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), dtype=array.dtype)])
 
 
 def spans(starts, sizes):
@@ -96,21 +148,24 @@ def spans(starts, sizes):
 def tokens(docs: DataFrame, key: str, text: str, vocabulary: str, end: int = END) -> DataFrame:
     """(key, n, ids): ids of the text and the end id, as little-endian 32-bit integers."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    name = "retpack" + hashlib.sha256(vocabulary.encode()).hexdigest()
+    name = f"retpack{end}" + hashlib.sha256(vocabulary.encode()).hexdigest()
 
     def run(batches):
         import numpy as np
-        words = cached(name, lambda: Words(shared.value))
-        last = np.array([end], dtype=np.int32)
+        words = cached(name, lambda: Words(shared.value, end))
         for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
-                made = [np.concatenate([ids, last]) for ids in words.ids([t or "" for t in batch.column("t").to_pylist()])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), pa.array([len(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())],
-                    names=["key", "n", "ids"])
-
-    return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t")).mapInArrow(run, _TOKENS)
+            bytes_ = np.cumsum(np.nan_to_num(whole.column("size").to_numpy(zero_copy_only=False).astype(np.float64)))
+            cuts = np.flatnonzero(np.diff(bytes_ // TEXT_BYTES, prepend=0)).tolist()
+            for start, stop in zip([0, *cuts], [*cuts, whole.num_rows]):
+                if start == stop:
+                    continue
+                batch = whole.slice(start, stop - start)
+                ids, ends = words.ids(batch.column("t"))
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(ends, prepend=0)), made], names=["key", "n", "ids"])
+
+    return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t"), F.octet_length(text).alias("size")).mapInArrow(run, _TOKENS)
 
 
 def frequencies(table: DataFrame):

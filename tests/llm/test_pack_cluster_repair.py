@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,11 +174,12 @@ def test_packing_of_odd_tables(spark, library):
 
 def test_words_are_encoded_as_whole_texts_are(library):
     texts = ["", " ", "Über-Straße ÀÉ İstanbul ΣΑΣ", "tab\tnew\nline\x0bvt\x0cff\x1cfs em nbsp", "don't I'll we've 'tis 'S",
-             "a" * 5000, "é́ ́x", "日本語 テスト 123 ४५", "<|startoftext|> x<|endoftext|>y", "😀😀 !!!??? ..", "\u0000a﻿b"]
-    words = retpack.Words(word_vocabulary())
+             "a" * 5000, "é́ ́x", "日本語 テスト 123 ४५", "<|startoftext|> x<|endoftext|>y", "😀😀 !!!??? ..", "\u0001 \u0001x y\u0001", "\u0000a﻿b"]
+    words = retpack.Words(word_vocabulary(), 1)
     for again in range(2):
-        for text, ids in zip(texts, words.ids(texts)):
-            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+        ids, ends = words.ids(pa.array([*texts, None], pa.string()))
+        for text, start, end in zip([*texts, ""], [0, *ends], ends):
+            assert ids[start:end].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
 
 
 # ---- repair --------------------------------------------------------------------------------------
