@@ -34,11 +34,11 @@ from phrasebench.llm.workers import cached
 from phrasebench.session import cut_lineage
 
 WINDOW, END = 2048, 1
-SHARD_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 22
+SHARD_TOKENS, RANGE_TOKENS = 1 << 19, 1 << 22
 K1, B = 1.2, 0.75
 SKETCH = 4
 #: Characters of words kept in a worker's cache, and bytes of text handled at once.
-MAX_CHARS, TEXT_BYTES = 1 << 23, 1 << 23
+MAX_CHARS, TEXT_BYTES = 1 << 22, 1 << 22
 #: Stands between words that are encoded together; its one token ends no word without this character.
 _MARK = "\x01"
 #: A letter and a mark behind it are never in one match of the vocabulary's pattern, so a word may end between them.
@@ -74,6 +74,7 @@ class Words:
         from tokenizers import Tokenizer
         self.tokenizer, self.end = Tokenizer.from_str(vocabulary), end
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.mark, self.letters = self._encode(_MARK), byte_letters()
         self.clear()
 
@@ -89,12 +90,14 @@ class Words:
         self.sizes[0], self.chars = 1, 0
 
     def _merge(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(seen)]
 
     def _learn(self, words: list[str]) -> None:
         import numpy as np
-        easy = [w for w in words if _LETTERS.fullmatch(w)]
-        hard = [w for w in words if not _LETTERS.fullmatch(w)]
+        easy, hard = [], []
+        for w in words:
+            (easy if _LETTERS.fullmatch(w) else hard).append(w)
         plain = [w for w in hard if _MARK not in w] if len(self.mark) == 1 else []
         alone = [w for w in hard if _MARK in w] if len(self.mark) == 1 else hard
         # one call for all that need the whole chain, each followed by the mark: a call a word costs several times as much
@@ -142,7 +145,9 @@ def _room(array, n: int):
 def spans(starts, sizes):
     """Concatenated ranges start .. start + size."""
     import numpy as np
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    n = int(sizes.sum())
+    kind = np.int32 if n < 1 << 30 and (not len(starts) or int(starts.max()) < 1 << 30) else np.int64
+    return np.repeat((starts - np.cumsum(sizes) + sizes).astype(kind), sizes) + np.arange(n, dtype=kind)
 
 
 def tokens(docs: DataFrame, key: str, text: str, vocabulary: str, end: int = END) -> DataFrame:
@@ -214,7 +219,7 @@ def places(docs: int, df):
 
 def sketched(table: DataFrame, place) -> DataFrame:
     """``table`` with (sketch, digest), the order in which documents are dealt to ranges and shards."""
-    shared = table.sparkSession.sparkContext.broadcast(place.astype(">u4"))  # a number per vocabulary entry
+    shared = table.sparkSession.sparkContext.broadcast(place.astype("u4"))  # a number per vocabulary entry
 
     def run(batches):
         import numpy as np
@@ -222,9 +227,12 @@ def sketched(table: DataFrame, place) -> DataFrame:
         for batch in batches:
             made = []
             for blob in batch.column("ids").to_pylist():
-                own = order[np.unique(np.frombuffer(blob, dtype=np.int32))].astype(np.uint32)
-                least = np.sort(np.partition(own, SKETCH)[:SKETCH]) if len(own) > SKETCH else np.sort(own)
-                made.append(least.astype(">u4").tobytes())
+                own = order[np.frombuffer(blob, dtype=np.int32)]
+                # the first few places among the smallest, repeats included; all of them where that is not enough
+                least = np.unique(np.partition(own, 16 * SKETCH)[:16 * SKETCH]) if len(own) > 16 * SKETCH else np.unique(own)
+                if len(least) < SKETCH < len(own):
+                    least = np.unique(own)
+                made.append(least[:SKETCH].astype(">u4").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "sketch"])
 
     return table.withColumn("digest", F.xxhash64("ids")).mapInArrow(run, _TOKENS + ", digest bigint, sketch binary")
