@@ -1,10 +1,10 @@
 """Lexical scoring over postings.
 
-Both sides are partitioned by text id before the text is split into terms. The side whose measured
-size allows is broadcast; term counts, norms and the sum of a (query, document) pair then stay inside
-the other side's partitioning, and only each task's best rows per query travel further. When neither
-side is small the join is a shuffle on (term, salt), so a term found in a third of all documents is
-spread over many tasks. No term is ever dropped.
+Searches go over blocks of postings by term (``blockmax``). Here are the index itself and the scores of all pairs that
+share a term, for callers that need every pair. For those both sides are partitioned by text id before the text is
+split into terms. The side whose measured size allows is broadcast; term counts, norms and the sum of a (query,
+document) pair then stay inside the other side's partitioning. When neither side is small the join is a shuffle on
+(term, salt), so a term found in a third of all documents is spread over many tasks. No term is ever dropped.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from phrasebench.fixed import EPSILON, K1, MAX_FEATURES, MIN_DF, B
 from phrasebench.functions.numeric import bm25_weight, r6, safe_ratio
 from phrasebench.functions.text import tokenize_ws
+from phrasebench.operators.blockmax import (
+    DENSE, LEXICAL, LIMITS, RANGE_UNITS, Asked, Goal, blocks_of, found_rows, part_of, place_documents, score_limits, store_blocks, with_ids)
 from phrasebench.session import bucket_count, cut_lineage, measured_bytes, scratch_path, store_bucketed
 
 SALTS = 32
@@ -44,32 +46,24 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 
 @dataclass
 class LexicalIndex:
-    """Postings, term statistics, norms and ids of one bank; all can be stored and read back."""
+    """Postings by document and by term, term statistics, norms and ids of one bank; all can be stored and read back."""
 
     postings: DataFrame    # doc_id, dl, term, tf
-    terms: DataFrame       # term, df, cf, raw_idf, smooth_idf
+    terms: DataFrame       # part, term, df, cf, raw_idf, smooth_idf
     documents: DataFrame   # doc_id
-    norms: DataFrame       # doc_id, norm of its tf-idf vector over all terms
-    source: DataFrame | None = None  # the bank's text column, when the index was built in this job
-    buckets: int = 0                 # bucket files the postings are stored in
-
-    @property
-    def texts(self) -> DataFrame:
-        """What the size check measures; for a stored index the postings' terms."""
-        return self.postings.select("term") if self.source is None else self.source
+    norms: DataFrame | None  # doc_id, norm of its tf-idf vector over all terms; None when only BM25 is asked for
+    blocks: DataFrame      # part, term, range, n, top_w, top_c, slots, w, c
+    places: DataFrame      # doc_id, range, slot
+    facts: dict            # buckets, parts, ranges, n_docs, tokens, mean_idf, text_bytes
 
     def n_docs(self) -> Column:
-        return self.documents.agg(F.count("*")).scalar()
-
-    def _term_facts(self) -> Column:
-        """Mean idf and number of tokens, one scalar subquery for both."""
-        return self.terms.agg(F.struct(F.avg("raw_idf").alias("mean_idf"), F.sum("cf").alias("tokens"))).scalar()
+        return F.lit(self.facts["n_docs"])
 
     def avg_length(self) -> Column:
-        return self._term_facts()["tokens"] / self.n_docs()
+        return F.lit(average_length(self.facts))
 
     def mean_idf(self) -> Column:
-        return self._term_facts()["mean_idf"]
+        return F.lit(self.facts["mean_idf"]).cast("double")
 
     def term_stats(self) -> DataFrame:
         """(term, df, cf, idf, smooth_idf): a negative idf becomes a quarter of the mean idf."""
@@ -78,37 +72,81 @@ class LexicalIndex:
         return self.terms.select("term", "df", "cf", idf.alias("idf"), "smooth_idf")
 
 
-def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = None) -> LexicalIndex:
-    """Build the index once: postings and norms in bucket files by document, one statistics row per term.
+def average_length(facts: dict) -> float:
+    return (facts["tokens"] or 0) / max(facts["n_docs"], 1)
+
 
-    ``path`` keeps it for later jobs, replacing what is there; without one it goes to the shared scratch folder. The
-    norms take the only shuffle of postings by term; a search then needs none.
+def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = None, cosine: bool = True,
+                  range_units: int = RANGE_UNITS) -> LexicalIndex:
+    """Build the index once: postings in bucket files by document and in blocks by term, one statistics row per term.
+
+    ``path`` keeps it for later jobs, replacing what is there; without one it goes to the shared scratch folder.
+    ``cosine=False`` leaves out the norms, which take a shuffle of the postings by term that BM25 does not need.
     """
-    root = path or scratch_path(bank.sparkSession, "lexical")
+    spark = bank.sparkSession
+    root = path or scratch_path(spark, "lexical")
+    size = measured_bytes(bank.select(text))
     # postings of a text take about ten times its bytes
-    buckets = bucket_count(bank.sparkSession, 10 * measured_bytes(bank.select(text)))
+    buckets = bucket_count(spark, 10 * size)
     rows = postings(bank.repartition(buckets, F.col(doc_id)), doc_id, text, spread=False)
     post = store_bucketed(rows, f"{root}/postings", "doc_id", buckets)
     docs = bank.select(F.col(doc_id).alias("doc_id"))
-    n = docs.agg(F.count("*")).scalar()
+    facts = {"buckets": buckets, "parts": buckets, "n_docs": docs.count(), "text_bytes": size}
+    n = F.lit(facts["n_docs"])
     terms = (
         post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         .withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         .withColumn("smooth_idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1)
+        .withColumn("part", part_of("term", facts["parts"]))
     )
-    terms.write.mode("overwrite").parquet(f"{root}/terms")
-    terms = bank.sparkSession.read.schema(terms.schema).parquet(f"{root}/terms")
-    weight = F.col("tf") * F.col("smooth_idf")
-    norms = post.join(terms.select("term", "smooth_idf"), "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    norms = store_bucketed(norms.repartition(buckets, "doc_id"), f"{root}/norms", "doc_id", buckets)
-    return LexicalIndex(post, terms, docs, norms, bank.select(text), buckets)
-
-
-def small_side(queries: DataFrame, query_text: str, bank: DataFrame, limit: int = TEXT_BYTES) -> str | None:
+    terms.repartition(facts["parts"], "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{root}/terms")
+    terms = spark.read.schema(terms.schema).parquet(f"{root}/terms")
+    total = terms.agg(F.avg("raw_idf").alias("mean_idf"), F.sum("cf").alias("tokens")).first()
+    facts |= {"mean_idf": total["mean_idf"], "tokens": total["tokens"]}
+    placed = place_documents(post.groupBy("doc_id").agg(F.max("dl").alias("dl")), range_units)
+    places = store_bucketed(placed.repartition(buckets, "doc_id"), f"{root}/places", "doc_id", buckets)
+    facts["ranges"] = (places.agg(F.max("range")).first()[0] or 0) + 1
+    norms, placed_rows = None, post.join(places, "doc_id")
+    if cosine:
+        weight = F.col("tf") * F.col("smooth_idf")
+        norms = post.join(terms.select("term", "smooth_idf"), "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+        norms = store_bucketed(norms.repartition(buckets, "doc_id"), f"{root}/norms", "doc_id", buckets)
+        placed_rows = placed_rows.join(norms, "doc_id")
+    else:
+        placed_rows = placed_rows.withColumn("norm", F.lit(None).cast("double"))
+    blocks = store_blocks(blocks_of(placed_rows, average_length(facts), facts["parts"]), f"{root}/blocks", buckets)
+    return LexicalIndex(post, terms, docs, norms, blocks, places, facts)
+
+
+def asked_terms(queries: DataFrame, query_id: str, text: str, index: LexicalIndex) -> Asked:
+    return Asked(query_terms(queries, query_id, text), index)
+
+
+def bm25_topk(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, k: int) -> DataFrame:
+    """(query_id, doc_id, lexical): rows that hold the first ``k`` of every query by BM25, ties by lower id."""
+    return with_ids(found_rows(asked_terms(queries, query_id, query_text, index), k, [LEXICAL]), index).drop("dense")
+
+
+def sparse_topk(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, k: int) -> DataFrame:
+    """(query_id, doc_id, dense, lexical): rows that hold the first ``k`` of every query by either score."""
+    return with_ids(found_rows(asked_terms(queries, query_id, query_text, index), k, [DENSE, LEXICAL]), index)
+
+
+def fused_sparse_topk(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, k: int, weight: float) -> DataFrame:
+    """(query_id, doc_id, dense, lexical, score): rows that hold the first ``k`` by both scores, scaled over the whole
+    bank and fused. A first pass finds the queries' score ranges, a second the rows; ranges that cannot matter are left unread."""
+    asked = asked_terms(queries, query_id, query_text, index)
+    limits = cut_lineage(score_limits(found_rows(asked, 1, [DENSE, LEXICAL], lows=True), index.facts["n_docs"]))
+    goal = Goal(weight, scaled=True)
+    rows = with_ids(found_rows(asked, k, [goal], limits), index).join(limits, "query_id")
+    return rows.withColumn("score", goal.column(F.col("dense"), F.col("lexical"))).drop(*LIMITS)
+
+
+def small_side(queries: DataFrame, query_text: str, bank_bytes: int, limit: int = TEXT_BYTES) -> str | None:
     """The smaller side, if its measured text may be broadcast as term rows; else None."""
     if limit <= 0:
         return None
-    sizes = {"queries": measured_bytes(queries.select(query_text)), "bank": measured_bytes(bank)}
+    sizes = {"queries": measured_bytes(queries.select(query_text)), "bank": bank_bytes}
     side = min(sizes, key=sizes.get)
     return side if sizes[side] <= limit else None
 
@@ -127,7 +165,7 @@ def match_terms(post: DataFrame, terms: DataFrame, small: str | None) -> DataFra
 def bm25_scores(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex,
                 k1: float = K1, b: float = B, limit: int = TEXT_BYTES) -> DataFrame:
     """(query_id, doc_id, lexical) for every pair that shares a term; all other pairs score 0."""
-    small = small_side(queries, query_text, index.texts, limit)
+    small = small_side(queries, query_text, index.facts["text_bytes"], limit)
     terms = query_terms(queries, query_id, query_text)
     terms = terms.join(index.term_stats(), "term").select("query_id", "term", "qf", "idf")
     weight = F.col("qf") * bm25_weight("tf", "dl", "idf", index.avg_length(), k1, b)
@@ -158,7 +196,7 @@ def sparse_scores(queries: DataFrame, query_id: str, query_text: str, index: Lex
     ``dense`` is the cosine of tf-idf vectors over all terms of the bank, the stand-in for an encoder; ``lexical`` is
     BM25. Pairs without a common term are left out: both scores are 0 there. A query's norm counts the bank's terms.
     """
-    small = small_side(queries, query_text, index.texts, limit)
+    small = small_side(queries, query_text, index.facts["text_bytes"], limit)
     q = query_terms(queries, query_id, query_text).join(index.term_stats().select("term", "idf", "smooth_idf"), "term")
     q = q.withColumn("q_w", F.col("qf") * F.col("smooth_idf"))
     q = q.withColumn("q_norm", F.sqrt(F.sum(F.col("q_w") * F.col("q_w")).over(W.partitionBy("query_id"))))

@@ -15,7 +15,7 @@ from phrasebench.operators import fusion as Fu
 from phrasebench.operators import rank as R
 from phrasebench.operators.dense import dense_range, dense_topk, fused_topk
 from phrasebench.operators.lexical import (
-    LexicalIndex, bm25_scores, lexical_index, sparse_scores, token_run_matches)
+    LexicalIndex, bm25_scores, bm25_topk, fused_sparse_topk, lexical_index, sparse_topk, token_run_matches)
 from phrasebench.operators.rerank import PairScorer, candidate_pairs, training_pairs
 from phrasebench.session import cut_lineage
 
@@ -41,14 +41,14 @@ def dense_retrieval(queries: DataFrame, query_id: str, query_vec: str, gold: str
 
 
 def lexical_retrieval(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, k: int = 10) -> DataFrame:
-    scored = bm25_scores(queries, query_id, query_text, index)
+    scored = cut_lineage(bm25_topk(queries, query_id, query_text, index, k))
     scored = R.fill_lists(scored, queries, query_id, index.documents, "doc_id", k, ["lexical"])
     return R.rank_topk(scored, k, score="lexical", item="doc_id")
 
 
 def filled_pairs(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, k: int) -> DataFrame:
-    """Pairs with both scores; every query has ``k`` of them where the bank has as many."""
-    pairs = sparse_scores(queries, query_id, query_text, index)
+    """Pairs with both scores that hold the first ``k`` by either; every query has ``k`` of them where the bank has as many."""
+    pairs = cut_lineage(sparse_topk(queries, query_id, query_text, index, k))
     return R.fill_lists(pairs, queries, query_id, index.documents, "doc_id", k, ["dense", "lexical"])
 
 
@@ -56,8 +56,9 @@ def hybrid_whole_bank(queries: DataFrame, query_id: str, query_text: str, bank:
                       bank_text: str, k: int = 10, weight: float = DENSE_WEIGHT) -> DataFrame:
     """Dense and BM25 scores scaled over the whole bank, fused and cut to ``k``."""
     index = lexical_index(bank, bank_id, bank_text)
-    pairs = cut_lineage(filled_pairs(queries, query_id, query_text, index, k))
-    return R.rank_topk(Fu.fuse_whole_bank(pairs, index.n_docs(), weight), k, item="doc_id")
+    rows = cut_lineage(fused_sparse_topk(queries, query_id, query_text, index, k, weight))
+    rows = R.fill_lists(rows, queries, query_id, index.documents, "doc_id", k, ["dense", "lexical", "score"])
+    return R.rank_topk(rows, k, item="doc_id")
 
 
 def hybrid_pooled(queries: DataFrame, query_id: str, query_text: str, bank: DataFrame, bank_id: str,
@@ -76,7 +77,7 @@ def hybrid_vectors(queries: DataFrame, query_id: str, query_text: str, query_vec
                    bank: DataFrame, bank_id: str, bank_text: str, bank_vec: str,
                    k: int = 10, weight: float = DENSE_WEIGHT) -> DataFrame:
     """Exact whole-bank fusion of vector cosine and BM25: ranges first, then the fused block product."""
-    index = lexical_index(bank, bank_id, bank_text)
+    index = lexical_index(bank, bank_id, bank_text, cosine=False)
     lex = cut_lineage(bm25_scores(queries, query_id, query_text, index))
     low = F.when(F.col("n_rows") < index.n_docs(), F.lit(0.0)).otherwise(F.col("lo_lexical"))
     l_range = Fu.score_ranges(lex, ["lexical"]).withColumn("lo_lexical", low).drop("n_rows")

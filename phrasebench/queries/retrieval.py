@@ -98,7 +98,11 @@ def _(t):
 
 # ---- lexical -------------------------------------------------------------------------------------
 
-@query("lexical_stats", f"WITH {lexical_sql(*BENCH_ON_DOCS)} SELECT term, df, cf, round(idf, 6) AS idf FROM idf")
+@query("lexical_stats", f"""WITH w AS (SELECT doc_id, {tokens_of('text')} AS w FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL),
+st AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term),
+raw AS (SELECT *, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM st)
+SELECT term, df, cf, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END, 6) AS idf FROM raw""")
 def _(t):
     """Document frequency, collection frequency and floored idf of every term."""
     return bench_index(t).term_stats().select("term", "df", "cf", r6("idf").alias("idf"))

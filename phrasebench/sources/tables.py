@@ -60,10 +60,11 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """An index as ``write_lexical_index`` left it; nothing is read but its description."""
     meta = read_config(spark, f"{path}/meta")
-    post = open_bucketed(spark, f"{path}/postings", "doc_id", meta["buckets"], meta["columns"])
-    norms = open_bucketed(spark, f"{path}/norms", "doc_id", meta["buckets"], meta["norms"])
-    return LexicalIndex(post, *[spark.read.parquet(f"{path}/{part}") for part in ("terms", "documents")], norms)
+    by_doc = {n: open_bucketed(spark, f"{path}/{n}", "doc_id", meta["facts"]["buckets"], meta["columns"][n]) for n in ("postings", "norms", "places")}
+    plain = {n: spark.read.schema(meta["columns"][n]).parquet(f"{path}/{n}") for n in ("terms", "blocks")}
+    return LexicalIndex(documents=spark.read.parquet(f"{path}/documents"), facts=meta["facts"], **by_doc, **plain)
 
 
 def read_config(spark: SparkSession, path: str) -> dict:

@@ -302,7 +302,7 @@ def test_bm25_small_bank(spark):
     docs, queries, d, q = corpus(spark)
     want, *_ = bm25_by_hand(docs[:3] + docs[-1:], queries)
     index = L.lexical_index(d.where("d < 3 OR d = 60"), "d", "text")
-    assert L.small_side(q, "text", index.texts) == "bank"
+    assert L.small_side(q, "text", index.facts["text_bytes"]) == "bank"
     got = {(r["query_id"], r["doc_id"]): r["lexical"] for r in L.bm25_scores(q, "q", "text", index).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
