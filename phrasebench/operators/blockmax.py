@@ -1,8 +1,8 @@
 """Lexical top-k search over postings by term, with exact block-max pruning.
 
-Documents are laid out by length, which orders them by impact, and cut into ranges of bounded size. A block holds the
-postings of one term in one range, heaviest first, with its largest BM25 and cosine weight; blocks are stored in
-folders by a hash of their term. A search reads only the folders of its terms:
+Documents are laid out by length, which orders them by impact, and cut into ranges of bounded size. A block is the
+postings of one term in one range, heaviest first; a table of its own has every block's largest BM25 and cosine weight.
+Both are stored in folders by a hash of the term. A search reads only the folders of its terms:
 
 1. From the blocks' maxima alone (no postings are read) every range gets an upper bound for each query.
 2. The ranges with the best bounds are scored in full; the k-th score found is the query's threshold.
@@ -36,6 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A range ends at so many units; a document is one unit and one more for every ``UNIT_TOKENS`` tokens.
 RANGE_UNITS, UNIT_TOKENS = 8192, 512
+FILE_RANGES = 64
 #: Queries that share a copy of a range's blocks; ranges scored before the threshold is known.
 QUERY_ROWS, FIRST = 4096, 2
 #: What rounding to six places can add to a bound.
@@ -63,8 +64,13 @@ LIMITS = ["lo_dense", "hi_dense", "lo_lexical", "hi_lexical"]
 
 # ---- layout --------------------------------------------------------------------------------------
 
-def part_of(term: Column | str, parts: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+def number_of(term: Column | str, seed: int) -> Column:
+    """A term's number, a 64-bit hash; an index takes a seed under which all its terms have different numbers."""
+    return F.xxhash64(F.lit(seed), term)
+
+
+def part_of(number: Column | str, parts: int) -> Column:
+    return F.pmod(number, F.lit(parts)).cast("int")
 
 
 def place_documents(lengths: DataFrame, range_units: int = RANGE_UNITS) -> DataFrame:
@@ -75,24 +81,29 @@ def place_documents(lengths: DataFrame, range_units: int = RANGE_UNITS) -> DataF
     return ranged.withColumn("slot", F.row_number().over(W.partitionBy("range").orderBy("doc_id")) - 1)
 
 
-def blocks_of(rows: DataFrame, avg_length: float, parts: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(part, term, range, n, top_w, top_c, slots, w, c) from rows (term, tf, dl, norm, range, slot); heaviest first.
+def weighted(rows: DataFrame, facts: dict, avg_length: float, k1: float = K1, b: float = B) -> DataFrame:
+    """(part, number, range, slot, w, c) from rows (term, tf, dl, norm, range, slot).
 
     ``w`` is the BM25 weight without idf, ``c`` the share of the document's tf-idf vector; idf comes with the query.
     """
     w = bm25_weight("tf", "dl", F.lit(1.0), F.lit(avg_length), k1, b)
-    entry = F.struct(w.alias("w"), (F.col("tf") / F.col("norm")).alias("c"), "slot")
-    made = rows.groupBy("term", "range").agg(F.sort_array(F.collect_list(entry), asc=False).alias("e"))
-    return made.select(
-        part_of("term", parts).alias("part"), "term", "range", F.size("e").alias("n"), F.col("e")[0]["w"].alias("top_w"),
-        F.array_max(F.col("e.c")).alias("top_c"), F.col("e.slot").alias("slots"), F.col("e.w").alias("w"), F.col("e.c").alias("c"))
+    numbered = rows.withColumn("number", number_of("term", facts["seed"]))
+    return numbered.select(part_of(F.col("number"), facts["parts"]).alias("part"), "number", "range", "slot", w.alias("w"),
+                           (F.col("tf") / F.col("norm")).alias("c"))
 
 
-def store_blocks(blocks: DataFrame, path: str, files: int) -> DataFrame:
-    """Written by part and term; a term's blocks may take several files."""
-    ordered = blocks.repartitionByRange(files, "part", "term", "range").sortWithinPartitions("part", "term", "range")
-    ordered.write.mode("overwrite").partitionBy("part").parquet(path)
-    return blocks.sparkSession.read.schema(blocks.schema).parquet(path)
+def store_blocks(rows: DataFrame, root: str, files: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks, tops): the postings by part, number and range, and (part, number, range, n, top_w, top_c) of every block.
+
+    One shuffle; a part takes a file for every ``FILE_RANGES`` ranges, so a term of all documents is spread over many.
+    """
+    spread = rows.repartition(files, "part", F.floor(F.col("range") / F.lit(FILE_RANGES)))
+    ordered = spread.sortWithinPartitions("part", "number", "range", F.desc("w"), "slot")
+    ordered.write.mode("overwrite").partitionBy("part").parquet(f"{root}/blocks")
+    blocks = rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/blocks")
+    tops = blocks.groupBy("part", "number", "range").agg(F.count("*").alias("n"), F.max("w").alias("top_w"), F.max("c").alias("top_c"))
+    tops.repartition(files, "part", F.floor(F.col("range") / F.lit(FILE_RANGES))).write.mode("overwrite").partitionBy("part").parquet(f"{root}/tops")
+    return blocks, rows.sparkSession.read.schema(tops.schema).parquet(f"{root}/tops")
 
 
 # ---- queries -------------------------------------------------------------------------------------
@@ -103,32 +114,32 @@ class Asked:
     def __init__(self, counts: DataFrame, index):
         """``counts``: (query_id, term, qf)."""
         self.index = index
-        counts = cut_lineage(counts.withColumn("part", part_of("term", index.facts["parts"])))
+        facts = index.facts
+        counts = cut_lineage(counts.withColumn("part", part_of(number_of("term", facts["seed"]), facts["parts"])))
         self.parts = sorted(r["part"] for r in counts.select("part").distinct().collect())  # at most ``parts`` numbers
         known = index.terms.where(F.col("part").isin(self.parts))
-        idf = F.when(F.col("raw_idf") < 0, F.lit(EPSILON * (index.facts["mean_idf"] or 0.0))).otherwise(F.col("raw_idf"))
-        rows = counts.select("query_id", "term", "qf").join(known.select("term", idf.alias("idf"), "smooth_idf"), "term")
+        idf = F.when(F.col("raw_idf") < 0, F.lit(EPSILON * (facts["mean_idf"] or 0.0))).otherwise(F.col("raw_idf"))
+        rows = counts.select("query_id", "term", "qf").join(known.select("term", "number", idf.alias("idf"), "smooth_idf"), "term")
         own = F.col("qf") * F.col("smooth_idf")
         norm = F.sqrt(F.sum(own * own).over(W.partitionBy("query_id")))
         self.terms = cut_lineage(rows.select(
-            "query_id", "term", (F.col("qf") * F.col("idf")).alias("ql"), (own * F.col("smooth_idf") / norm).alias("qd")))
-        lists = F.sort_array(F.collect_list(F.struct("term", "ql", "qd")))  # a query's own terms
+            "query_id", "number", (F.col("qf") * F.col("idf")).alias("ql"), (own * F.col("smooth_idf") / norm).alias("qd")))
+        lists = F.sort_array(F.collect_list(F.struct("number", "ql", "qd")))  # a query's own terms
         self.lists = self.terms.groupBy("query_id").agg(lists.alias("e")).select(
-            "query_id", F.col("e.term").alias("terms"), F.col("e.ql").alias("ql"), F.col("e.qd").alias("qd"))
+            "query_id", F.col("e.number").alias("numbers"), F.col("e.ql").alias("ql"), F.col("e.qd").alias("qd"))
         queries = self.terms.agg(F.count_distinct("query_id")).first()[0]
         cores = self.terms.sparkSession.sparkContext.defaultParallelism
         wanted = min(-(-queries // 64), -(-2 * cores // max(1, index.facts["ranges"])))
         self.chunks = max(1, -(-queries // QUERY_ROWS), wanted)
 
-    @property
-    def blocks(self) -> DataFrame:
-        return self.index.blocks.where(F.col("part").isin(self.parts))
+    def of_parts(self, table: DataFrame) -> DataFrame:
+        return table.where(F.col("part").isin(self.parts))
 
     def bounds(self) -> DataFrame:
         """(query_id, range, up_dense, up_lexical, cover): what a range's rows can score at most, and the postings it has."""
-        tops = self.blocks.select("term", "range", "n", "top_w", "top_c")
+        tops = self.of_parts(self.index.tops).select("number", "range", "n", "top_w", "top_c")
         up = lambda q, top: F.sum(F.greatest(F.col(q) * F.col(top), F.lit(0.0)))
-        return self.terms.join(tops, "term").groupBy("query_id", "range").agg(
+        return self.terms.join(tops, "number").groupBy("query_id", "range").agg(
             (up("qd", "top_c") + F.lit(ROUNDING)).alias("up_dense"), (up("ql", "top_w") + F.lit(ROUNDING)).alias("up_lexical"),
             F.sum("n").alias("cover"))
 
@@ -151,14 +162,15 @@ def _goal_scores(goal: Goal, dense: np.ndarray, lexical: np.ndarray, limits: tup
 def _score_range(asked: pa.Table, blocks: pa.Table, k: int, goals: list[Goal]) -> tuple[list, list, list, list, list]:
     """(row of ``asked``, slot, dense, lexical, hits) of the best rows of a range; slot -1 sums a query's hits up."""
     out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-    lists = {c: blocks.column(c).combine_chunks() for c in ("slots", "w", "c")}
-    slots, w = lists["slots"].flatten().to_numpy(), lists["w"].flatten().to_numpy(zero_copy_only=False)
-    c = lists["c"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    sizes = pc.list_value_length(lists["slots"]).to_numpy().astype(np.int64)
-    starts, width = np.cumsum(sizes) - sizes, int(slots.max(initial=-1)) + 1
-    terms = asked.column("terms").combine_chunks()
-    ends = np.cumsum(pc.list_value_length(terms).to_numpy())
-    at = pc.fill_null(pc.index_in(terms.flatten(), value_set=blocks.column("term").combine_chunks()), -1).to_numpy()
+    number = blocks.column("number").to_numpy()
+    order = np.argsort(number, kind="stable")
+    slots, w, c = (blocks.column(n).to_numpy()[order] for n in ("slot", "w", "c"))
+    known, starts, sizes = np.unique(number[order], return_index=True, return_counts=True)
+    width = int(slots.max(initial=-1)) + 1
+    numbers = asked.column("numbers").combine_chunks()
+    ends, flat = np.cumsum(pc.list_value_length(numbers).to_numpy()), numbers.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    at = np.where(known[at] == flat, at, -1)
     ql, qd = (asked.column(n).combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in ("ql", "qd"))
     limits = list(zip(*(asked.column(n).to_pylist() for n in LIMITS))) if "lo_dense" in asked.column_names else None
     for i in range(asked.num_rows):
@@ -187,7 +199,8 @@ def score_pairs(asked: Asked, pairs: DataFrame, k: int, goals: list[Goal]) -> Da
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(asked.chunks)).cast("int")
     left = pairs.join(asked.lists, "query_id").withColumn("chunk", chunk)
     needed = pairs.select("range", chunk.alias("chunk")).distinct()
-    right = asked.blocks.join(asked.terms.select("term").distinct(), "term", "left_semi").join(needed, "range")
+    # asked numbers and ranges are joined to the postings by size or by hash, as Spark finds them
+    right = asked.of_parts(asked.index.blocks).join(asked.terms.select("number").distinct(), "number").join(needed, "range")
     kind = left.schema["query_id"].dataType.simpleString()
 
     def run(asks: pa.Table, blocks: pa.Table) -> pa.Table:
@@ -197,7 +210,7 @@ def score_pairs(asked: Asked, pairs: DataFrame, k: int, goals: list[Goal]) -> Da
                          "slot": pa.array(found[1], pa.int32()), "dense": pa.array(found[2], pa.float64()),
                          "lexical": pa.array(found[3], pa.float64()), "hits": pa.array(found[4], pa.int64())})
 
-    right = right.select("range", "chunk", "term", "slots", "w", "c")
+    right = right.select("range", "chunk", "number", "slot", "w", F.coalesce("c", F.lit(0.0)).alias("c"))
     return left.groupBy("range", "chunk").cogroup(right.groupBy("range", "chunk")).applyInArrow(
         run, f"query_id {kind}, range int, slot int, dense double, lexical double, hits bigint")
 
@@ -239,18 +252,19 @@ def _wave(asked: Asked, pairs: DataFrame, ranges: DataFrame | None, k: int, goal
     return cut_lineage(score_pairs(asked, pairs, k, goals))
 
 
-def found_rows(asked: Asked, k: int, goals: list[Goal], ranges: DataFrame | None = None, lows: bool = False) -> DataFrame:
+def found_rows(asked: Asked, k: int, goals: list[Goal], ranges: DataFrame | None = None, lows: bool = False,
+               first: int = FIRST) -> DataFrame:
     """Rows that hold each goal's first ``k`` of every query, as ``score_pairs`` gives them.
 
     ``ranges``: (query_id, LIMITS) for scaled goals. ``lows``: go on until it is known whether every document shares a
     term with the query, which takes all ranges only for queries that no range scored so far leaves a document out of.
     """
-    if asked.index.facts["ranges"] <= 1:
-        pairs = asked.lists.select("query_id", F.lit(0).alias("range"))
+    if asked.index.facts["ranges"] <= first:  # all of them are in the first wave
+        pairs = asked.lists.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(asked.index.facts["ranges"] - 1))).alias("range"))
         return _wave(asked, pairs, ranges, k, goals)
     bounds = asked.bounds()
     bounds = cut_lineage(bounds if ranges is None else bounds.join(ranges, "query_id"))
-    taken = cut_lineage(first_pairs(bounds, goals))
+    taken = cut_lineage(first_pairs(bounds, goals, first))
     found = _wave(asked, taken, ranges, k, goals)
     whole = None
     if lows:

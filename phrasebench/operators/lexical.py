@@ -19,7 +19,7 @@ from phrasebench.fixed import EPSILON, K1, MAX_FEATURES, MIN_DF, B
 from phrasebench.functions.numeric import bm25_weight, r6, safe_ratio
 from phrasebench.functions.text import tokenize_ws
 from phrasebench.operators.blockmax import (
-    DENSE, LEXICAL, LIMITS, RANGE_UNITS, Asked, Goal, blocks_of, found_rows, part_of, place_documents, score_limits, store_blocks, with_ids)
+    DENSE, LEXICAL, LIMITS, RANGE_UNITS, Asked, Goal, found_rows, number_of, part_of, place_documents, score_limits, store_blocks, weighted, with_ids)
 from phrasebench.session import bucket_count, cut_lineage, measured_bytes, scratch_path, store_bucketed
 
 SALTS = 32
@@ -49,12 +49,13 @@ class LexicalIndex:
     """Postings by document and by term, term statistics, norms and ids of one bank; all can be stored and read back."""
 
     postings: DataFrame    # doc_id, dl, term, tf
-    terms: DataFrame       # part, term, df, cf, raw_idf, smooth_idf
+    terms: DataFrame       # part, term, number, df, cf, raw_idf, smooth_idf
     documents: DataFrame   # doc_id
     norms: DataFrame | None  # doc_id, norm of its tf-idf vector over all terms; None when only BM25 is asked for
-    blocks: DataFrame      # part, term, range, n, top_w, top_c, slots, w, c
+    blocks: DataFrame      # part, number, range, slot, w, c
+    tops: DataFrame        # part, number, range, n, top_w, top_c
     places: DataFrame      # doc_id, range, slot
-    facts: dict            # buckets, parts, ranges, n_docs, tokens, mean_idf, text_bytes
+    facts: dict            # buckets, parts, ranges, n_docs, tokens, mean_idf, text_bytes, seed
 
     def n_docs(self) -> Column:
         return F.lit(self.facts["n_docs"])
@@ -97,8 +98,12 @@ def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = No
         post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
         .withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         .withColumn("smooth_idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1)
-        .withColumn("part", part_of("term", facts["parts"]))
     )
+    # numbers are as good as terms where they are all different; the first seed practically always is
+    terms, facts["seed"] = cut_lineage(terms), 0
+    while terms.agg(F.count("*") - F.count_distinct(number_of("term", facts["seed"]))).first()[0]:
+        facts["seed"] += 1
+    terms = terms.withColumn("number", number_of("term", facts["seed"])).withColumn("part", part_of(F.col("number"), facts["parts"]))
     terms.repartition(facts["parts"], "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{root}/terms")
     terms = spark.read.schema(terms.schema).parquet(f"{root}/terms")
     total = terms.agg(F.avg("raw_idf").alias("mean_idf"), F.sum("cf").alias("tokens")).first()
@@ -106,16 +111,16 @@ def lexical_index(bank: DataFrame, doc_id: str, text: str, path: str | None = No
     placed = place_documents(post.groupBy("doc_id").agg(F.max("dl").alias("dl")), range_units)
     places = store_bucketed(placed.repartition(buckets, "doc_id"), f"{root}/places", "doc_id", buckets)
     facts["ranges"] = (places.agg(F.max("range")).first()[0] or 0) + 1
-    norms, placed_rows = None, post.join(places, "doc_id")
+    norms, placed_rows = None, post.join(places.hint("shuffle_hash"), "doc_id")
     if cosine:
         weight = F.col("tf") * F.col("smooth_idf")
-        norms = post.join(terms.select("term", "smooth_idf"), "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+        norms = post.join(terms.select("term", "smooth_idf").hint("shuffle_hash"), "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
         norms = store_bucketed(norms.repartition(buckets, "doc_id"), f"{root}/norms", "doc_id", buckets)
-        placed_rows = placed_rows.join(norms, "doc_id")
+        placed_rows = placed_rows.join(norms.hint("shuffle_hash"), "doc_id")
     else:
         placed_rows = placed_rows.withColumn("norm", F.lit(None).cast("double"))
-    blocks = store_blocks(blocks_of(placed_rows, average_length(facts), facts["parts"]), f"{root}/blocks", buckets)
-    return LexicalIndex(post, terms, docs, norms, blocks, places, facts)
+    blocks, tops = store_blocks(weighted(placed_rows, facts, average_length(facts)), root, buckets)
+    return LexicalIndex(post, terms, docs, norms, blocks, tops, places, facts)
 
 
 def asked_terms(queries: DataFrame, query_id: str, text: str, index: LexicalIndex) -> Asked:
@@ -207,48 +212,3 @@ def sparse_scores(queries: DataFrame, query_id: str, query_text: str, index: Lex
         F.max("q_norm").alias("q_norm"), F.max("norm").alias("d_norm"))
     dense = safe_ratio(F.col("_dot"), F.col("q_norm") * F.col("d_norm"))
     return pairs.select("query_id", "doc_id", r6(dense).alias("dense"), r6("_bm25").alias("lexical"))
-
-
-def token_run_matches(queries: DataFrame, query_id: str, query_tokens: str,
-                      phrases: DataFrame, phrase_id: str, phrase_tokens: str,
-                      anchor: int = 3) -> DataFrame:
-    """(query_id, phrase_id) for every phrase that occurs as a contiguous token run of a query text.
-
-    Each phrase is looked up by its rarest short run (at most ``anchor`` tokens) among the texts, an
-    equi-join; only those hits are compared in full. Exact, and no text meets every phrase.
-    """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_tokens).alias("_q"))
-    p = phrases.select(F.col(phrase_id).alias("phrase_id"), F.col(phrase_tokens).alias("_p"))
-    p = p.where(F.size("_p") > 0)
-
-    def runs(tokens: str) -> Column:
-        """Per width 1..anchor: (width, every run of that many tokens), built by pairing shifted arrays."""
-        made, last = [], F.col(tokens)
-        for width in range(1, anchor + 1):
-            made.append(F.struct(F.lit(width).alias("width"), last.alias("runs")))
-            shifted = F.slice(F.col(tokens), F.lit(width + 1), F.greatest(F.size(tokens) - width, F.lit(0)))
-            heads = F.slice(last, F.lit(1), F.size(shifted))
-            last = F.zip_with(heads, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.array(*made)
-
-    p_runs = p.select("phrase_id", F.least(F.lit(anchor), F.size("_p")).alias("_need"), F.inline(runs("_p")))
-    p_runs = p_runs.where(F.col("width") == F.col("_need")).select("phrase_id", F.explode("runs").alias("run")).distinct()
-    # only widths some phrase needs: at most ``anchor`` values
-    widths = p.agg(F.collect_set(F.least(F.lit(anchor), F.size("_p")))).scalar()
-    q_runs = q.select("query_id", F.inline(runs("_q"))).where(F.array_contains(widths, F.col("width")))
-    q_runs = q_runs.select("query_id", F.explode("runs").alias("run"))
-    # one pass over the texts; what is left is only runs some phrase has
-    q_runs = cut_lineage(q_runs.join(p_runs.select("run").distinct(), "run", "left_semi").distinct())
-    counts = q_runs.groupBy("run").agg(F.count("*").alias("n"))
-    best = (
-        p_runs.join(counts, "run", "left").groupBy("phrase_id")
-        .agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("run"))
-    )
-    # a phrase with a run that no text holds keeps that run, and so finds nothing
-    hits = cut_lineage(best.join(q_runs, "run").select("query_id", "phrase_id"))
-    texts = q.join(hits.select("query_id").distinct(), "query_id", "left_semi")
-    checked = hits.join(texts, "query_id").join(p, "phrase_id")
-    inside = F.contains(
-        F.concat(F.lit(" "), F.array_join("_q", " "), F.lit(" ")),
-        F.concat(F.lit(" "), F.array_join("_p", " "), F.lit(" ")))
-    return checked.where(inside).select("query_id", "phrase_id")

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasebench.functions.numeric import safe_ratio
-from phrasebench.functions.text import candidate_text, normal_tokens, phrase_score, word_set
+from phrasebench.functions.text import candidate_text, normal_tokens, padded_run, word_set
 from phrasebench.operators.ordering import top_k_per
+from phrasebench.session import cut_lineage, spread
 
 #: A pair scorer maps rows with (query, candidate, …) to the same rows plus ``rerank_score``.
 PairScorer = Callable[[DataFrame], DataFrame]
@@ -42,19 +43,40 @@ def training_pairs(queries: DataFrame, ranked: DataFrame, n: int = 3, depth: int
     return pos.unionByName(neg)
 
 
+def text_words(text) -> dict:
+    """What pair features need of a text: its distinct words, and its normalised tokens as one padded run."""
+    return {"words": word_set(text), "run": padded_run(normal_tokens(text)), "full": F.size(normal_tokens(text)) > 0}
+
+
+def candidate_words(ranked: DataFrame, queries: DataFrame, query_id: str, query_text: str,
+                    bank: DataFrame, bank_id: str, entity: str, meaning: str) -> DataFrame:
+    """Ranked rows plus the words of both texts, made once a text; the texts themselves stay behind."""
+    def side(df: DataFrame, key: str, name: str, text, prefix: str) -> DataFrame:
+        made = spread(df.select(F.col(key).alias(name), text.alias("_text")))
+        return cut_lineage(made.select(name, *[c.alias(f"{prefix}_{n}") for n, c in text_words("_text").items()]))
+
+    q = side(queries, query_id, "query_id", F.col(query_text), "q")
+    c = side(bank, bank_id, "bank_id", candidate_text(entity, meaning), "c")
+    return ranked.join(q, "query_id").join(c, "bank_id")
+
+
 def pair_features(pairs: DataFrame) -> DataFrame:
-    """Features of (query, candidate): shared-word share, word-set Jaccard, phrase match, length ratio."""
-    q, c = word_set("query"), word_set("candidate")
-    both = F.size(F.array_intersect("_q", "_c"))
+    """Features of a pair: shared-word share, word-set Jaccard, phrase match, length ratio.
+
+    ``pairs`` has the texts (query, candidate) or their words, as ``candidate_words`` gives them.
+    """
+    if "q_words" not in pairs.columns:
+        pairs = pairs.withColumns({f"{p}_{n}": c for p, text in (("q", "query"), ("c", "candidate")) for n, c in text_words(text).items()})
+    both = F.size(F.array_intersect("q_words", "c_words"))
+    n_q, n_c = F.size("q_words"), F.size("c_words")
+    inside = F.col("c_full") & F.contains("q_run", "c_run")
     return (
-        pairs.withColumns({"_q": q, "_c": c})
+        pairs.withColumn("_both", both)
         .withColumns({
-            "f_cover": safe_ratio(both, F.size("_c")),
-            "f_jaccard": safe_ratio(both, F.size(F.array_union("_q", "_c"))),
-            "f_phrase": phrase_score(normal_tokens("candidate"), normal_tokens("query")),
-            "f_length": safe_ratio(F.least(F.size("_q"), F.size("_c")), F.greatest(F.size("_q"), F.size("_c"))),
+            "f_cover": safe_ratio("_both", n_c), "f_jaccard": safe_ratio("_both", n_q + n_c - F.col("_both")),
+            "f_phrase": F.when(inside, F.lit(1.0)).otherwise(F.lit(0.0)), "f_length": safe_ratio(F.least(n_q, n_c), F.greatest(n_q, n_c)),
         })
-        .drop("_q", "_c")
+        .drop("_both", *[f"{p}_{n}" for p in ("q", "c") for n in ("words", "run", "full")])
     )
 
 
@@ -67,6 +89,10 @@ def overlap_scorer(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("rerank_score", F.col("f_jaccard") + 0.5 * F.col("f_phrase")).drop(*FEATURES)
 
 
+#: The scorer takes pairs with words instead of texts.
+overlap_scorer.wants_words = True
+
+
 def fit_pair_scorer(pairs: DataFrame, extra: tuple[str, ...] = ()):
     """Fit logistic regression on pair features; returns a Spark ML model that can be saved."""
     inputs = [*FEATURES, *extra]

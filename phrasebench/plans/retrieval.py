@@ -15,9 +15,10 @@ from phrasebench.operators import fusion as Fu
 from phrasebench.operators import rank as R
 from phrasebench.operators.dense import dense_range, dense_topk, fused_topk
 from phrasebench.operators.lexical import (
-    LexicalIndex, bm25_scores, bm25_topk, fused_sparse_topk, lexical_index, sparse_topk, token_run_matches)
-from phrasebench.operators.rerank import PairScorer, candidate_pairs, training_pairs
-from phrasebench.session import cut_lineage
+    LexicalIndex, bm25_scores, bm25_topk, fused_sparse_topk, lexical_index, sparse_topk)
+from phrasebench.operators.phrases import token_run_matches
+from phrasebench.operators.rerank import PairScorer, candidate_pairs, candidate_words, training_pairs
+from phrasebench.session import cut_lineage, spread
 
 #: An embedder maps a table with a text column to the same table plus a vector column.
 Embedder = Callable[[DataFrame], DataFrame]
@@ -53,9 +54,9 @@ def filled_pairs(queries: DataFrame, query_id: str, query_text: str, index: Lexi
 
 
 def hybrid_whole_bank(queries: DataFrame, query_id: str, query_text: str, bank: DataFrame, bank_id: str,
-                      bank_text: str, k: int = 10, weight: float = DENSE_WEIGHT) -> DataFrame:
-    """Dense and BM25 scores scaled over the whole bank, fused and cut to ``k``."""
-    index = lexical_index(bank, bank_id, bank_text)
+                      bank_text: str, k: int = 10, weight: float = DENSE_WEIGHT, index: LexicalIndex | None = None) -> DataFrame:
+    """Dense and BM25 scores scaled over the whole bank, fused and cut to ``k``; ``index`` is the bank's, if there is one."""
+    index = index or lexical_index(bank, bank_id, bank_text)
     rows = cut_lineage(fused_sparse_topk(queries, query_id, query_text, index, k, weight))
     rows = R.fill_lists(rows, queries, query_id, index.documents, "doc_id", k, ["dense", "lexical", "score"])
     return R.rank_topk(rows, k, item="doc_id")
@@ -63,9 +64,9 @@ def hybrid_whole_bank(queries: DataFrame, query_id: str, query_text: str, bank:
 
 def hybrid_pooled(queries: DataFrame, query_id: str, query_text: str, bank: DataFrame, bank_id: str,
                   bank_text: str, entity: str, phrase: str, k: int = 5, fetch_k: int = 50,
-                  weight: float = DENSE_WEIGHT) -> DataFrame:
+                  weight: float = DENSE_WEIGHT, index: LexicalIndex | None = None) -> DataFrame:
     """Pool of both lists, scaled and fused inside the pool, phrase boost, best row per entity."""
-    index = lexical_index(bank, bank_id, bank_text)
+    index = index or lexical_index(bank, bank_id, bank_text)
     pairs = cut_lineage(filled_pairs(queries, query_id, query_text, index, fetch_k))
     pool = Fu.fuse_pool(Fu.pool_union(pairs, fetch_k), weight)
     boosted = with_boost(pool.withColumnRenamed("score", "hybrid_score"), "hybrid_score",
@@ -75,9 +76,9 @@ def hybrid_pooled(queries: DataFrame, query_id: str, query_text: str, bank: Data
 
 def hybrid_vectors(queries: DataFrame, query_id: str, query_text: str, query_vec: str,
                    bank: DataFrame, bank_id: str, bank_text: str, bank_vec: str,
-                   k: int = 10, weight: float = DENSE_WEIGHT) -> DataFrame:
+                   k: int = 10, weight: float = DENSE_WEIGHT, index: LexicalIndex | None = None) -> DataFrame:
     """Exact whole-bank fusion of vector cosine and BM25: ranges first, then the fused block product."""
-    index = lexical_index(bank, bank_id, bank_text, cosine=False)
+    index = index or lexical_index(bank, bank_id, bank_text, cosine=False)
     lex = cut_lineage(bm25_scores(queries, query_id, query_text, index))
     low = F.when(F.col("n_rows") < index.n_docs(), F.lit(0.0)).otherwise(F.col("lo_lexical"))
     l_range = Fu.score_ranges(lex, ["lexical"]).withColumn("lo_lexical", low).drop("n_rows")
@@ -91,9 +92,9 @@ def with_boost(scored: DataFrame, base: str, queries: DataFrame, query_id: str,
                bank: DataFrame, bank_id: str, entity: str, phrase: str, item: str = "doc_id") -> DataFrame:
     """Add entity, ``phrase_boost`` and ``score`` = base + boost to candidate rows.
 
-    Phrase hits come from the run join, so no candidate row carries its query's text.
+    Phrase hits come from one pass over the query texts, so no candidate row carries its query's text.
     """
-    q = queries.select(F.col(query_id).alias("_q_id"), normal_tokens(query_text).alias("_q"))
+    q = spread(queries.select(F.col(query_id).alias("_q_id"), query_text)).select("_q_id", normal_tokens(query_text).alias("_q"))
     b = bank.select(F.col(bank_id).alias("_b_id"), normal_tokens(phrase).alias("_p"))
     hits = token_run_matches(q, "_q_id", "_q", b, "_b_id", "_p").select(
         "query_id", F.col("phrase_id").alias(item), F.lit(1.0).alias("_match"))
@@ -104,11 +105,19 @@ def with_boost(scored: DataFrame, base: str, queries: DataFrame, query_id: str,
 
 
 def hybrid_rerank(queries: DataFrame, query_id: str, query_text: str, bank: DataFrame, bank_id: str, bank_text: str,
-                  entity: str, phrase: str, scorer: PairScorer, pool: int = 20, k: int = 5) -> DataFrame:
+                  entity: str, phrase: str, scorer: PairScorer, pool: int = 20, k: int = 5, index: LexicalIndex | None = None) -> DataFrame:
     """Pooled hybrid search with boost, one row per entity, ``pool`` entities; rescored as pairs and cut to ``k``."""
-    ranked = hybrid_pooled(queries, query_id, query_text, bank, bank_id, bank_text, entity, phrase, pool)
+    ranked = hybrid_pooled(queries, query_id, query_text, bank, bank_id, bank_text, entity, phrase, pool, index=index)
     ranked = ranked.select("query_id", F.col("doc_id").alias("bank_id"), "rank", "score")
-    return rerank_candidates(candidate_pairs(ranked, queries, query_id, query_text, bank, bank_id, entity, bank_text), scorer, k)
+    pairs = scored_pairs(ranked, queries, query_id, query_text, bank, bank_id, entity, bank_text, scorer)
+    return rerank_candidates(pairs, scorer, k)
+
+
+def scored_pairs(ranked: DataFrame, queries: DataFrame, query_id: str, query_text: str, bank: DataFrame, bank_id: str,
+                 entity: str, meaning: str, scorer: PairScorer) -> DataFrame:
+    """Pairs as ``scorer`` wants them: with texts, or with the words of each text, which are then made once a text."""
+    make = candidate_words if getattr(scorer, "wants_words", False) else candidate_pairs
+    return make(ranked, queries, query_id, query_text, bank, bank_id, entity, meaning)
 
 
 def rerank_candidates(candidates: DataFrame, scorer: PairScorer, k: int) -> DataFrame:
@@ -127,9 +136,9 @@ def two_layer_answers(queries: DataFrame, query_id: str, query_text: str, index:
     pairs = filled_pairs(queries, query_id, query_text, index, pool)
     top = Fu.fuse_demo(R.rank_topk(pairs, pool, score="dense", item="doc_id"))
     top = top.select("query_id", F.col("doc_id").alias("bank_id"), "rank", r6("score").alias("fused"))
-    scored = scorer(candidate_pairs(top, queries, query_id, query_text, bank, bank_id, entity, bank_text))
+    scored = scorer(scored_pairs(top, queries, query_id, query_text, bank, bank_id, entity, bank_text, scorer))
     names = bank.select(F.col(bank_id).alias("bank_id"), F.col(entity).alias("entity"))
-    found = scored.drop("rank", "query", "candidate").join(names, "bank_id")
+    found = scored.select("query_id", "bank_id", "fused", "rerank_score").join(names, "bank_id")
     return R.distinct_topk(found, k, score="rerank_score")
 
 

@@ -13,12 +13,13 @@ from phrasebench.operators import rank as R
 from phrasebench.operators import rerank as K
 from phrasebench.operators.dense import dense_range, dense_topk
 from phrasebench.operators.embed import ALPHABET, letter_embedder
+from phrasebench.operators.phrases import token_run_matches
 from phrasebench.operators.split import within_entity_split
 from phrasebench.plans import retrieval as Z
 from phrasebench.queries.registry import (
     BENCH_ON_DOCS, DOCS_ON_BENCH, POOL, VECTORS, hybrid_sql, lexical_sql, md5_of, norm_of, query, ranked_vectors, tokens_of)
 
-from phrasebench.session import cut_lineage
+from phrasebench.session import cut_lineage, spread
 
 
 def vector_sets(t):
@@ -32,8 +33,25 @@ def ranked_vector_rows(t, k: int = 5, fetch: int = 25):
     return Z.dense_retrieval(q, "vec_id", "embedding", "label", b, "vec_id", "embedding", "label", k, fetch)
 
 
+_STORED: dict[tuple, L.LexicalIndex] = {}
+
+
+def stored_index(t, table: str, key: str):
+    """The table's index, built and stored at its first use in a session and opened by later queries."""
+    at = (t.spark.sparkContext.applicationId, t.root, table)
+    if at not in _STORED:
+        _STORED[at] = L.lexical_index(getattr(t, table), key, "text")
+    return _STORED[at]
+
+
 def bench_index(t):
-    return L.lexical_index(t.documents, "doc_id", "text")
+    """Documents as bank, passages as queries."""
+    return stored_index(t, "documents", "doc_id")
+
+
+def passage_index(t):
+    """Passages as bank, documents as queries."""
+    return stored_index(t, "benchmark", "item_id")
 
 
 def bench_pairs(t, k: int = 20):
@@ -124,9 +142,9 @@ SELECT k::INT AS k, round(count_if(gold_rank <= k) / count(*), 6) AS recall FROM
 def _(t):
     """Recall of the documents that hold the passage, k = 1..10."""
     from phrasebench.operators.metrics import recall_curve
-    docs = t.documents.select("doc_id", normal_tokens("text").alias("q"))
+    docs = spread(t.documents.select("doc_id", "text")).select("doc_id", normal_tokens("text").alias("q"))
     items = t.benchmark.select("item_id", normal_tokens("text").alias("p"))
-    gold = L.token_run_matches(docs, "doc_id", "q", items, "item_id", "p").select(
+    gold = token_run_matches(docs, "doc_id", "q", items, "item_id", "p").select(
         F.col("phrase_id").alias("query_id"), F.col("query_id").alias("doc_id"))
     ranked = Z.lexical_retrieval(t.benchmark, "item_id", "text", bench_index(t), 10)
     hit = gold.join(ranked, ["query_id", "doc_id"], "left")
@@ -144,7 +162,7 @@ f AS (SELECT query_id, doc_id, round(0.8::DOUBLE * CASE WHEN d1 - d0 < 1e-12 THE
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
 def _(t):
     """Ranges over the whole bank, fused, top 10."""
-    out = Z.hybrid_whole_bank(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", 10)
+    out = Z.hybrid_whole_bank(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", 10, index=bench_index(t))
     return out.select("query_id", "doc_id", "score", "rank")
 
 
@@ -152,7 +170,7 @@ def _(t):
  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fbest QUALIFY rank <= 5""")
 def _(t):
     """Documents as queries, passages as bank."""
-    out = Z.hybrid_pooled(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", "text", "text")
+    out = Z.hybrid_pooled(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", "text", "text", index=passage_index(t))
     return out.select("query_id", "doc_id", "entity", r6("hybrid_score").alias("hybrid_score"), "phrase_boost", "score", "rank")
 
 
@@ -225,7 +243,7 @@ e AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, entity O
 SELECT query_id, doc_id, dense, phrase_boost, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM e QUALIFY rank <= 5""")
 def _(t):
     """Dense top 30, boost for a contained phrase, best row per entity."""
-    index = L.lexical_index(t.benchmark, "item_id", "text")
+    index = passage_index(t)
     pairs = Z.filled_pairs(t.documents, "doc_id", "text", index, 30)
     d = R.rank_topk(pairs, 30, score="dense", item="doc_id").select("query_id", "doc_id", "dense")
     boosted = Z.with_boost(d, "dense", t.documents, "doc_id", "text", t.benchmark, "item_id", "text", "text")
@@ -251,12 +269,12 @@ f AS (SELECT query_id, doc_id, dense, lexical, round(0.8::DOUBLE * CASE WHEN d1
  + (1 - 0.8::DOUBLE) * CASE WHEN l1 - l0 < 1e-12 THEN 0 ELSE (lexical - l0) / (l1 - l0) END, 6) AS score FROM s JOIN r USING (query_id))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
 def _(t):
-    """Z07 with vectors, M11: exact whole-bank fusion by two cut lists and a bound."""
+    """Z07 with vectors, M11: ranges of both scores first, then a block product that carries the lexical scores."""
     embed = letter_embedder("text")
     # vectors are made once and stored, as an encoder's would be
     q = cut_lineage(embed(t.benchmark.select("item_id", "text")))
     b = cut_lineage(embed(t.documents.select("doc_id", "text")))
-    return Z.hybrid_vectors(q, "item_id", "text", "vec", b, "doc_id", "text", "vec", 10)
+    return Z.hybrid_vectors(q, "item_id", "text", "vec", b, "doc_id", "text", "vec", 10, index=bench_index(t))
 
 
 # ---- rerank --------------------------------------------------------------------------------------
@@ -311,10 +329,13 @@ def rounded_overlap(pairs):
     return K.overlap_scorer(pairs).withColumn("rerank_score", r6("rerank_score"))
 
 
+rounded_overlap.wants_words = True
+
+
 @query("hybrid_rerank", f"""{POOL20}{OVERLAP_STEPS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, bank_id) AS rerank_rank FROM rr QUALIFY rerank_rank <= 5""")
 def _(t):
     """Pooled hybrid search with boost, 20 entities a query, rescored as pairs, first five."""
-    out = Z.hybrid_rerank(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", "text", "text", rounded_overlap)
+    out = Z.hybrid_rerank(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", "text", "text", rounded_overlap, index=passage_index(t))
     return out.select("query_id", "bank_id", "rank", "rerank_score", "rerank_rank")
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from phrasebench.functions import numeric as N
 from phrasebench.functions import text as X
-from phrasebench.operators.lexical import token_run_matches
+from phrasebench.operators.phrases import token_run_matches
 from phrasebench.queries.registry import EXAMPLES, SCORED, norm_of, query, stem_of, tokens_of
+from phrasebench.session import spread
 
 
 @query("x01_x02_lower_trim", "SELECT doc_id, lower(text) AS low, trim(text) AS trimmed FROM documents")
@@ -94,8 +95,8 @@ def _(t):
 p AS (SELECT item_id, ' ' || array_to_string({norm_of('text')}, ' ') || ' ' AS p FROM benchmark)
 SELECT doc_id AS query_id, item_id AS phrase_id FROM d, p WHERE contains(q, p)""")
 def _(t):
-    """Which passages occur as a token run of which document; anchor runs joined, hits verified."""
-    docs = t.documents.select("doc_id", X.normal_tokens("text").alias("q"))
+    """Which passages occur as a token run of which document; one pass over the documents."""
+    docs = spread(t.documents.select("doc_id", "text")).select("doc_id", X.normal_tokens("text").alias("q"))
     items = t.benchmark.select("item_id", X.normal_tokens("text").alias("p"))
     return token_run_matches(docs, "doc_id", "q", items, "item_id", "p")
 

@@ -60,6 +60,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer pieces than there are cores, as one small file does.
+
+    A large table has more pieces than that and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bucket_count(spark: SparkSession, size: int, per_bucket: int = 64 * 1024 * 1024) -> int:
     """Buckets for ``size`` bytes: one per 64 MB, at least one per core; Spark's own bound is raised where it is lower."""
     buckets = max(spark.sparkContext.defaultParallelism, -(-size // per_bucket))

@@ -63,7 +63,7 @@ def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
     """An index as ``write_lexical_index`` left it; nothing is read but its description."""
     meta = read_config(spark, f"{path}/meta")
     by_doc = {n: open_bucketed(spark, f"{path}/{n}", "doc_id", meta["facts"]["buckets"], meta["columns"][n]) for n in ("postings", "norms", "places")}
-    plain = {n: spark.read.schema(meta["columns"][n]).parquet(f"{path}/{n}") for n in ("terms", "blocks")}
+    plain = {n: spark.read.schema(meta["columns"][n]).parquet(f"{path}/{n}") for n in ("terms", "blocks", "tops")}
     return LexicalIndex(documents=spark.read.parquet(f"{path}/documents"), facts=meta["facts"], **by_doc, **plain)
 
 

@@ -321,14 +321,16 @@ def test_sparse_scores_paths_agree(spark, limit):
         assert abs(r["dense"] - (sum(qw[w] * dw.get(w, 0) for w in qw) / norm if norm else 0)) < 1e-5
 
 
-def test_token_run_matches(spark):
+@pytest.mark.parametrize("shard", [2 * 1024 * 1024, 900])
+def test_token_run_matches(spark, shard):
+    from phrasebench.operators.phrases import token_run_matches
     rng = random.Random(3)
     words = "a b c d e".split()
     texts = [(i, rng.choices(words, k=rng.randint(0, 15))) for i in range(80)]
     phrases = [(i, rng.choices(words, k=rng.randint(0, 6))) for i in range(60)]
     want = {(i, j) for i, t in texts for j, p in phrases if p and any(t[s:s + len(p)] == p for s in range(len(t) - len(p) + 1))}
-    got = L.token_run_matches(spark.createDataFrame(texts, "i long, t array<string>"), "i", "t",
-                              spark.createDataFrame(phrases, "j long, p array<string>"), "j", "p").collect()
+    got = token_run_matches(spark.createDataFrame(texts, "i long, t array<string>"), "i", "t",
+                              spark.createDataFrame(phrases, "j long, p array<string>"), "j", "p", shard).collect()
     assert len(got) == len(want) and {(r["query_id"], r["phrase_id"]) for r in got} == want
 
 
@@ -471,3 +473,68 @@ def test_classifier_weights_terms_found_everywhere(spark):
     model = fit_text_classifier(rows, min_df=1)
     place = model.stages[3].vocabulary.index("common")
     assert abs(model.stages[4].getScalingVec()[place] - 1.0) < 1e-12  # ln((n + 1) / (df + 1)) + 1 at df = n
+
+
+def long_corpus(spark, n=400):
+    """Texts of very different lengths, some passages copied, ties, an empty text."""
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice((3, 8, 20, 90))))) for i in range(n)] + [(n, ""), (n + 1, "only here")]
+    docs += [(n + 10 + i, docs[i][1]) for i in range(25)]
+    queries = [(i, docs[i * 3][1][:60] + " w1") for i in range(30)] + [(90, "nothing known"), (91, ""), (92, "only")]
+    return docs, queries, spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame(queries, "q long, text string")
+
+
+@pytest.mark.parametrize("units", [16, 100, 8192])
+def test_blockmax_search_is_that_of_all_pairs(spark, units):
+    from phrasebench.operators import blockmax as BM
+    from phrasebench.plans import retrieval as Z
+    docs, queries, d, q = long_corpus(spark)
+    index = L.lexical_index(d, "d", "text", range_units=units)
+    assert (index.facts["ranges"] == 1) == (units == 8192)
+    pairs = {(r["query_id"], r["doc_id"]): (r["dense"], r["lexical"]) for r in L.sparse_scores(q, "q", "text", index).collect()}
+    ids = [i for i, _ in docs]
+    for name, at, got in (("lexical", 1, Z.lexical_retrieval(q, "q", "text", index, 7)),
+                          ("dense", 0, R.rank_topk(Z.filled_pairs(q, "q", "text", index, 7), 7, score="dense", item="doc_id"))):
+        got = {(r["query_id"], r["rank"]): (r["doc_id"], r[name]) for r in got.collect()}
+        for qi, _ in queries:
+            order = sorted(ids, key=lambda i: (-pairs.get((qi, i), (0.0, 0.0))[at], i))[:7]
+            assert [got[qi, r + 1][0] for r in range(7)] == order, (name, qi)
+            assert all(abs(got[qi, r + 1][1] - pairs.get((qi, i), (0.0, 0.0))[at]) < 2e-6 for r, i in enumerate(order))
+    # fused over the whole bank
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in Z.hybrid_whole_bank(q, "q", "text", d, "d", "text", 5, index=index).collect()}
+    for qi, _ in queries:
+        both = np.array([pairs.get((qi, i), (0.0, 0.0)) for i in ids])
+        span = both.max(0) - both.min(0)
+        scaled = np.where(span < 1e-12, 0, (both - both.min(0)) / np.where(span < 1e-12, 1, span))
+        score = np.round(scaled @ [0.8, 0.2], 6)
+        want = sorted(score, reverse=True)[:5]
+        assert all(abs(got[qi, r + 1][1] - want[r]) < 3e-6 for r in range(5)), qi
+    if units == 16:  # ranges are left out, and left out for a reason: their bounds are below what was found
+        asked = L.asked_terms(q, "q", "text", index)
+        bounds = asked.bounds()
+        best = {}
+        for (qi, di), (_, s) in pairs.items():
+            best.setdefault(qi, []).append(s)
+        places = {r["doc_id"]: r["range"] for r in index.places.collect()}
+        tops = {(r["query_id"], r["range"]): r["up_lexical"] for r in bounds.collect()}
+        assert all(tops[qi, places[di]] >= s for (qi, di), (_, s) in pairs.items())
+        taken = BM.first_pairs(bounds, [BM.LEXICAL])
+        found = BM.score_pairs(asked, taken, 3, [BM.LEXICAL])
+        more = BM.other_pairs(bounds, taken, found, 3, [BM.LEXICAL])
+        scored, all_pairs = taken.count() + more.count(), bounds.count()
+        assert scored < 0.8 * all_pairs, (scored, all_pairs)
+        # at most k rows, and a row of sums, leave a task for a query and range
+        assert found.where("slot >= 0").groupBy("query_id", "range").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_single_search_reads_only_the_parts_of_its_terms(spark, tmp_path):
+    from phrasebench.sources import sinks, tables
+    _, _, d, q = long_corpus(spark)
+    built = sinks.write_lexical_index(d, "d", "text", str(tmp_path / "index"))
+    index = tables.read_lexical_index(spark, str(tmp_path / "index"))
+    asked = L.asked_terms(q.where("q = 92"), "q", "text", index)
+    assert len(asked.parts) == 1 < built.facts["parts"]
+    plan = asked.of_parts(index.blocks)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+    assert [r["doc_id"] for r in L.bm25_topk(q.where("q = 92"), "q", "text", index, 3).collect()] == [401]
