@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasebench.llm.ordermin import _Hashes, sketch
 from phrasebench.llm.workers import cached
 
 TOXIC_ROWS, ORDINARY_ROWS, ROW_CHARS = 3000, 6000, 16_384
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 BODY_WORDS, LEVEL, RUN = 12_000, 12, 4
+#: Words of a run, and minima, by which near copies of the sample are found; how much likelier a word must be in toxic texts.
+COPY_WORDS, COPY_MINIMA, TIMES = 5, 4, 3
 MAX_WORDS = 500_000
 STRIP = b".,;:!?*$%&#|\"'()[]"
 CARRIER = "0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -62,11 +63,12 @@ def _tail(hits: int, n: int, share: float) -> float:
 
 def distinct_texts(texts: list[str]) -> list[str]:
     """``texts`` without those that share a minimum of their five-word runs with an earlier one."""
-    import numpy as np
-    known, seen, out = _Hashes(), set(), []
+    import xxhash
+    seen, out = set(), []
     for t in texts:
-        words = t.encode().split()
-        own = set(sketch(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)), 4, 1).tolist())
+        words = t.split()
+        runs = {" ".join(words[i:i + COPY_WORDS]) for i in range(max(1, len(words) - COPY_WORDS + 1))}
+        own = {(seed, min(xxhash.xxh3_64_intdigest(r, seed) for r in runs)) for seed in range(COPY_MINIMA)}
         if not own & seen:
             out.append(t)
         seen |= own
@@ -78,7 +80,9 @@ def telling_words(toxic: list[str], ordinary: list[str]) -> tuple[list[str], lis
     sets = [[{w.decode(errors="ignore") for w in words_of(t)} for t in texts] for texts in (toxic, ordinary)]
     bad, good = (Counter(s for own in side for s in set().union(*map(_starts, own))) for side in sets)
     share = len(toxic) / (len(toxic) + len(ordinary))
-    telling = {s for s, n in bad.items() if n >= 4 and n > 3 * share * (n + good[s]) and _tail(n, n + good[s], share) < 1e-7}
+    # rates are compared, so the outcome does not hang on how many texts of each class the sample has room for
+    often = lambda s, n: n * len(ordinary) > TIMES * good[s] * len(toxic)
+    telling = {s for s, n in bad.items() if n >= 4 and often(s, n) and _tail(n, n + good[s], share) < 1e-7}
     chosen = Counter(w for own in sets[0] for w in own if _starts(w) & telling)
     body = {w for own in sets[1] for w in own if not _starts(w) & telling}
     import xxhash
@@ -133,22 +137,27 @@ class Windows(dict):
         return float(max(top[0], 0)) if top else 0.0, float(sum(v for v in top if v > 0))
 
 
-def calibrate(rows: list[tuple[float, float]], labels: list[int]) -> list[float]:
-    """Logistic curve over the features by Newton steps with a small ridge."""
+def calibrate(rows: list[tuple[float, float]], labels: list[int], weights: list[float]) -> list[float]:
+    """Logistic curve over the features by Newton steps with a small ridge; a row counts by its weight."""
     import numpy as np
     x = np.column_stack([np.ones(len(rows)), np.array(rows, dtype=float)])
-    y, w = np.array(labels, dtype=float), np.zeros(x.shape[1])
+    y, v, w = np.array(labels, dtype=float), np.array(weights, dtype=float), np.zeros(x.shape[1])
+    v = v * len(v) / v.sum()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w)), x.T @ (y - p) - 1e-3 * w)
+        step = np.linalg.solve(x.T @ (x * (v * p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w)), x.T @ (v * (y - p)) - 1e-3 * w)
         w = w + step
         if abs(step).max() < 1e-9:
             break
     return w.tolist()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> list[tuple[int, int, str]]:
-    """(fold, label, text): a bounded sample of the labelled rows outside the held-out fold."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> list[tuple[int, int, str, float]]:
+    """(fold, label, text, weight): a bounded sample of the labelled rows outside the held-out fold.
+
+    A row's weight is how many labelled rows of its class it stands for, so scores follow the true share of toxic texts
+    however many rows of a class the sample holds.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold_of(F.col(key)) != HELD_OUT))
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("y"))
     order = F.md5(F.col(key).cast("string").cast("binary"))
@@ -157,18 +166,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     texts = docs.select(key, F.col(text).alias("t")).where((F.length("t") > 0) & (F.length("t") <= ROW_CHARS))
     rows = texts.join(F.broadcast(ids), key).groupBy(key).agg(F.max("y").alias("y"), F.min("t").alias("t"))
     got = rows.select(fold_of(F.col(key)).alias("f"), "y", "t", order.alias("o")).toPandas().sort_values("o")
-    return list(zip(got["f"].astype(int), got["y"].astype(int), got["t"]))
+    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two classes
+    return [(int(f), int(y), t, total[y] / n) for f, y, t, n in zip(got["f"], got["y"], got["t"], got.groupby("y")["t"].transform("size"))]
 
 
-def fit(sample: list[tuple[int, int, str]]) -> dict | None:
+def fit(sample: list[tuple[int, int, str, float]]) -> dict | None:
     """Dictionaries from the sample's other folds, curve from its calibration fold; None when a class is missing."""
-    side = lambda y: [t for f, v, t in sample if f != CALIBRATION and v == y]
+    side = lambda y: [t for f, v, t, _ in sample if f != CALIBRATION and v == y]
     trained = train_dictionaries(side(1), side(0)) if side(1) and side(0) else None
-    tests = [(v, t) for f, v, t in sample if f == CALIBRATION]
-    if trained is None or len({v for v, _ in tests}) < 2:
+    tests = [(v, t, w) for f, v, t, w in sample if f == CALIBRATION]
+    if trained is None or len({v for v, _, _ in tests}) < 2:
         return None
     windows = Windows(trained)
-    return trained | {"curve": calibrate([windows.features(t) for _, t in tests], [v for v, _ in tests])}
+    return trained | {"curve": calibrate([windows.features(t) for _, t, _ in tests], [v for v, _, _ in tests], [w for _, _, w in tests])}
 
 
 def score(docs: DataFrame, key: str, text: str, model: dict | None, out: str = "score") -> DataFrame:

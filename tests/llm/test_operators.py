@@ -441,6 +441,20 @@ def test_bpe_round_trip_and_cuts(spark):
 
 # ---- 8 -------------------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("toxic, ordinary", [(700, 6000), (toxicity.TOXIC_ROWS, toxicity.ORDINARY_ROWS), (1500, 1500)])
+def test_toxicity_learns_from_a_full_sample(toxic, ordinary):
+    rng = random.Random(3)
+    plain = [f"{a}{b}{c}{d}" for a in "bdfgklmn" for b in "aeiou" for c in "prstvz" for d in "aeio"]
+    sample = [(1 + i % 4, y, " ".join(rng.choices(plain, k=40) + y * [rng.choice(["scoundrel", "blockhead", "wretched"])]), 1.0 if y else 4.0)
+              for y, n in ((1, toxic), (0, ordinary)) for i in range(n)]
+    model = toxicity.fit(sample)
+    windows, (a, b, c) = toxicity.Windows(model), model["curve"]
+    score = lambda t: 1 / (1 + math.exp(-(a + b * windows.features(t)[0] + c * windows.features(t)[1])))
+    tests = [(" ".join(rng.choices(plain, k=30) + y * ["blockhead"]), y) for y in (0, 1) for _ in range(300)]
+    assert sum(score(t) >= 0.5 for t, y in tests if y) >= 0.85 * 300
+    assert sum(score(t) >= 0.5 for t, y in tests if not y) <= 0.05 * 300
+
+
 def test_toxicity_learns_words_and_ignores_the_held_out_fold(spark):
     rng = random.Random(13)
     parts = ["ba", "lo", "mi", "ten", "ra", "su", "del", "ko"]
