@@ -3,9 +3,10 @@
 1. Tokens: texts are split at ASCII white space, and between a letter and a mark, which no token of the vocabulary
    spans; a worker encodes a distinct word once and gathers a text's ids from its words. The vocabulary must lower-case.
    The token table is written once.
-2. Document frequencies of all tokens are counted over all documents; the table has a row per vocabulary entry.
-3. Shards: every token has one place in a weighted random order (rarer shared tokens tend to come first, those in more
-   than half of the documents last), and a document's sketch is its first ``SKETCH`` tokens in that order. Documents are
+2. Document frequencies of all tokens are counted in the same pass, over all documents: a row of counts a task, added up
+   per token by Spark; the result has a row per vocabulary entry.
+3. Shards: every token has one place in a weighted random order, in which late entries of the vocabulary, which its
+   makers found rare, come first; a document's sketch is its first ``SKETCH`` tokens in that order. Documents are
    sorted by sketch, by range, so those that share rare tokens, and copies, lie together, while a group of any size is
    spread over as many tasks as it needs. A task cuts its range into shards of about ``SHARD_TOKENS`` tokens.
 4. A shard has an inverted index with BM25 weights (global frequencies and mean length). The first unused document is a
@@ -37,8 +38,10 @@ WINDOW, END = 2048, 1
 SHARD_TOKENS, RANGE_TOKENS = 1 << 19, 1 << 22
 K1, B = 1.2, 0.75
 SKETCH = 4
-#: Characters of words kept in a worker's cache, and bytes of text handled at once.
-MAX_CHARS, TEXT_BYTES = 1 << 22, 1 << 22
+#: Words kept in a worker's cache, about 330 bytes each, and bytes of text handled at once.
+MAX_WORDS, TEXT_BYTES = 300_000, 1 << 22
+#: How much rarer tokens are preferred by the sketch: weights grow with this power of their number.
+STEEP = 4
 #: Stands between words that are encoded together; its one token ends no word without this character.
 _MARK = "\x01"
 #: A letter and a mark behind it are never in one match of the vocabulary's pattern, so a word may end between them.
@@ -59,14 +62,14 @@ SKETCH = 4
 #: Characters of words kept in a worker's cache, and rows handled at once.
 MAX_CHARS, ROWS = 1 << 26, 512
 
-_TOKENS = "key bigint, n bigint, ids binary"
+_TOKENS = "key bigint, n bigint, ids binary, sketch binary, tokens array<int>, counts array<bigint>"
 _PIECES = "key bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 # ---- tokens --------------------------------------------------------------------------------------
 
 class Words:
-    """Ids of texts by way of their words; the ids of the words seen are kept until they fill ``MAX_CHARS``."""
+    """Ids of texts by way of their words; the ids of the words seen are kept until there are ``MAX_WORDS``."""
 
     def __init__(self, vocabulary: str, end: int):
         import os
@@ -87,7 +90,7 @@ class Words:
         self.code: dict[str, int] = {}
         self.flat, self.used = np.full(1 << 16, self.end, dtype=np.int32), 1
         self.starts, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
-        self.sizes[0], self.chars = 1, 0
+        self.sizes[0] = 1
 
     def _merge(self, word: str) -> list[int]:
         seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
@@ -109,7 +112,6 @@ class Words:
         words = [*plain, *easy, *alone]
         first = len(self.code) + 1
         self.code.update(zip(words, range(first, first + len(words))))
-        self.chars += sum(map(len, words))
         self.flat, self.starts, self.sizes = (
             _room(a, n) for a, n in ((self.flat, self.used + len(ids)), (self.starts, first + len(words)), (self.sizes, first + len(words))))
         self.flat[self.used:self.used + len(ids)] = ids
@@ -121,7 +123,7 @@ class Words:
         """(ids, ends): the ids of all texts, each with its end id, and where each text's ids end."""
         import numpy as np
         import pyarrow.compute as pc
-        if self.chars > MAX_CHARS:
+        if len(self.code) > MAX_WORDS:
             self.clear()
         texts = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), _LETTER_MARK, r"\1 \2")
         lists = pc.ascii_split_whitespace(texts)
@@ -150,14 +152,38 @@ def spans(starts, sizes):
     return np.repeat((starts - np.cumsum(sizes) + sizes).astype(kind), sizes) + np.arange(n, dtype=kind)
 
 
+def places(size: int):
+    """Place of every token of a vocabulary in a random order that favours late entries."""
+    import numpy as np
+    with np.errstate(over="ignore"):
+        x = (np.arange(size, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = x ^ (x >> np.uint64(29))
+    u = ((x >> np.uint64(11)).astype(np.float64) + 1) / (2 ** 53 + 1)
+    clock = -np.log(u) / ((np.arange(size) + 1) / size) ** STEEP
+    out = np.empty(size, dtype=np.uint32)
+    out[np.argsort(clock, kind="stable")] = np.arange(size, dtype=np.uint32)
+    return out
+
+
 def tokens(docs: DataFrame, key: str, text: str, vocabulary: str, end: int = END) -> DataFrame:
-    """(key, n, ids): ids of the text and the end id, as little-endian 32-bit integers."""
+    """(key, n, ids, sketch): ids of the text and the end id, as little-endian 32-bit integers; and rows with n = -1.
+
+    Those have the numbers of documents, of a task, that hold each token.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     name = f"retpack{end}" + hashlib.sha256(vocabulary.encode()).hexdigest()
 
     def run(batches):
         import numpy as np
         words = cached(name, lambda: Words(shared.value, end))
+        order = cached(name + "places", lambda: places(words.tokenizer.get_vocab_size()))
+        held = np.zeros(len(order), dtype=np.int64)
+
+        def rows(keys, n, ids, sketches, *counts):
+            made = [keys, pa.array(n, pa.int64()), ids, pa.array(sketches, pa.binary()), *[pa.array(c, t) for c, t in zip(counts, (pa.list_(pa.int32()), pa.list_(pa.int64())))]]
+            return pa.RecordBatch.from_arrays(made, names=["key", "n", "ids", "sketch", "tokens", "counts"])
+
         for whole in batches:
             bytes_ = np.cumsum(np.nan_to_num(whole.column("size").to_numpy(zero_copy_only=False).astype(np.float64)))
             cuts = np.flatnonzero(np.diff(bytes_ // TEXT_BYTES, prepend=0)).tolist()
@@ -168,29 +194,27 @@ def tokens(docs: DataFrame, key: str, text: str, vocabulary: str, end: int = END
                 ids, ends = words.ids(batch.column("t"))
                 offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
                 made = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(ends, prepend=0)), made], names=["key", "n", "ids"])
+                sketches = []
+                for a, b in zip([0, *ends.tolist()], ends.tolist()):
+                    own = np.unique(ids[a:b])
+                    held[own] += 1
+                    first = order[own]
+                    first = np.sort(np.partition(first, SKETCH)[:SKETCH] if len(first) > SKETCH else first)
+                    sketches.append(first.astype(">u4").tobytes())
+                none = [None] * len(ends)
+                yield rows(batch.column("key"), np.diff(ends, prepend=0), made, sketches, none, none)
+        at = np.flatnonzero(held)
+        yield rows(pa.array([None], pa.int64()), [-1], pa.array([b""], pa.binary()), [b""], [at.astype(np.int32)], [held[at]])
 
     return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t"), F.octet_length(text).alias("size")).mapInArrow(run, _TOKENS)
 
 
 def frequencies(table: DataFrame):
-    """(documents, tokens, documents that hold each token): counts inside tasks, summed per token by Spark."""
+    """(documents, tokens, documents that hold each token) from the rows of ``tokens``."""
     import numpy as np
-
-    def run(batches):
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for blob in batch.column("ids").to_pylist():
-                own = np.unique(np.frombuffer(blob, dtype=np.int32))
-                if len(own) and own[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(max(int(own[-1]) + 1 - len(total), len(total), 1024), dtype=np.int64)])
-                total[own] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["token", "n"])
-
-    counts = table.select("ids").mapInArrow(run, "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.toPandas()  # at most a row per vocabulary entry
-    docs, size = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = table.where("n < 0").select(F.explode(F.arrays_zip("tokens", "counts")).alias("c"))
+    rows = counts.groupBy(F.col("c.tokens").alias("token")).agg(F.sum("c.counts").alias("n")).toPandas()  # at most a row per vocabulary entry
+    docs, size = table.where("n >= 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = np.zeros(int(rows["token"].max()) + 1 if len(rows) else 1, dtype=np.int64)
     df[rows["token"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return docs, size, df
@@ -202,42 +226,6 @@ def weights_of(docs: int, df):
     return np.where(df > 0, np.maximum(0, np.log((docs - df + 0.5) / (df + 0.5))), 0.0)
 
 
-def places(docs: int, df):
-    """Place of every token in a random order that favours rare tokens which documents share."""
-    import numpy as np
-    with np.errstate(over="ignore"):
-        x = (np.arange(len(df), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = x ^ (x >> np.uint64(29))
-    u = ((x >> np.uint64(11)).astype(np.float64) + 1) / (2 ** 53 + 1)
-    weight = np.where(df > 1, weights_of(docs, df) ** 2, 0)
-    clock = np.where(weight > 0, -np.log(u) / np.maximum(weight, 1e-300), np.inf)
-    out = np.empty(len(df), dtype=np.int64)
-    out[np.lexsort((u, clock))] = np.arange(len(df))
-    return out
-
-
-def sketched(table: DataFrame, place) -> DataFrame:
-    """``table`` with (sketch, digest), the order in which documents are dealt to ranges and shards."""
-    shared = table.sparkSession.sparkContext.broadcast(place.astype("u4"))  # a number per vocabulary entry
-
-    def run(batches):
-        import numpy as np
-        order = shared.value
-        for batch in batches:
-            made = []
-            for blob in batch.column("ids").to_pylist():
-                own = order[np.frombuffer(blob, dtype=np.int32)]
-                # the first few places among the smallest, repeats included; all of them where that is not enough
-                least = np.unique(np.partition(own, 16 * SKETCH)[:16 * SKETCH]) if len(own) > 16 * SKETCH else np.unique(own)
-                if len(least) < SKETCH < len(own):
-                    least = np.unique(own)
-                made.append(least[:SKETCH].astype(">u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "sketch"])
-
-    return table.withColumn("digest", F.xxhash64("ids")).mapInArrow(run, _TOKENS + ", digest bigint, sketch binary")
-
-
 # ---- windows -------------------------------------------------------------------------------------
 
 class Item:
@@ -379,7 +367,8 @@ def pack(docs: DataFrame, key: str, text: str, vocabulary: str, window: int = WI
     table = cut_lineage(tokens(docs, key, text, vocabulary, end))
     n_docs, n_tokens, df = frequencies(table)
     ranges = max(1, math.ceil(n_tokens / range_tokens))
-    ordered = sketched(table, places(n_docs, df)).repartitionByRange(ranges, "sketch", "key", "digest")
+    rows = table.where("n >= 0").select("key", "ids", "sketch", F.xxhash64("ids").alias("digest"))
+    ordered = rows.repartitionByRange(ranges, "sketch", "key", "digest")
     ordered = ordered.sortWithinPartitions("sketch", "key", "digest").select("key", "ids")
     mean = max(n_tokens / max(n_docs, 1), 1.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights_of(n_docs, df))  # a number per vocabulary entry
