@@ -36,24 +36,40 @@ def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None, d
     return out.drop("_lo", "_w", "_n")
 
 
-def kde(df: DataFrame, col: str, points: int = 100, cut: float = 3.0) -> DataFrame:
-    """(i, x, density): Gaussian kernel density with Scott's bandwidth on an even grid.
+def kde(df: DataFrame, col: str, points: int = 100, cut: float = 3.0, steps: int | None = 1024) -> DataFrame:
+    """(i, x, density): Gaussian kernel density with Scott's bandwidth h on an even grid.
 
-    Equal values are counted first; each distinct value then meets the ``points`` grid places.
+    Values are first dealt linearly to places h / ``steps`` apart, combined before the shuffle; each place then meets the
+    grid points within nine bandwidths. The work after that does not depend on the number of rows or of distinct
+    values, and the density is off by at most 0.05 / (h · steps²). ``steps=None`` is the exact path, where each
+    distinct value meets every grid point.
     """
     vals = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_x"))
-    facts = vals.agg(F.struct(
-        (F.stddev_samp("_x") * F.pow(F.count("*"), F.lit(-0.2))).alias("h"),
-        F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n"))).scalar()
-    h, lo, hi, n = (facts[f] for f in ("h", "lo", "hi", "n"))
-    counted = vals.groupBy("_x").agg(F.count("*").alias("_c"))
-    counted = counted.withColumns({"_h": h, "_a": lo - cut * h, "_b": hi + cut * h, "_n": n})
-    grid = counted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    grid = grid.withColumn("x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("i") / (points - 1))
-    z = (F.col("x") - F.col("_x")) / F.col("_h")
+    # one row of four numbers, so that the rows below need no subquery
+    h, lo, hi, n = vals.agg(F.stddev_samp("_x") * F.pow(F.count("*"), F.lit(-0.2)), F.min("_x"), F.max("_x"), F.count("*")).first()
+    h = h or 0.0
+    if not n or not h > 0:  # nothing to smooth: no rows, one value, or one row
+        return df.sparkSession.createDataFrame([], "i int, x double, density double")
+    start, end = lo - cut * h, hi + cut * h
+    step = (end - start) / (points - 1)
+    if steps is None:
+        counted = vals.groupBy("_x").agg(F.count("*").alias("_c"))
+        first, last = F.lit(0), F.lit(points - 1)
+    else:
+        at = (F.col("_x") - F.lit(lo)) / F.lit(h / steps)
+        share = at - F.floor(at)
+        halves = F.array(F.struct(F.floor(at).alias("_b"), (1 - share).alias("_w")), F.struct((F.floor(at) + 1).alias("_b"), share.alias("_w")))
+        dealt = vals.select(F.inline(halves)).where("_w > 0").groupBy("_b").agg(F.sum("_w").alias("_c"))
+        counted = dealt.select((F.lit(lo) + F.col("_b") * F.lit(h / steps)).alias("_x"), "_c")
+        near = lambda side: F.floor((F.col("_x") + F.lit(side * 9 * h) - F.lit(start)) / F.lit(step)).cast("int")
+        first, last = F.greatest(F.lit(0), near(-1)), F.least(F.lit(points - 1), near(1) + 1)
+    met = counted.withColumn("i", F.explode(F.sequence(first, last)))
+    x = F.lit(start) + F.lit(end - start) * F.col("i") / F.lit(points - 1)
+    z = (x - F.col("_x")) / F.lit(h)
     root = 2.5066282746310002  # square root of 2 pi
-    return grid.groupBy("i", "x").agg(
-        (F.sum(F.col("_c") * F.exp(-0.5 * z * z)) / (F.max("_n") * F.max("_h") * root)).alias("density"))
+    sums = met.groupBy("i").agg((F.sum(F.col("_c") * F.exp(-0.5 * z * z)) / F.lit(n * h * root)).alias("density"))
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
+    return grid.join(sums, "i", "left").select("i", x.alias("x"), F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def outcome_stats(df: DataFrame, score: str, correct: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phrasebench.functions.numeric import safe_ratio
 from phrasebench.operators.ordering import running_sums
+from phrasebench.session import cut_lineage
 
 
 def hit_at(rank: str, k: int) -> Column:
@@ -121,6 +122,7 @@ def pair_scorer_metrics(scored: DataFrame, prob: str, gold: str, threshold: floa
 
 def compare_models(metrics: DataFrame, baseline: str, cols: list[str], model: str = "model") -> DataFrame:
     """Add ``<metric>_gain`` over the baseline row; refuses models scored on different query counts."""
+    metrics = cut_lineage(metrics)  # a row a model; what made the rows runs once, not once a metric
     counts = metrics.agg(F.countDistinct("n_queries")).scalar()
     base = metrics.where(F.col(model) == baseline)
     out = metrics

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from phrasebench.functions.numeric import safe_ratio
 from phrasebench.functions.text import candidate_text, normal_tokens, padded_run, word_set
-from phrasebench.operators.ordering import top_k_per
+from phrasebench.operators.ordering import hash_number, hash_order, top_k_per
 from phrasebench.session import cut_lineage, spread
 
 #: A pair scorer maps rows with (query, candidate, …) to the same rows plus ``rerank_score``.
@@ -93,12 +93,57 @@ def overlap_scorer(pairs: DataFrame) -> DataFrame:
 overlap_scorer.wants_words = True
 
 
-def fit_pair_scorer(pairs: DataFrame, extra: tuple[str, ...] = ()):
-    """Fit logistic regression on pair features; returns a Spark ML model that can be saved."""
+def fit_pair_scorer(pairs: DataFrame, extra: tuple[str, ...] = (), max_iter: int = 500):
+    """Fit logistic regression on pair features; returns a Spark ML model that can be saved.
+
+    Raises when the fit has not converged after ``max_iter`` steps.
+    """
     inputs = [*FEATURES, *extra]
     stages = [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
-              LogisticRegression(featuresCol="features", labelCol="label", maxIter=30, regParam=0.01)]
-    return Pipeline(stages=stages).fit(pair_features(pairs))
+              LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.01)]
+    model = Pipeline(stages=stages).fit(pair_features(pairs))
+    _require_converged(model.stages[-1], max_iter)
+    return model
+
+
+def _require_converged(fitted, max_iter: int) -> None:
+    if fitted.hasSummary and fitted.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"no convergence after {max_iter} steps")
+
+
+def fit_ranker(judged: DataFrame, max_iter: int = 500):
+    """Weights of the pair features under the pairwise logistic loss; returns a Spark ML model that can be saved.
+
+    ``judged`` has pairs with a ``label`` of 1 or 0. Within a query every positive meets every negative (a mined list
+    holds a few of each), and the model learns from the difference of their features, in both directions, without an
+    intercept: it is asked which of two candidates is the better one.
+    """
+    rows = cut_lineage(pair_features(judged).select("query_id", "label", *FEATURES))
+    better, worse = (rows.where(F.col("label") == y).select("query_id", *[F.col(f).alias(f"{f}_{y}") for f in FEATURES]) for y in (1, 0))
+    both = better.join(worse, "query_id")
+    ahead = both.select(F.lit(1.0).alias("label"), *[(F.col(f"{f}_1") - F.col(f"{f}_0")).alias(f) for f in FEATURES])
+    behind = ahead.select(F.lit(0.0).alias("label"), *[(-F.col(f)).alias(f) for f in FEATURES])
+    stages = [VectorAssembler(inputCols=FEATURES, outputCol="features"),
+              LogisticRegression(featuresCol="features", labelCol="label", fitIntercept=False, maxIter=max_iter, regParam=0.001)]
+    model = Pipeline(stages=stages).fit(ahead.unionByName(behind))
+    _require_converged(model.stages[-1], max_iter)
+    return model
+
+
+def fold_of(key: str, folds: int, seed: int = 42):
+    """Fold of a query, by hash."""
+    return F.pmod(hash_number(hash_order(key, seed=seed)), F.lit(folds)).cast("int")
+
+
+def cross_scored(judged: DataFrame, folds: int = 3) -> DataFrame:
+    """``judged`` with ``rerank_score``; every query is scored by a model that learned from the other folds only."""
+    judged = cut_lineage(judged.withColumn("_fold", fold_of("query_id", folds)))
+    out = None
+    for f in range(folds):
+        scorer = model_scorer(fit_ranker(judged.where(F.col("_fold") != f)))
+        own = scorer(judged.where(F.col("_fold") == f))
+        out = own if out is None else out.unionByName(own)
+    return out.drop("_fold")
 
 
 def model_scorer(model) -> PairScorer:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasebench.functions.text import role_prefix, weak_context_rows
@@ -76,14 +76,26 @@ def augment(train: DataFrame, entity: str, key: str, n: int = 2000, seed: int =
     return picked.select(F.col(key), F.inline(weak_context_rows(entity)))
 
 
+def distinct_draws(key: str, size: str, n: int, seed: int = 42) -> Column:
+    """Array of ``min(n, size)`` different places below ``size``, uniform and independent for different keys."""
+    def later(drawn: Column, i: Column) -> Column:
+        left = F.pmod(hash_number(hash_order(F.col(key), i, seed=seed)), F.col(size) - i)
+        # the place with as many free places before it: step over the places drawn, from the smallest on
+        place = F.aggregate(F.array_sort(drawn), left, lambda x, taken: F.when(taken <= x, x + 1).otherwise(x))
+        return F.concat(drawn, F.array(place))
+
+    draws = F.sequence(F.lit(0).cast("long"), F.least(F.lit(n).cast("long"), F.col(size)) - 1)
+    return F.aggregate(draws, F.array().cast("array<bigint>"), later)
+
+
 def sampled_positives(queries: DataFrame, query_id: str, query_entity: str, query_text: str,
                       bank: DataFrame, bank_id: str, bank_entity: str, bank_text: str,
                       n: int = 2, seed: int = 42) -> DataFrame:
     """Up to ``n`` distinct positives of its entity for every query, drawn without replacement.
 
-    An entity's texts are put in hash order; a query starts at a hashed place in that circle and takes
-    the next ``n``. The join is on (entity, place), so each query meets ``n`` rows, never its whole
-    entity.
+    Every query has a permutation of its entity's places of its own: its i-th draw is the h-th place not drawn yet, h
+    being a keyed hash of query and draw modulo the places left. The join is on (entity, place), so each query meets
+    ``n`` rows, never its whole entity, and queries of one entity draw independently.
     """
     ranked = rank_in_group(bank, [bank_entity], bank_id, seed).select(
         F.col(bank_entity).alias("entity"), (F.col("rank_in_group") - 1).alias("place"),
@@ -93,8 +105,7 @@ def sampled_positives(queries: DataFrame, query_id: str, query_entity: str, quer
         queries.select(F.col(query_id).alias("query_id"), F.col(query_entity).alias("entity"),
                        F.col(query_text).alias("query"))
         .join(sizes, "entity")
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.least(F.lit(n).cast("long"), F.col("m")) - 1)))
-        .withColumn("place", F.pmod(hash_number(hash_order("query_id", seed=seed)) + F.col("draw"), F.col("m")))
+        .select("*", F.posexplode(distinct_draws("query_id", "m", n, seed)).alias("draw", "place"))
     )
     return wants.join(ranked.drop("group_size"), ["entity", "place"]).select(
         "query_id", "entity", "draw", "positive_id",

@@ -17,7 +17,8 @@ from phrasebench.operators.dense import dense_range, dense_topk, fused_topk
 from phrasebench.operators.lexical import (
     LexicalIndex, bm25_scores, bm25_topk, fused_sparse_topk, lexical_index, sparse_topk)
 from phrasebench.operators.phrases import token_run_matches
-from phrasebench.operators.rerank import PairScorer, candidate_pairs, candidate_words, training_pairs
+from phrasebench.operators.rerank import PairScorer, candidate_pairs, candidate_words, fold_of, training_pairs
+from phrasebench.operators.split import pair_split
 from phrasebench.session import cut_lineage, spread
 
 #: An embedder maps a table with a text column to the same table plus a vector column.
@@ -129,6 +130,26 @@ def mining_set(queries: DataFrame, ranked: DataFrame, n: int = 3, depth: int = 1
     return training_pairs(queries, ranked, n, depth)
 
 
+def mined_pairs(queries: DataFrame, query_id: str, query_vec: str, entity: str, n: int = 3, depth: int = 10,
+                folds: int = 2, val: float = 0.1) -> DataFrame:
+    """(query_id, candidate, label, split): training pairs mined on the train side, fold by fold.
+
+    A query is searched against the rows of the other folds, so no row it learns from is its own or its fold's; the
+    gold entity is the positive, the ``n`` best wrong entities of the first ``depth`` are the negatives. Queries, not
+    pairs, are dealt to training and validation.
+    """
+    rows = cut_lineage(queries.select(F.col(query_id).alias("_id"), F.col(query_vec).alias("_v"), F.col(entity).alias("_e"))
+                       .withColumn("_fold", fold_of("_id", folds)))
+    found = None
+    for f in range(folds):
+        own, bank = rows.where(F.col("_fold") == f), rows.where(F.col("_fold") != f)
+        ranked = dense_retrieval(own, "_id", "_v", "_e", bank, "_id", "_v", "_e", depth, 10 * depth)
+        found = ranked if found is None else found.unionByName(ranked)
+    gold = rows.select(F.col("_id").alias("query_id"), F.col("_e").alias("gold"))
+    pairs = training_pairs(gold, cut_lineage(found), n, depth)
+    return pairs.join(pair_split(gold.select("query_id"), "query_id", val), "query_id")
+
+
 def two_layer_answers(queries: DataFrame, query_id: str, query_text: str, index: LexicalIndex, bank: DataFrame, bank_id: str,
                       bank_text: str, entity: str, scorer: PairScorer, k: int = 3, pool: int = 20) -> DataFrame:
     """(query_id, bank_id, entity, fused, rerank_score, rank): dense top ``pool`` with its lexical scores, fused, scored

@@ -127,7 +127,7 @@ def _(t):
 
 @query("a35_error_types", f"""{WIDE} SELECT CASE WHEN gold = pred_1 THEN 'Correct' WHEN gold IN (pred_2, pred_3) THEN 'Near-miss (Top-3)' ELSE 'Hard error' END AS error_type, count(*) AS n FROM wide GROUP BY 1""")
 def _(t):
-    """A35, X27"""
+    """M01, A35, X27"""
     kind = error_type("gold", [F.col(f"pred_{i}") for i in (1, 2, 3)])
     return wide_rows(t).groupBy(kind.alias("error_type")).agg(F.count("*").alias("n"))
 

@@ -374,20 +374,91 @@ def detector(rows):
     return D.fit_text_classifier(rows.where(F.col("split") == "train"), "text", "quality")
 
 
-@query("detector_scores")
+GROUPS = f"""r AS (SELECT d.doc_id, d.text, l.quality, md5(d.text) AS k FROM documents d JOIN labels l USING (doc_id)),
+g AS (SELECT k, row_number() OVER (ORDER BY {md5_of('k')}) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT k FROM r)),
+held AS (SELECT doc_id, quality FROM r JOIN g USING (k) WHERE rn <= ceil(0.2::DOUBLE * n))"""
+
+
+def held_out_scores(t):
+    from phrasebench.operators.split import group_split
+    rows = group_split(detection_rows(t).withColumn("k", F.md5("text")), "k")
+    return rows, D.detect(detector(rows), rows.where(F.col("split") == "test"), ["doc_id", "quality"])
+
+
+@query("detector_scores", f"WITH {GROUPS} SELECT doc_id, quality, TRUE AS in_range, TRUE AS agrees FROM held")
+def _(t):
+    """Classifier fitted on the training groups, scores of the held-out ones. Scores are fitted, so the check
+    is on the rows, the range of the scores, and that class and confidence follow from the score."""
+    _, scored = held_out_scores(t)
+    likely = F.when(F.col("score") > 0.5, F.lit(1)).otherwise(F.lit(0))
+    sure = F.abs(F.col("confidence") - F.greatest(F.col("score"), 1 - F.col("score"))) < 1e-9
+    return scored.select("doc_id", "quality", F.col("score").between(0, 1).alias("in_range"),
+                         ((F.col("class_id") == likely) & sure).alias("agrees"))
+
+
+@query("z03_baseline", f"""WITH {GROUPS} SELECT quality AS gold, count(*) AS support, TRUE AS cells_add_up FROM held GROUP BY 1""")
 def _(t):
-    """Classifier fitted on the training groups, scores of the held-out ones."""
+    """Detection baseline of the held-out groups; the confusion table's rows add up to the report's support."""
     from phrasebench.operators.split import group_split
+    from phrasebench.plans.corpus import detection_baseline
     rows = group_split(detection_rows(t).withColumn("k", F.md5("text")), "k")
-    return D.detect(detector(rows), rows.where(F.col("split") == "test"), ["doc_id", "quality"])
+    made = detection_baseline(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test").drop("k", "split"), "text", "quality")
+    cells = made["confusion"].groupBy("gold").agg(F.sum("n").alias("cells"))
+    truth = cut_lineage(made["scored"].select("quality")).groupBy(F.col("quality").alias("gold")).agg(F.count("*").alias("support"))
+    return truth.join(cells, "gold").select("gold", "support", (F.col("cells") == F.col("support")).alias("cells_add_up"))
+
+
+def judged_pairs(t):
+    """The first ten documents of every passage; 1 for those that hold it."""
+    pairs = pair_rows(t)
+    docs = spread(t.documents.select("doc_id", "text")).select("doc_id", normal_tokens("text").alias("q"))
+    items = t.benchmark.select("item_id", normal_tokens("text").alias("p"))
+    held = token_run_matches(docs, "doc_id", "q", items, "item_id", "p").select(
+        F.col("phrase_id").alias("query_id"), F.col("query_id").alias("bank_id"), F.lit(1.0).alias("label")).distinct()
+    return pairs.join(held, ["query_id", "bank_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+
 
+JUDGED = f"""{PAIRS}, jd AS (SELECT query_id, bank_id, rank, CASE WHEN contains(' ' || array_to_string({norm_of('d.text')}, ' ') || ' ',
+ ' ' || array_to_string({norm_of('b.text')}, ' ') || ' ') AND len({norm_of('b.text')}) > 0 THEN 1.0::DOUBLE ELSE 0 END AS label
+ FROM prs JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = bank_id)"""
 
-@query("rerank_model")
+
+@query("z09_judged_pairs", f"{JUDGED} SELECT query_id, bank_id, rank, label FROM jd")
+def _(t):
+    """What the pair scorer learns from; a passage's candidates, judged by whether they hold it."""
+    return judged_pairs(t).select("query_id", "bank_id", "rank", "label")
+
+
+@query("z09_mined_pairs", f"""WITH {VECTORS}, tr AS (SELECT *, ('0x' || left({md5_of('vec_id')}, 8))::BIGINT % 2 AS fold FROM vs WHERE split = 'train'),
+tp AS (SELECT q.vec_id AS query_id, b.vec_id AS bank_id, q.label AS gold, b.label AS entity,
+ round(list_dot_product(q.v, b.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM tr q JOIN tr b ON q.fold <> b.fold),
+tt AS (SELECT * FROM tp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) <= 100),
+tb AS (SELECT * FROM tt QUALIFY row_number() OVER (PARTITION BY query_id, entity ORDER BY score DESC, bank_id) = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) AS rank FROM tb QUALIFY rank <= 10),
+ng AS (SELECT query_id, entity FROM rk WHERE entity <> gold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 3),
+pr AS (SELECT vec_id AS query_id, label AS candidate, 1.0::DOUBLE AS label FROM tr UNION ALL SELECT query_id, entity, 0 FROM ng),
+sp AS (SELECT vec_id AS query_id, CASE WHEN row_number() OVER (ORDER BY {md5_of('vec_id')}) <= ceil(0.1::DOUBLE * count(*) OVER ()) THEN 'val' ELSE 'train' END AS split FROM tr)
+SELECT query_id, candidate, label, split FROM pr JOIN sp USING (query_id)""")
+def _(t):
+    """Pairs mined on the train side, no query against its own fold; queries dealt 90/10."""
+    _, train = vector_sets(t)
+    return Z.mined_pairs(train, "vec_id", "embedding", "label")
+
+
+@query("rerank_model", f"{JUDGED} SELECT query_id, bank_id, rank, TRUE AS in_range FROM jd")
 def _(t):
-    """Pair scorer fitted on pair features, candidates re-ordered by its probability."""
-    pairs = pair_rows(t).withColumn("label", (F.col("rank") == 1).cast("double"))
-    model = K.fit_pair_scorer(pairs)
-    return Z.rerank_candidates(pairs, K.model_scorer(model), 5).select("query_id", "bank_id", "rank", "rerank_score", "rerank_rank")
+    """Pairwise ranker; a query's candidates are scored by a model of the other folds. Scores are fitted, so
+    the check is on the rows and on the range of the scores."""
+    scored = K.cross_scored(judged_pairs(t))
+    return scored.select("query_id", "bank_id", "rank", ((F.col("rerank_score") >= 0) & (F.col("rerank_score") <= 1)).alias("in_range"))
+
+
+@query("m13_validation", f"{JUDGED} SELECT count(*) AS n, TRUE AS better_than_chance FROM jd")
+def _(t):
+    """Metrics of the ranker on queries it did not learn from; the area under ROC is above that of a coin."""
+    from phrasebench.operators.metrics import auc
+    scored = cut_lineage(K.cross_scored(judged_pairs(t)).select("rerank_score", "label"))
+    return scored.agg(F.count("*").alias("n")).withColumn("better_than_chance", auc(scored, "rerank_score", "label").select("auc").scalar() > 0.5)
 
 
 def answers(t):
@@ -429,11 +500,21 @@ def _(t):
     return two_layer_rows(t.benchmark, bench_index(t), t.documents)
 
 
-@query("two_layer")
+def two_layer_job(t):
+    """What answers a batch of queries (item_id, text): verdict and flags beside the retrieved rows."""
+    model, index = D.fit_text_classifier(detection_rows(t), "text", "quality"), bench_index(t)
+
+    def answer(batch):
+        batch = cut_lineage(batch)
+        verdict = D.detect(model, batch.select(F.col("item_id").alias("query_id"), "text"), ["query_id"])
+        queries = batch.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+        return Z.two_layer(queries, verdict, two_layer_rows(batch, index, t.documents))
+    return answer
+
+
+@query("two_layer", f"""WITH a AS ({TWO_LAYER}) SELECT a.*, b.text AS query, TRUE AS verdict_known FROM a JOIN benchmark b ON b.item_id = a.query_id""")
 def _(t):
     """Detector verdict and flags beside the retrieved answers of every passage."""
-    train = detection_rows(t)
-    model = D.fit_text_classifier(train, "text", "quality")
-    verdict = D.detect(model, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), ["query_id"])
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return Z.two_layer(queries, verdict, two_layer_rows(t.benchmark, bench_index(t), t.documents))
+    out = two_layer_job(t)(t.benchmark)
+    known = F.col("label_name").isNotNull() & F.col("confidence").between(0.5 - 1e-9, 1)
+    return out.select("query_id", "query", "bank_id", "entity", "fused", "rerank_score", "rank", known.alias("verdict_known"))

@@ -136,9 +136,12 @@ def _(t):
 
 @query("positive_pairs", f"""WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY {md5_of("conv_id || '-' || turn")}, conv_id || '-' || turn) - 1 AS place,
  count(*) OVER (PARTITION BY conv_id) AS m FROM conversations WHERE role = 'assistant'),
-q AS (SELECT conv_id, conv_id || '-' || turn AS query_id, text, ('0x' || left({md5_of("conv_id || '-' || turn")}, 8))::BIGINT AS h FROM conversations WHERE role = 'user')
-SELECT q.query_id, d.draw, p.conv_id || '-' || p.turn AS positive_id, 'query: ' || q.text AS query, 'passage: ' || p.text AS positive
-FROM q, (SELECT 0 AS draw UNION ALL SELECT 1) d, p WHERE p.conv_id = q.conv_id AND d.draw < p.m AND p.place = (q.h + d.draw) % p.m""")
+q0 AS (SELECT c.conv_id, c.conv_id || '-' || c.turn AS query_id, c.text, m, ('0x' || left({md5_of("c.conv_id || '-' || c.turn || '|0'")}, 8))::BIGINT % m AS p0,
+ CASE WHEN m > 1 THEN ('0x' || left({md5_of("c.conv_id || '-' || c.turn || '|1'")}, 8))::BIGINT % (m - 1) END AS r1
+ FROM conversations c JOIN (SELECT conv_id, max(m) AS m FROM p GROUP BY 1) USING (conv_id) WHERE c.role = 'user'),
+q AS (SELECT conv_id, query_id, text, 0 AS draw, p0 AS place FROM q0 UNION ALL SELECT conv_id, query_id, text, 1, CASE WHEN p0 <= r1 THEN r1 + 1 ELSE r1 END FROM q0 WHERE m > 1)
+SELECT q.query_id, q.draw, p.conv_id || '-' || p.turn AS positive_id, 'query: ' || q.text AS query, 'passage: ' || p.text AS positive
+FROM q JOIN p ON p.conv_id = q.conv_id AND p.place = q.place""")
 def _(t):
     """Up to two positives of its conversation for every user turn, with role prefixes."""
     rows = t.conversations.withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))

@@ -11,10 +11,12 @@ from phrasebench.queries.registry import EXAMPLES, SCORED, norm_of, query, stem_
 from phrasebench.session import spread
 
 
-@query("x01_x02_lower_trim", "SELECT doc_id, lower(text) AS low, trim(text) AS trimmed FROM documents")
+@query("x01_x02_lower_trim", r"""WITH d AS (SELECT doc_id, chr(9) || text || chr(160) || chr(10) || ' ' AS text FROM documents)
+SELECT doc_id, lower(text) AS low, regexp_replace(regexp_replace(text, '^[\s\x1c-\x1f\x{85}\p{Z}]+', ''), '[\s\x1c-\x1f\x{85}\p{Z}]+$', '') AS trimmed FROM d""")
 def _(t):
-    """X01, X02"""
-    return t.documents.select("doc_id", F.lower("text").alias("low"), F.trim("text").alias("trimmed"))
+    """Lower case, and white space of every kind cut off both ends."""
+    rows = t.documents.select("doc_id", F.concat(F.lit("\t"), "text", F.lit(" \n ")).alias("text"))
+    return rows.select("doc_id", F.lower("text").alias("low"), X.strip_all("text").alias("trimmed"))
 
 
 @query("x03_remove_words", r"SELECT doc_id, regexp_replace(regexp_replace(text, '\b(the|and)\b', '', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")

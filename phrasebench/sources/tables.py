@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,18 +27,41 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length").where(~F.col("path").rlike(r"/[_.][^/]*$"))
 
 
-def catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """(config, split, files, bytes, error) for every ``root/config/split``; an empty split is an error row."""
-    parts = F.split(F.regexp_replace("path", r"^.*?" + root.rstrip("/").replace(".", r"\.") + "/", ""), "/")
-    rows = _listing(spark, root).select(parts.alias("_p"), "length").where(F.size("_p") >= 3)
+def _below(path: Column, root: str) -> Column:
+    """Parts of ``path`` below ``root``, whatever scheme Spark puts before it."""
+    plain = root.rstrip("/") + "/"
+    return F.split(F.substr(path, F.instr(path, plain) + F.lit(len(plain))), "/")
+
+
+def _fault(spark: SparkSession, root: str, config: str, split: str) -> str | None:
+    """Why a split cannot be opened; None when its schema can be read."""
+    try:
+        spark.read.parquet(f"{root}/{config}/{split}").schema  # noqa: B018  (footers only)
+    except Exception as e:  # whatever the files are, the catalogue goes on with the next split
+        return f"cannot be opened: {str(e).splitlines()[0][:200]}"
+    return None
+
+
+def catalogue(spark: SparkSession, root: str, check: bool = True) -> DataFrame:
+    """(config, split, files, bytes, error) for every ``root/config/split``.
+
+    An empty split, and with ``check`` one whose files are no parquet, is a row with an error; the others go on.
+    """
+    rows = _listing(spark, root).select(_below(F.col("path"), root).alias("_p"), "length").where(F.size("_p") >= 3)
     out = rows.groupBy(F.col("_p")[0].alias("config"), F.col("_p")[1].alias("split")).agg(
         F.count("*").alias("files"), F.sum("length").alias("bytes"))
-    return out.withColumn("error", F.when(F.col("bytes") == 0, "empty split"))
+    empty = F.when(F.col("bytes") == 0, "empty split")
+    if not check:
+        return out.withColumn("error", empty)
+    found = out.orderBy("config", "split").collect()  # a row a split
+    faults = [(r["config"], r["split"], r["files"], r["bytes"], "empty split" if not r["bytes"] else _fault(spark, root, r["config"], r["split"]))
+              for r in found]
+    return spark.createDataFrame(faults, "config string, split string, files bigint, bytes bigint, error string")
 
 
 def first_split(spark: SparkSession, root: str, config: str) -> str:
     """Name of the first available split of a config."""
-    row = catalogue(spark, root).where(F.col("config") == config).orderBy("split").first()
+    row = catalogue(spark, root, check=False).where((F.col("config") == config) & F.col("error").isNull()).orderBy("split").first()
     if row is None:
         raise FileNotFoundError(f"no split under {root}/{config}")
     return row["split"]
