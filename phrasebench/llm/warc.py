@@ -30,8 +30,10 @@ from phrasebench.session import cut_lineage
 # Line ends and magic of the format, and the two base-32 alphabets.
 END, MAGIC = "\r\n\r\n", "WARC/1."
 HEX32, RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records of one archive at most.
-FILE_RECORDS = 100_000
+#: Records of one archive at most; a compressed archive is read by one task.
+FILE_RECORDS = 20_000
+#: Splits up to which the table of their starts, about 150 bytes a row, is broadcast.
+FEW_SPLITS = 20_000
 KEY_HEADER = "X-Record-Key"
 
 
@@ -116,11 +118,16 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return cut.mapInArrow(run, CANDIDATES)
 
 
-def placed(cuts: DataFrame) -> DataFrame:
-    """Adds ``offset`` (of the cut's magic in its file) and ``next`` (of its successor), from the sizes of earlier splits."""
+def split_starts(cuts: DataFrame) -> DataFrame:
+    """(file, block, base): where each split's first cut lies in its file; a row a split, broadcast while there are few."""
     ends = cuts.groupBy("file", "block").agg(F.max(F.col("at") + F.col("size")).alias("s"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    base = ends.select("file", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    base = cut_lineage(ends.select("file", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base")))
+    return F.broadcast(base) if base.count() <= FEW_SPLITS else base
+
+
+def placed(cuts: DataFrame, base: DataFrame) -> DataFrame:
+    """Adds ``offset`` (of the cut's magic in its file) and ``next`` (of its successor), from the sizes of earlier splits."""
     after = F.col("offset") + F.lit(len(MAGIC)) + F.col("head") + F.col("length") + F.lit(len(END))
     return (cuts.join(base, ["file", "block"]).withColumn("offset", F.col("base") + F.col("at") + F.lit(len(END)))
             .withColumn("next", after).drop("base", "at", "size", "block"))
@@ -150,11 +157,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     cuts = cut_lineage(candidates(spark, path))
     number = F.xxhash64("file").alias("f")  # paths are long; rounds carry eight bytes for them
-    narrow = cut_lineage(placed(cuts.drop("raw", "headers")).select(number, "offset", "next", "length"))
+    base = split_starts(cuts.select("file", "block", "at", "size"))
+    narrow = cut_lineage(placed(cuts.drop("raw", "headers"), base).select(number, "offset", "next", "length"))
     good = reachable(narrow.where("length IS NOT NULL").select(F.col("f").alias("file"), "offset", "next"))
     false = narrow.join(good.withColumnRenamed("file", "f"), ["f", "offset"], "left_anti").select("f", "offset")
     false = cut_lineage(false)
-    rows = placed(cuts).withColumn("f", number)
+    rows = placed(cuts, base).withColumn("f", number)
     whole = F.coalesce(F.octet_length("raw") >= F.col("head") + F.col("length"), F.lit(False))
     own = F.substring(F.col("raw"), F.col("head").cast("int") + 1, F.col("length").cast("int"))
     if false.isEmpty():
