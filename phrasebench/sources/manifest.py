@@ -22,7 +22,7 @@ def manifest(spark: SparkSession, artifacts: dict[str, tuple[str, DataFrame]]) -
 def check_artifacts(spark: SparkSession, expected: DataFrame, root: str) -> DataFrame:
     """``expected`` (artifact, path relative to root) with status ok / empty / missing."""
     prefix = root.rstrip("/")
-    relative = F.regexp_replace(F.col("path"), r"^.*?" + prefix.replace(".", r"\.") + "/", "")
+    relative = F.substr(F.col("path"), F.instr(F.col("path"), prefix + "/") + F.lit(len(prefix) + 1))  # no pattern is made of the root
     files = _listing(spark, root).select(relative.alias("file"), "length")
     # a listed path is a file, or the folder of a table's part files
     steps = F.split("file", "/")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +27,20 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length").where(~F.col("path").rlike(r"/[_.][^/]*$"))
 
 
-def _below(path: Column, root: str) -> Column:
-    """Parts of ``path`` below ``root``, whatever scheme Spark puts before it."""
-    plain = root.rstrip("/") + "/"
-    return F.split(F.substr(path, F.instr(path, plain) + F.lit(len(plain))), "/")
+def _folders(fs, path) -> list:
+    """Visible folders below ``path``, by name."""
+    found = [f.getPath() for f in fs.listStatus(path) if f.isDirectory() and f.getPath().getName()[0] not in "_."]
+    return sorted(found, key=lambda f: f.getName())
+
+
+def _visible_files(fs, path) -> list[int]:
+    """Lengths of the files below ``path``, empty ones included."""
+    files, sizes = fs.listFiles(path, True), []
+    while files.hasNext():
+        one = files.next()
+        if one.getPath().getName()[0] not in "_.":
+            sizes.append(one.getLen())
+    return sizes
 
 
 def _fault(spark: SparkSession, root: str, config: str, split: str) -> str | None:
@@ -47,16 +57,16 @@ def catalogue(spark: SparkSession, root: str, check: bool = True) -> DataFrame:
 
     An empty split, and with ``check`` one whose files are no parquet, is a row with an error; the others go on.
     """
-    rows = _listing(spark, root).select(_below(F.col("path"), root).alias("_p"), "length").where(F.size("_p") >= 3)
-    out = rows.groupBy(F.col("_p")[0].alias("config"), F.col("_p")[1].alias("split")).agg(
-        F.count("*").alias("files"), F.sum("length").alias("bytes"))
-    empty = F.when(F.col("bytes") == 0, "empty split")
-    if not check:
-        return out.withColumn("error", empty)
-    found = out.orderBy("config", "split").collect()  # a row a split
-    faults = [(r["config"], r["split"], r["files"], r["bytes"], "empty split" if not r["bytes"] else _fault(spark, root, r["config"], r["split"]))
-              for r in found]
-    return spark.createDataFrame(faults, "config string, split string, files bigint, bytes bigint, error string")
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)  # a listing, on whatever store the root is
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []  # one per split
+    for config in _folders(fs, top):
+        for split in _folders(fs, config):
+            sizes = _visible_files(fs, split)
+            names = (config.getName(), split.getName())
+            fault = "empty split" if not sum(sizes) else _fault(spark, root, *names) if check else None
+            rows.append((*names, len(sizes), sum(sizes), fault))
+    return spark.createDataFrame(rows, "config string, split string, files bigint, bytes bigint, error string")
 
 
 def first_split(spark: SparkSession, root: str, config: str) -> str:
