@@ -2,7 +2,7 @@
 
 The model is a modified Kneser-Ney model over the bytes of the running text, of order 5: words with one end mark
 after each, so n-grams cross from word to word and the order of words counts. Spark counts the n-grams of all texts
-(words with the bytes before them are first summed inside a task, so what is shuffled is one row per n-gram and task);
+(as codes of stretches of bounded size, summed inside a task, so what is shuffled is about a row per n-gram and task);
 lower orders count distinct left extensions. An n-gram's code is its bytes packed into one integer, a hash without
 collisions; the model is a set of arrays sorted by code. Every n-gram is kept, also those seen once, so the model grows
 with the number of distinct n-grams: it is built in the driver and each worker holds a copy.
@@ -21,7 +21,6 @@ columns are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 from phrasebench.session import cut_lineage
 
 ORDER = 5
-#: Distinct words in context a task holds at once while counting or scoring.
-MAX_WORDS = 300_000
+#: Bytes of text whose codes are made at once, and distinct codes a task holds while counting.
+STRETCH, MAX_CODES = 1 << 20, 2_000_000
 START, END = b" ", b"\n"  # neither occurs in a word
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -43,24 +42,34 @@ BAND = {"below": 2.0, "above": 2.0, "least": 0.015, "slack": 60.0}
 
 # ---- n-grams ------------------------------------------------------------------------------------
 
-def in_context(words: list[bytes], running: bool = True) -> list[bytes]:
-    """Each word after the bytes before it: those of the running text, words ended by END, or only START."""
-    tail, out = START * (ORDER - 1), []
-    for w in words:
-        out.append(tail + w)
-        if running:
-            tail = (tail + w + END)[1 - ORDER:]
-    return out
+def running(words: list[bytes]) -> bytes:
+    """The text that n-grams run over: START before it, END after each word; empty without words."""
+    return START * (ORDER - 1) + END.join(words) + END if words else b""
+
+
+def stretches(texts: list[bytes]):
+    """Lists of (number of the text, part of it), of about ``STRETCH`` bytes; parts of a text overlap by a context."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, len(t) - (ORDER - 1), STRETCH):
+            part = t[at:at + STRETCH + ORDER - 1]
+            held.append((i, part))
+            size += len(part)
+            if size >= STRETCH:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
-def word_codes(words: list[bytes]):
-    """Codes of the n-grams that end at each byte of each word in context and at its end mark, and their number per word."""
+def slide(parts: list[bytes]):
+    """Codes of all n-grams inside the parts, and their number per part."""
     import numpy as np
-    raw = np.frombuffer(b"".join([w + END for w in words]), dtype=np.uint8)
+    raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
     codes = np.zeros(len(raw), dtype=np.int64)
     for back in range(ORDER):
         codes[back:] |= raw[:len(raw) - back].astype(np.int64) << (8 * back)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     own = np.ones(len(raw), dtype=bool)
     starts = np.cumsum(sizes) - sizes
     for back in range(ORDER - 1):
@@ -68,28 +77,30 @@ def word_codes(words: list[bytes]):
     return codes[own], sizes - (ORDER - 1)
 
 
-def count_ngrams(df: DataFrame, text: str, running: bool = False) -> DataFrame:
+def count_ngrams(df: DataFrame, text: str, running_text: bool = False) -> DataFrame:
     """(code, n): n-grams of the highest order over all words of all texts, each alone or in the running text."""
 
     def run(batches):
         import numpy as np
 
-        def flush(words: Counter):
-            codes, sizes = word_codes(list(words))
-            weights = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), sizes)
-            found, place = np.unique(codes, return_inverse=True)
-            sums = np.bincount(place, weights=weights.astype(np.float64)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums)], names=["code", "n"])
+        def table(codes, counts):
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
-        words: Counter = Counter()
+        held = [np.zeros(0, dtype=np.int64)] * 2
         for batch in batches:
-            for value in batch.column(text).to_pylist():
-                words.update(in_context((value or "").encode().split(), running))
-                if len(words) > MAX_WORDS:
-                    yield flush(words)
-                    words = Counter()
-        if words:
-            yield flush(words)
+            words = [(v or "").encode().split() for v in batch.column(text).to_pylist()]
+            texts = [running(w) for w in words] if running_text else [running([x]) for w in words for x in w]
+            for some in stretches(texts):
+                codes, counts = np.unique(slide([part for _, part in some])[0], return_counts=True)
+                held = [np.concatenate(x) for x in zip(held, (codes, counts))]
+                if len(held[0]) > MAX_CODES:
+                    codes, place = np.unique(held[0], return_inverse=True)
+                    held = [codes, np.bincount(place, weights=held[1].astype(np.float64)).astype(np.int64)]
+                    if len(codes) > MAX_CODES // 2:
+                        yield table(*held)
+                        held = [np.zeros(0, dtype=np.int64)] * 2
+        if len(held[0]):
+            yield table(*held)
 
     made = df.select(text).mapInArrow(run, "code bigint, n bigint")
     return made.groupBy("code").agg(F.sum("n").alias("n"))
@@ -153,7 +164,7 @@ def log_prob(model: list[dict], codes):
 def fit(df: DataFrame, text: str) -> list[dict]:
     """The model of all texts: what reaches the driver is one row of 16 bytes per distinct n-gram."""
     import numpy as np
-    counted = cut_lineage(count_ngrams(df, text, running=True))
+    counted = cut_lineage(count_ngrams(df, text, running_text=True))
     seen = counted.agg(*[F.count(F.when(F.col("n") == c, 1)).alias(f"c{c}") for c in (1, 2, 3, 4)]).first()
     whole = counted.toArrow()
     codes, counts = (whole.column(c).to_numpy() for c in ("code", "n"))
@@ -199,33 +210,27 @@ def score(df: DataFrame, key: str, text: str, lang: str, model: list[dict]) -> D
 
     def run(batches):
         import numpy as np
-        names: dict[bytes, int] = {}
-        known: dict[bytes, int] = {}
-        value = np.zeros(0)
         for batch in batches:
-            if len(known) > MAX_WORDS:
-                names, known, value = {}, {}, np.zeros(0)
-            first, rows, ids, sizes = len(known), [], [], []
+            rows, texts, sizes = [], [], []
             for t in batch.column(text).to_pylist():
                 t = t or ""
                 raw = t.encode()
                 words = raw.split()
+                names: dict[bytes, int] = {}
                 own = np.fromiter([names.setdefault(w, len(names)) for w in words], dtype=np.int64, count=len(words))
-                ids.append(np.fromiter([known.setdefault(w, len(known)) for w in in_context(words)], dtype=np.int64, count=len(words)))
                 blank = sum(map(t.count, SPACES))
                 rows.append((len(words), len(t) - blank, sum(map(t.count, SYMBOLS)), line_repeats(t), repeated_words(own)))
                 sizes.append(len(raw) - blank + len(words))
-            new = list(known)[first:]
-            if new:
-                parts = [value]
-                for i in range(0, len(new), 100_000):
-                    codes, each = word_codes(new[i:i + 100_000])
-                    parts.append(np.add.reduceat(log_prob(shared.value, codes), np.cumsum(each) - each))
-                value = np.concatenate(parts)
-            totals = [float(value[own].sum()) for own in ids]
+                texts.append(running(words))
+            totals = np.zeros(len(rows))
+            for some in stretches(texts):
+                codes, each = slide([part for _, part in some])
+                found, place = np.unique(codes, return_inverse=True)
+                sums = np.add.reduceat(log_prob(shared.value, found)[place], np.cumsum(each) - each)
+                np.add.at(totals, [i for i, _ in some], sums)
             made = list(zip(*rows)) if rows else [()] * 5
             columns = [batch.column(key), batch.column(lang), *[pa.array(c, type=pa.int64()) for c in made],
-                       pa.array(totals, type=pa.float64()), pa.array(sizes, type=pa.int64())]
+                       pa.array(totals), pa.array(sizes, type=pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[key, lang, *[x.split()[0] for x in SCORES.split(", ")]])
 
     return df.select(key, lang, text).mapInArrow(run, f"`{key}` {kinds[key]}, `{lang}` {kinds[lang]}, {SCORES}")

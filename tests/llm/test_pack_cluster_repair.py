@@ -182,6 +182,55 @@ def test_words_are_encoded_as_whole_texts_are(library):
             assert ids[start:end].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
 
 
+# ---- perplexity ----------------------------------------------------------------------------------
+
+def plain_kneser_ney(texts, order):
+    """P(byte | bytes before it) of an interpolated modified Kneser-Ney model, from dictionaries."""
+    from collections import Counter, defaultdict
+
+    from phrasebench.llm.perplexity import discounts
+    counts = {order: Counter(t[i:i + order] for t in texts for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])  # distinct bytes before it
+    cuts = {k: (0.0, *discounts([sum(n == c for n in counts[k].values()) for c in (1, 2, 3, 4)])) for k in counts}
+    after = {k: defaultdict(list) for k in counts}
+    for k, table in counts.items():
+        for g, n in table.items():
+            after[k][g[:-1]].append(n)
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        seen = after[k].get(gram[:-1])
+        if not seen:
+            return p(gram[1:])
+        n, cut = counts[k].get(gram, 0), cuts[k]
+        spare = sum(cut[min(x, 3)] for x in seen) / sum(seen)
+        return max(n - cut[min(n, 3)], 0) / sum(seen) + spare * p(gram[1:])
+    return p
+
+
+def test_model_and_scores_are_those_of_plain_kneser_ney(spark):
+    from phrasebench.llm import perplexity
+    rng = random.Random(11)
+    words = ["sol", "mare", "ventus", "solis", "ma", "ar", "é", "x"]
+    docs = [" ".join(rng.choices(words, k=rng.randrange(0, 25))) for _ in range(60)] + ["", "  ", "sol " * 400]
+    df = spark.createDataFrame([(i, t, "la") for i, t in enumerate(docs)], "id long, text string, lang string")
+    whole = [perplexity.running(t.encode().split()) for t in docs]
+    p, n = plain_kneser_ney([t for t in whole if t], perplexity.ORDER), perplexity.ORDER
+    stretch = perplexity.STRETCH
+    perplexity.STRETCH = 40  # texts are cut into many parts
+    try:
+        model = perplexity.fit(df, "text")
+        got = {r["id"]: r for r in perplexity.score(df, "id", "text", "lang", model).collect()}
+    finally:
+        perplexity.STRETCH = stretch
+    for i, t in enumerate(whole):
+        want = sum(np.log(p(t[j:j + n])) for j in range(len(t) - n + 1)) if t else 0.0
+        assert abs(got[i]["log_prob"] - want) < 1e-8 * max(1, abs(want)) and got[i]["n_bytes"] == max(0, len(t) - n + 1)
+
+
 # ---- repair --------------------------------------------------------------------------------------
 
 def cheapest(symbols):
