@@ -292,6 +292,15 @@ def test_near_duplicates_odd_ids(spark):
     assert ordermin.mark(frame(spark, []), "doc_id", "text").count() == 0
 
 
+def test_near_duplicates_of_every_text_of_a_repeated_id(spark):
+    rng = random.Random(31)
+    texts = [words(rng, 80) for _ in range(24)]
+    rows = [(100 + i // 2, t, "en", "s") for i, t in enumerate(texts)]  # twelve ids of two unlike texts each
+    rows += [(i, " ".join(edited(rng, t.split(), 3)), "en", "s") for i, t in enumerate(texts)]  # a near copy of every text
+    got = {r.id: r.class_id for r in ordermin.classes(frame(spark, rows), "doc_id", "text").collect()}
+    assert got == {**{i: i for i in range(24)}, **{100 + i: 2 * i for i in range(12)}}
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400, i) for i in range(401, 460)]
