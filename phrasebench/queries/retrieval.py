@@ -12,6 +12,7 @@ from phrasebench.operators import lexical as L
 from phrasebench.operators import rank as R
 from phrasebench.operators import rerank as K
 from phrasebench.operators.dense import dense_range, dense_topk
+from phrasebench.operators.densestore import dense_index, indexed_topk, open_dense_index
 from phrasebench.operators.embed import ALPHABET, letter_embedder
 from phrasebench.operators.phrases import token_run_matches
 from phrasebench.operators.split import within_entity_split
@@ -19,7 +20,7 @@ from phrasebench.plans import retrieval as Z
 from phrasebench.queries.registry import (
     BENCH_ON_DOCS, DOCS_ON_BENCH, POOL, VECTORS, hybrid_sql, lexical_sql, md5_of, norm_of, query, ranked_vectors, tokens_of)
 
-from phrasebench.session import cut_lineage, spread
+from phrasebench.session import cut_lineage, scratch_path, spread
 
 
 def vector_sets(t):
@@ -58,14 +59,26 @@ def bench_pairs(t, k: int = 20):
     return cut_lineage(Z.filled_pairs(t.benchmark, "item_id", "text", bench_index(t), k))
 
 
-@query("dense_top5", f"""WITH {VECTORS} SELECT query_id, bank_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) AS rank
-FROM vpairs QUALIFY rank <= 5""")
+TOP5 = f"""WITH {VECTORS} SELECT query_id, bank_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) AS rank
+FROM vpairs QUALIFY rank <= 5"""
+
+
+@query("dense_top5", TOP5)
 def _(t):
     """Block product, top 5 per query."""
     q, b = vector_sets(t)
     return dense_topk(q, "vec_id", "embedding", b, "vec_id", "embedding", 5)
 
 
+@query("s11_dense_index", TOP5)
+def _(t):
+    """The bank stored as matrix blocks, opened again and searched by bounds; the list of the block product."""
+    q, b = vector_sets(t)
+    path = scratch_path(t.spark, "dense")
+    dense_index(b, "vec_id", "embedding", path)
+    return indexed_topk(q, "vec_id", "embedding", open_dense_index(t.spark, path), 5)
+
+
 @query("dense_range", f"WITH {VECTORS} SELECT query_id, min(score) AS lo, max(score) AS hi FROM vpairs GROUP BY 1")
 def _(t):
     """Score range of each query over the whole bank."""
