@@ -13,7 +13,7 @@ from phrasebench.operators import rank as R
 from phrasebench.operators import rerank as K
 from phrasebench.operators.dense import dense_range, dense_topk
 from phrasebench.operators.densestore import dense_index, indexed_topk, open_dense_index
-from phrasebench.operators.embed import ALPHABET, letter_embedder
+from phrasebench.operators.embed import ALPHABET, letter_embedder, model_embedder, model_pair_scorer
 from phrasebench.operators.phrases import token_run_matches
 from phrasebench.operators.split import within_entity_split
 from phrasebench.plans import retrieval as Z
@@ -531,3 +531,19 @@ def _(t):
     out = two_layer_job(t)(t.benchmark)
     known = F.col("label_name").isNotNull() & F.col("confidence").between(0.5 - 1e-9, 1)
     return out.select("query_id", "query", "bank_id", "entity", "fused", "rerank_score", "rank", known.alias("verdict_known"))
+
+
+@query("m11_m12_batched_models", """SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '', 'g'))::BIGINT AS letters, length(coalesce(text, ''))::BIGINT AS chars,
+ coalesce(round(length(source) / greatest(length(text), 1)::DOUBLE, 6), 0) AS share FROM documents""")
+def _(t):
+    """Texts and pairs through models that are fed by length, results back at their rows."""
+    def letters():  # stands in for an encoder: letters and characters of each text
+        return lambda texts: [[float(sum(c.isascii() and c.isalpha() for c in t)), float(len(t))] for t in texts]
+
+    def share():  # stands in for a pair model: length of the candidate over that of the query
+        return lambda pairs: [round(len(c) / max(1, len(q)), 6) if q is not None else 0.0 for q, c in pairs]
+
+    docs = model_embedder(letters, "text")(t.documents.select("doc_id", "text", "source"))
+    pairs = docs.select("doc_id", "vec", F.col("text").alias("query"), F.col("source").alias("candidate"))
+    out = model_pair_scorer(share)(pairs)
+    return out.select("doc_id", F.col("vec")[0].cast("long").alias("letters"), F.col("vec")[1].cast("long").alias("chars"), F.col("rerank_score").alias("share"))

@@ -538,3 +538,33 @@ def test_single_search_reads_only_the_parts_of_its_terms(spark, tmp_path):
     plan = asked.of_parts(index.blocks)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(part" in plan
     assert [r["doc_id"] for r in L.bm25_topk(q.where("q = 92"), "q", "text", index, 3).collect()] == [401]
+
+
+def test_length_batches_bound_padding():
+    import numpy as np
+
+    from phrasebench.operators.embed import length_batches, padded_share
+    lengths = np.array([0, 500, 3, 3, 480, 4, 9000, 0, 510, 5])
+    batches = length_batches(lengths, 1000)
+    assert sorted(np.concatenate(batches).tolist()) == list(range(10))
+    assert all(len(b) == 1 or len(b) * lengths[b].max() <= 1000 for b in batches)
+    assert [6] in [b.tolist() for b in batches]
+    in_order = [np.arange(0, 5), np.arange(5, 10)]
+    assert padded_share(lengths, batches) < 0.1 < 0.5 < padded_share(lengths, in_order)
+    assert length_batches(np.array([], dtype=np.int64)) == [] and padded_share(lengths[:0], []) == 0.0
+
+
+def test_model_sees_batches_by_length_and_results_keep_their_rows(spark):
+    from phrasebench.operators.embed import model_embedder, model_pair_scorer
+    texts = [None, "a", "a b c d e f g h", "", "a b", "x " * 50, "a b c d e f g i"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+
+    def encoder():
+        return lambda batch: [[float(len(t)), float(len(batch)), float(max(len(x.split()) for x in batch))] for t in batch]
+
+    rows = {r["id"]: r["vec"] for r in model_embedder(encoder, "text", padded=16)(df).collect()}
+    assert [rows[i][0] for i in range(7)] == [float(len(t or "")) for t in texts]
+    assert all(v[1] == 1 or v[1] * v[2] <= 16 for v in rows.values()) and rows[5][1] == 1
+    pairs = spark.createDataFrame([("a b", "c"), (None, "d"), ("e " * 30, None)], "query string, candidate string")
+    scored = model_pair_scorer(lambda: lambda ps: [float(len(a or "") - len(b or "")) for a, b in ps], padded=8)(pairs)
+    assert [r["rerank_score"] for r in scored.collect()] == [2.0, -1.0, 60.0]
