@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phrasebench.operators.blockmax import open_blocks
 from phrasebench.operators.lexical import LexicalIndex
 from phrasebench.session import open_bucketed, read_table
 
@@ -96,8 +97,9 @@ def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
     """An index as ``write_lexical_index`` left it; nothing is read but its description."""
     meta = read_config(spark, f"{path}/meta")
     by_doc = {n: open_bucketed(spark, f"{path}/{n}", "doc_id", meta["facts"]["buckets"], meta["columns"][n]) for n in ("postings", "norms", "places")}
-    plain = {n: spark.read.schema(meta["columns"][n]).parquet(f"{path}/{n}") for n in ("terms", "blocks", "tops")}
-    return LexicalIndex(documents=spark.read.parquet(f"{path}/documents"), facts=meta["facts"], **by_doc, **plain)
+    terms = spark.read.schema(meta["columns"]["terms"]).parquet(f"{path}/terms")
+    blocks, tops = open_blocks(spark, f"{path}/blocks", dict(c.split(" ", 1) for c in meta["columns"]["blocks"].split(", ")))
+    return LexicalIndex(documents=spark.read.parquet(f"{path}/documents"), facts=meta["facts"], terms=terms, blocks=blocks, tops=tops, **by_doc)
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
