@@ -18,24 +18,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasebench.fixed import DENSE_WEIGHT
+from phrasebench.operators.blockmax import RANGE_UNITS, packed, unpacked
 from phrasebench.operators.ordering import top_k_per
 
 # the block functions travel with the job, so workers need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
 #: A query block holds so many times the rows of a bank block: the bank is copied once per query block, and a block's
-#: queries are multiplied ``_CHUNK`` at a time, so only their vectors take memory.
-QUERY_FACTOR = 16
-_CHUNK = 512
+#: queries are multiplied a chunk at a time, so only their vectors take memory.
+QUERY_FACTOR = 4
+#: Scores held at once, and rows that a block pair hands on: what a worker's memory is made of, whatever the tables' size.
+CELLS, OUT_ROWS = 1 << 21, 1 << 20
+#: Fewest queries that a block is cut down to so that every core has one.
+LEAST_ROWS = 512
 
 
 def _block(n: int, col: str = "id") -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
-def _block_counts(queries: DataFrame, bank: DataFrame, block_rows: int, factor: int = QUERY_FACTOR) -> tuple[int, int]:
-    return tuple(max(1, -(-df.count() // rows)) for df, rows in ((queries, factor * block_rows), (bank, block_rows)))
+def _block_counts(queries: DataFrame, bank: DataFrame, block_rows: int, factor: int = QUERY_FACTOR, k: int = 1) -> tuple[int, int]:
+    """Blocks of queries and of bank rows: of bounded rows and, ``k`` rows a query, of bounded results; two a core where the queries do."""
+    asked, held = queries.count(), bank.count()
+    n_b = max(1, -(-held // block_rows))
+    least = -(-asked // max(1, min(factor * block_rows, OUT_ROWS // max(1, k))))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return max(1, least, min(-(-asked // LEAST_ROWS), -(-2 * cores // n_b))), n_b
+
+
+def _chunks(rows: int, width: int):
+    """Starts and ends of stretches of ``rows`` whose scores against ``width`` others are at most ``CELLS``."""
+    step = max(1, CELLS // max(1, width))
+    return ((start, min(rows, start + step)) for start in range(0, rows, step))
+
+
+def _first_of_rows(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the ``keep`` largest scores of every row, largest first, ties by column; NaN comes last."""
+    if not keep or not scores.size:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    ranked = np.where(np.isnan(scores), -np.inf, scores)
+    least = np.partition(ranked, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+    rows, cols = np.nonzero(ranked >= least[:, None])
+    last = np.isnan(scores[rows, cols])
+    order = np.lexsort((cols, last, -ranked[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < keep], cols[place < keep]
 
 
 def _spread(queries: DataFrame, bank: DataFrame, n_q: int, n_b: int) -> tuple[DataFrame, DataFrame]:
@@ -45,8 +74,8 @@ def _spread(queries: DataFrame, bank: DataFrame, n_q: int, n_b: int) -> tuple[Da
     return q, b
 
 
-def _blocked(queries: DataFrame, bank: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    return _spread(queries, bank, *_block_counts(queries, bank, block_rows))
+def _blocked(queries: DataFrame, bank: DataFrame, block_rows: int, k: int = 1) -> tuple[DataFrame, DataFrame]:
+    return _spread(queries, bank, *_block_counts(queries, bank, block_rows, k=k))
 
 
 def _matrix(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
@@ -71,7 +100,7 @@ def dense_topk(queries: DataFrame, query_id: str, query_vec: str,
                bank: DataFrame, bank_id: str, bank_vec: str, k: int,
                decimals: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, bank_id, score, rank) of the ``k`` nearest rows by cosine; ties go to the lower id."""
-    q, b = _blocked(_vectors(queries, query_id, query_vec), _vectors(bank, bank_id, bank_vec), block_rows)
+    q, b = _blocked(_vectors(queries, query_id, query_vec), _vectors(bank, bank_id, bank_vec), block_rows, k)
     q_type, b_type = (df.schema["id"].dataType.simpleString() for df in (q, b))
 
     def best_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -80,13 +109,12 @@ def dense_topk(queries: DataFrame, query_id: str, query_vec: str,
             q_ids, q_vec = _matrix(left)
             b_ids, b_vec = _by_id(*_matrix(right))
             keep = min(k, len(b_ids))
-            for start in range(0, len(q_ids), _CHUNK):
-                scores = np.round(q_vec[start:start + _CHUNK] @ b_vec.T, decimals)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-                rows = np.repeat(np.arange(start, start + len(scores)), keep)
-                out_q.append(q_ids.take(pa.array(rows)))
-                out_b.append(b_ids.take(pa.array(best.ravel())))
-                out_s.append(pa.array(np.take_along_axis(scores, best, axis=1).ravel()))
+            for start, end in _chunks(len(q_ids), len(b_ids)):
+                scores = np.round(q_vec[start:end] @ b_vec.T, decimals)
+                rows, cols = _first_of_rows(scores, keep)
+                out_q.append(q_ids.take(pa.array(rows + start)))
+                out_b.append(b_ids.take(pa.array(cols)))
+                out_s.append(pa.array(scores[rows, cols]))
         if not out_q:
             return pa.table({"query_id": left.column("id").slice(0, 0),
                              "bank_id": right.column("id").slice(0, 0),
@@ -116,8 +144,8 @@ def gold_places(queries: DataFrame, query_id: str, query_vec: str, gold: str,
         """(first query, scores) per chunk of queries."""
         _, q_vec = _matrix(left)
         _, b_vec = _matrix(right)
-        for start in range(0, len(q_vec), _CHUNK):
-            yield start, np.round(q_vec[start:start + _CHUNK] @ b_vec.T, decimals) + 0.0
+        for start, end in _chunks(len(q_vec), len(b_vec)):
+            yield start, np.round(q_vec[start:end] @ b_vec.T, decimals) + 0.0
 
     def best_gold(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, cols, best = [], [], []
@@ -174,10 +202,9 @@ def dense_range(queries: DataFrame, query_id: str, query_vec: str,
         q_ids, q_vec = _matrix(left)
         _, b_vec = _matrix(right)
         lo, hi = np.empty(len(q_ids)), np.empty(len(q_ids))
-        for start in range(0, len(q_ids), _CHUNK):
-            scores = np.round(q_vec[start:start + _CHUNK] @ b_vec.T, decimals)
-            lo[start:start + len(scores)] = scores.min(axis=1)
-            hi[start:start + len(scores)] = scores.max(axis=1)
+        for start, end in _chunks(len(q_ids), len(b_vec)):
+            scores = np.round(q_vec[start:end] @ b_vec.T, decimals)
+            lo[start:end], hi[start:end] = scores.min(axis=1), scores.max(axis=1)
         return pa.table({"query_id": q_ids, "lo": pa.array(lo), "hi": pa.array(hi)})
 
     found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(
@@ -185,20 +212,56 @@ def dense_range(queries: DataFrame, query_id: str, query_vec: str,
     return found.groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+LIMITS = ["lo_dense", "hi_dense", "lo_lexical", "hi_lexical"]
+FUSED = ["query_id", "doc_id", "dense", "lexical", "score"]
+
+
+def _fused_block(asked: pa.Table, bank: pa.Table, lexical_of, k: int, weight: float, decimals: int) -> list[pa.Table]:
+    """Best ``k`` rows of a bank block (sorted by id) for every query of ``asked``; ``lexical_of(start, end)`` gives the
+    lexical scores of a stretch of queries against the block."""
+    q_ids, q_vec = _matrix(asked)
+    b_ids, b_vec = _matrix(bank)
+    lo_d, hi_d, lo_l, hi_l = (asked.column(c).to_numpy().astype(np.float64)[:, None] for c in LIMITS)
+    parts = []
+
+    def scaled(x, lo, hi):
+        span = hi - lo
+        return np.where(span < 1e-12, 0.0, (x - lo) / np.where(span < 1e-12, 1.0, span))
+
+    for start, end in _chunks(len(q_ids), len(b_ids)):
+        part = slice(start, end)
+        dense, lex = np.round(q_vec[part] @ b_vec.T, decimals), lexical_of(start, end)
+        score = np.round(weight * scaled(dense, lo_d[part], hi_d[part]) + (1 - weight) * scaled(lex, lo_l[part], hi_l[part]), decimals)
+        rows, cols = _first_of_rows(score, min(k, len(b_ids)))
+        parts.append(pa.table([q_ids.take(pa.array(rows + start)), b_ids.take(pa.array(cols)),
+                               *(pa.array(m[rows, cols]) for m in (dense, lex, score))], names=FUSED))
+    return parts
+
+
+def _fused_table(parts: list[pa.Table], left: pa.Array, right: pa.Array) -> pa.Table:
+    if parts:
+        return pa.concat_tables(parts)
+    none = pa.array([], pa.float64())
+    return pa.table([left.slice(0, 0), right.slice(0, 0), none, none, none], names=FUSED)
+
+
 def fused_topk(queries: DataFrame, query_id: str, query_vec: str,
                bank: DataFrame, bank_id: str, bank_vec: str,
                lexical: DataFrame, ranges: DataFrame, k: int, weight: float = DENSE_WEIGHT,
-               decimals: int = 6, block_rows: int = BLOCK_ROWS // 2) -> DataFrame:
+               decimals: int = 6, block_rows: int = BLOCK_ROWS // 8) -> DataFrame:
     """(query_id, doc_id, dense, lexical, score, rank): exact top ``k`` of scaled dense + lexical.
 
     ``lexical`` holds the non-zero lexical scores (query_id, doc_id, lexical); they travel to the block
-    pair of their two rows. ``ranges`` has lo/hi of both scores over the whole bank per query.
+    pair of their two rows. Or it is the terms asked of an index (``blockmax.Asked``): then the bank is cut into the
+    index's ranges and a block pair makes its lexical scores from the range's postings, so that no table of pairs
+    exists. ``ranges`` has lo/hi of both scores over the whole bank per query.
     """
     qs, bs = _vectors(queries, query_id, query_vec), _vectors(bank, bank_id, bank_vec)
+    if not isinstance(lexical, DataFrame):
+        return _fused_by_ranges(qs, bs, lexical, ranges, k, weight, decimals)
     n_q, n_b = _block_counts(qs, bs, block_rows, 1)  # a block pair also holds its lexical scores
-    limits = ["lo_dense", "hi_dense", "lo_lexical", "hi_lexical"]
     q, b = _spread(qs, bs, n_q, n_b)
-    q = q.join(ranges.select(F.col("query_id").alias("id"), *limits), "id")
+    q = q.join(ranges.select(F.col("query_id").alias("id"), *LIMITS), "id")
     pairs = lexical.select(_block(n_q, "query_id").alias("qb"), _block(n_b, "doc_id").alias("bb"),
                            F.col("query_id").alias("id"), "doc_id", "lexical")
     left = q.unionByName(pairs, allowMissingColumns=True)
@@ -207,40 +270,86 @@ def fused_topk(queries: DataFrame, query_id: str, query_vec: str,
     def best_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         is_query = pa.compute.is_valid(left.column("vec"))
         asked, found = left.filter(is_query), left.filter(pa.compute.invert(is_query))
-        parts = []
-        if asked.num_rows and right.num_rows:
-            q_ids, q_vec = _matrix(asked)
-            b_ids, b_vec = _by_id(*_matrix(right))
-            lo_d, hi_d, lo_l, hi_l = (asked.column(c).to_numpy().astype(np.float64)[:, None] for c in limits)
-            rows = pa.compute.index_in(found.column("id").combine_chunks(), q_ids).to_numpy(zero_copy_only=False)
-            cols = pa.compute.index_in(found.column("doc_id").combine_chunks(), b_ids).to_numpy(zero_copy_only=False)
-            vals = found.column("lexical").to_numpy()
-            known = ~(np.isnan(rows.astype(float)) | np.isnan(cols.astype(float)))
-            rows, cols, vals = rows[known].astype(int), cols[known].astype(int), vals[known]
-            keep = min(k, len(b_ids))
+        if not (asked.num_rows and right.num_rows):
+            return _fused_table([], left.column("id"), right.column("id"))
+        right = right.sort_by("id")
+        rows = pa.compute.index_in(found.column("id").combine_chunks(), asked.column("id").combine_chunks()).to_numpy(zero_copy_only=False)
+        cols = pa.compute.index_in(found.column("doc_id").combine_chunks(), right.column("id").combine_chunks()).to_numpy(zero_copy_only=False)
+        vals = found.column("lexical").to_numpy()
+        known = ~(np.isnan(rows.astype(float)) | np.isnan(cols.astype(float)))
+        rows, cols, vals = rows[known].astype(int), cols[known].astype(int), vals[known]
+
+        def lexical_of(start: int, end: int) -> np.ndarray:
+            lex = np.zeros((end - start, right.num_rows))
+            here = (rows >= start) & (rows < end)
+            lex[rows[here] - start, cols[here]] = vals[here]
+            return lex
+
+        return _fused_table(_fused_block(asked, right, lexical_of, k, weight, decimals), left.column("id"), right.column("id"))
 
-            def scaled(x, lo, hi):
-                span = hi - lo
-                return np.where(span < 1e-12, 0.0, (x - lo) / np.where(span < 1e-12, 1.0, span))
-
-            for start in range(0, len(q_ids), _CHUNK):
-                part = slice(start, start + _CHUNK)
-                dense = np.round(q_vec[part] @ b_vec.T, decimals)
-                lex = np.zeros_like(dense)
-                here = (rows >= start) & (rows < start + _CHUNK)
-                lex[rows[here] - start, cols[here]] = vals[here]
-                score = np.round(weight * scaled(dense, lo_d[part], hi_d[part])
-                                 + (1 - weight) * scaled(lex, lo_l[part], hi_l[part]), decimals)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-                ask = np.repeat(np.arange(start, start + len(score)), keep)
-                take = [pa.array(np.take_along_axis(m, best, axis=1).ravel()) for m in (dense, lex, score)]
-                parts.append(pa.table([q_ids.take(pa.array(ask)), b_ids.take(pa.array(best.ravel())), *take], names=names))
-        if parts:
-            return pa.concat_tables(parts)
-        none = pa.array([], pa.float64())
-        return pa.table([left.column("id").slice(0, 0), right.column("id").slice(0, 0), none, none, none], names=names)
-
-    names = ["query_id", "doc_id", "dense", "lexical", "score"]
     found = left.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(
         best_of_block, f"query_id {q_type}, doc_id {b_type}, dense double, lexical double, score double")
     return top_k_per(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+
+
+def _fused_by_ranges(qs: DataFrame, bs: DataFrame, asked, ranges: DataFrame, k: int, weight: float, decimals: int) -> DataFrame:
+    """``fused_topk`` with the bank in the ranges of an index; rows that have no terms are dealt to ranges of their own."""
+    facts = asked.index.facts
+    n_q, n_b = _block_counts(qs, bs, RANGE_UNITS, 1, k)
+    n_q = max(n_q, asked.chunks)
+    limits = ranges.select(F.col("query_id").alias("id"), *LIMITS)
+    lists = asked.lists.select(F.col("query_id").alias("id"), "numbers", "ql")
+    places = asked.index.places.select(F.col("doc_id").alias("id"), "range", "slot")
+    b = bs.join(places, "id", "left").withColumn("range", F.coalesce("range", F.lit(facts["ranges"]) + _block(n_b)))
+    here = F.explode(F.sequence(F.lit(0), F.lit(facts["ranges"] + n_b - 1))).alias("range")
+    q = qs.join(limits, "id").join(lists, "id", "left").select("*", _block(n_q).alias("qb"), here)
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb")
+    of_chunk = asked.terms.select(_block(n_q, "query_id").alias("qb"), "number").distinct()
+    posts = asked.of_parts(asked.index.blocks).join(of_chunk.select("number").distinct(), "number")
+    posts = packed(posts, ["slot", "w"]).join(of_chunk, "number").select("range", "qb", "number", F.col("slot").alias("slots"), "w")
+    right = b.select("range", every, "id", "vec", "slot").unionByName(posts, allowMissingColumns=True)
+    q_type, b_type = (df.schema["id"].dataType.simpleString() for df in (qs, bs))
+
+    def best_of_range(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_row = pa.compute.is_valid(right.column("vec"))
+        bank, posts = right.filter(is_row).sort_by("id"), right.filter(pa.compute.invert(is_row))
+        if not (left.num_rows and bank.num_rows):
+            return _fused_table([], left.column("id"), bank.column("id"))
+        # a repeated id has its scores once, at its first row
+        q_first, b_first = (_first_places(t.column("id").combine_chunks()) for t in (left, bank))
+        slot = pa.compute.fill_null(bank.column("slot"), -1).to_numpy()
+        column = np.full(int(slot.max(initial=-1)) + 2, -1)
+        column[slot[b_first]] = b_first
+        column[-1] = -1
+        posts = unpacked(posts, ["slots", "w"])
+        number, at, w = (posts.column(c).to_numpy() for c in ("number", "slots", "w"))
+        order = np.argsort(number, kind="stable")
+        inside = column[np.minimum(at[order], len(column) - 1)]
+        number, w = number[order], w[order]
+        lists = left.column("numbers").combine_chunks()
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())
+        asks, ql = (left.column(c).combine_chunks().flatten().to_numpy() for c in ("numbers", "ql"))
+        lows, highs = (np.searchsorted(number, asks, side) for side in ("left", "right"))
+        firsts = set(q_first.tolist())
+
+        def lexical_of(start: int, end: int) -> np.ndarray:
+            lex = np.zeros((end - start, bank.num_rows))
+            for i in range(start, end):
+                if i not in firsts:
+                    continue
+                for j in range(ends[i - 1] if i else 0, ends[i]):
+                    cols = inside[lows[j]:highs[j]]
+                    held = cols >= 0
+                    lex[i - start, cols[held]] += w[lows[j]:highs[j]][held] * ql[j]  # a document holds a term once
+            return np.rint(lex * 1e6) / 1e6 + 0.0
+
+        return _fused_table(_fused_block(left, bank, lexical_of, k, weight, decimals), left.column("id"), bank.column("id"))
+
+    found = q.groupBy("range", "qb").cogroup(right.groupBy("range", "qb")).applyInArrow(
+        best_of_range, f"query_id {q_type}, doc_id {b_type}, dense double, lexical double, score double")
+    return top_k_per(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+
+
+def _first_places(ids: pa.Array) -> np.ndarray:
+    """Place of the first row of every id."""
+    return np.unique(pa.compute.index_in(ids, ids).to_numpy(zero_copy_only=False))
