@@ -17,6 +17,7 @@ from phrasebench.plans import reports as Rep
 from phrasebench.queries.registry import (
     SCORED, SCORED_ORDERS, VECTORS, half_even, md5_of, query, ranked_vectors, tokens_of)
 from phrasebench.queries.retrieval import ranked_vector_rows, vector_sets
+from phrasebench.session import cut_lineage
 
 RANKED = f"WITH {ranked_vectors()}"
 TEN = f"WITH {ranked_vectors(10, 100)}"
@@ -329,10 +330,10 @@ UNION ALL SELECT 'recall', k::VARCHAR, round(count_if(gold_rank <= k) / count(*)
 UNION ALL SELECT * FROM (SELECT 'worst', query_id::VARCHAR, score FROM p WHERE gold_rank IS NULL OR gold_rank <> 1 ORDER BY score DESC, query_id LIMIT 10)""")
 def _(t):
     """Reliability report of the dense run, its tables in one long table."""
-    ranked = ranked_vector_rows(t)
+    ranked = cut_lineage(ranked_vector_rows(t))  # searched once; every table of the report reads what is stored
     heads = ranked.where(F.col("rank") == 1).select("query_id", "score")
     preds = heads.join(R.gold_rank(ranked), "query_id")
-    preds = preds.withColumn("correct", F.coalesce((F.col("gold_rank") == 1).cast("int"), F.lit(0)))
+    preds = cut_lineage(preds.withColumn("correct", F.coalesce((F.col("gold_rank") == 1).cast("int"), F.lit(0))))
     parts = Rep.reliability(preds, "score", "correct", "gold_rank", "query_id")
     return (
         parts["outcomes"].select(F.lit("outcomes").alias("report"), F.col("outcome").alias("item"), F.col("n").cast("double").alias("value"))
