@@ -92,3 +92,17 @@ def test_reliability_report_reads_a_stored_search(spark):
     from phrasebench.queries import QUERIES
     plan = QUERIES["z12_reliability"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" not in plan
+
+
+def test_classifier_passes_over_stored_counts(spark, monkeypatch):
+    from phrasebench.operators import detect as D
+    _, d = corpus(spark)
+    rows = d.where("text is not null").withColumn("label", (F.col("d") % 2).cast("int"))
+    stored, cut = [], D.cut_lineage
+    monkeypatch.setattr(D, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    model = D.fit_text_classifier(rows)
+    assert ["label", "_tf"] in stored
+    # the terms of the model are words of two or more characters and pairs of neighbours
+    odd = spark.createDataFrame([(1, "Ab a ÉCOLE x_1, ab"), (2, ""), (3, "word")], "d long, text string")
+    terms = {r["d"]: r["_terms"] for r in model.transform(odd).select("d", "_terms").collect()}
+    assert terms == {1: ["ab", "école", "x_1", "ab", "ab école", "école x_1", "x_1 ab"], 2: [], 3: ["word"]}
