@@ -106,3 +106,15 @@ def test_classifier_passes_over_stored_counts(spark, monkeypatch):
     odd = spark.createDataFrame([(1, "Ab a ÉCOLE x_1, ab"), (2, ""), (3, "word")], "d long, text string")
     terms = {r["d"]: r["_terms"] for r in model.transform(odd).select("d", "_terms").collect()}
     assert terms == {1: ["ab", "école", "x_1", "ab", "ab école", "école x_1", "x_1 ab"], 2: [], 3: ["word"]}
+
+
+def test_words_are_made_of_named_candidates_only(spark, monkeypatch):
+    from phrasebench.operators import rerank as K
+    bank = spark.createDataFrame([(i, f"e{i}", f"meaning {i}") for i in range(100)] + [(7, "e7", "other")], "b long, entity string, m string")
+    q = spark.createDataFrame([(1, "one"), (2, "two")], "q long, t string")
+    ranked = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 7, 1), (2, None, 2), (3, 9, 1)], "query_id long, bank_id long, rank int")
+    stored, cut = [], K.cut_lineage
+    monkeypatch.setattr(K, "cut_lineage", lambda df: stored.append(df) or cut(df))
+    rows = K.candidate_words(ranked, q, "q", "t", bank, "b", "entity", "m")
+    assert [df.count() for df in stored if "c_words" in df.columns] == [4]  # 7 twice, 8 and 9
+    assert sorted((r["query_id"], r["bank_id"]) for r in rows.collect()) == [(1, 7), (1, 7), (1, 8), (2, 7), (2, 7)]
