@@ -118,3 +118,6 @@ def test_words_are_made_of_named_candidates_only(spark, monkeypatch):
     rows = K.candidate_words(ranked, q, "q", "t", bank, "b", "entity", "m")
     assert [df.count() for df in stored if "c_words" in df.columns] == [4]  # 7 twice, 8 and 9
     assert sorted((r["query_id"], r["bank_id"]) for r in rows.collect()) == [(1, 7), (1, 7), (1, 8), (2, 7), (2, 7)]
+    texts = K.candidate_pairs(ranked, q, "q", "t", bank, "b", "entity", "m")
+    assert sorted(r["candidate"] for r in texts.where("query_id = 1").collect()) == ["e7 | meaning 7", "e7 | other", "e8 | meaning 8"]
+    assert "LeftSemi" in texts._jdf.queryExecution().toString()
