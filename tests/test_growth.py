@@ -121,3 +121,39 @@ def test_words_are_made_of_named_candidates_only(spark, monkeypatch):
     texts = K.candidate_pairs(ranked, q, "q", "t", bank, "b", "entity", "m")
     assert sorted(r["candidate"] for r in texts.where("query_id = 1").collect()) == ["e7 | meaning 7", "e7 | other", "e8 | meaning 8"]
     assert "LeftSemi" in texts._jdf.queryExecution().toString()
+
+
+def test_filled_lists_shuffle_no_rows_to_fill_in(spark):
+    from phrasebench.operators import rank as R
+    scored = spark.createDataFrame([(1, 5, 0.5), (1, 2, 0.4), (2, 0, 0.1), (2, 9, 0.1)], "query_id long, doc_id long, s double")
+    q = spark.createDataFrame([(1,), (2,), (3,), (None,)], "q long")
+    bank = spark.createDataFrame([(i,) for i in (5, 0, 9, 1, 2, None)], "d long")
+    out = R.fill_lists(scored, q, "q", bank, "d", 4, ["s"])
+    got = sorted((r["query_id"] or -1, r["doc_id"], r["s"]) for r in out.collect())
+    assert got == [(-1, i, 0.0) for i in (0, 1, 2)] + [(1, 0, 0.0), (1, 1, 0.0), (1, 2, 0.4), (1, 5, 0.5), (2, 0, 0.1), (2, 1, 0.0), (2, 2, 0.0), (2, 9, 0.1),
+                   *[(3, i, 0.0) for i in (0, 1, 2)]]
+    assert "LeftAnti" not in out._jdf.queryExecution().toString()
+
+
+def test_pools_and_boosts_are_ranked_without_texts(spark, monkeypatch):
+    from phrasebench.operators import fusion as Fu
+    from phrasebench.plans import retrieval as Z
+    rng = random.Random(4)
+    rows = [(q, d, rng.randint(0, 9) / 10, rng.randint(0, 9) / 10) for q in range(5) for d in range(20)]
+    pool = Fu.pool_union(spark.createDataFrame(rows, "query_id long, doc_id long, dense double, lexical double"), 4)
+    want = []
+    for q in range(5):
+        own = [r for r in rows if r[0] == q]
+        dense, lexical = (set(sorted(own, key=lambda r: (-r[c], r[1]))[:4]) for c in (2, 3))
+        want += [(*r[:2], r[2] if r in dense else 0.0, r[3]) for r in dense | lexical]
+    assert sorted(map(tuple, pool.collect())) == sorted(want) and "Join" not in pool._jdf.queryExecution().toString()
+
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "blue fish")], "d long, text string")
+    bank = spark.createDataFrame([(10, "red fox", "E"), (11, "fox runs", "E"), (12, "fish", None), (13, "fox", None)], "b long, text string, e string")
+    asked = []
+    monkeypatch.setattr(Z, "bucket_count", lambda _spark, size: asked.append(size) or 7)
+    out = Z.hybrid_pooled(docs, "d", "text", bank, "b", "text", "e", "text", k=4)
+    assert len(asked) == 1 and asked[0] >= Z.PAIR_BYTES * 8
+    got = {(r["query_id"], r["doc_id"]): (r["entity"], r["phrase_boost"] > 0) for r in out.collect()}
+    assert {x: y for x, y in got.items() if x[0] == 1} in ({(1, 10): ("E", True), (1, 13): (None, True)}, {(1, 11): ("E", True), (1, 13): (None, True)})
+    assert got[(2, 12)] == (None, True) and len(got) == 4
