@@ -21,6 +21,7 @@ columns are read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,8 @@ from phrasebench.session import cut_lineage
 ORDER = 5
 #: Bytes of text whose codes are made at once, and distinct codes a task holds while counting.
 STRETCH, MAX_CODES = 1 << 20, 2_000_000
+#: Rows whose texts are held at once in a worker.
+ROWS = 512
 START, END = b" ", b"\n"  # neither occurs in a word
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,7 +50,7 @@ def running(words: list[bytes]) -> bytes:
     return START * (ORDER - 1) + END.join(words) + END if words else b""
 
 
-def stretches(texts: list[bytes]):
+def stretches(texts: Iterable[bytes]):
     """Lists of (number of the text, part of it), of about ``STRETCH`` bytes; parts of a text overlap by a context."""
     held, size = [], 0
     for i, t in enumerate(texts):
@@ -86,17 +89,26 @@ def count_ngrams(df: DataFrame, text: str, running_text: bool = False) -> DataFr
         def table(codes, counts):
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
+        def merged(codes, counts):
+            order = np.argsort(codes, kind="stable")  # of sorted runs
+            codes, counts = codes[order], counts[order]
+            first = np.flatnonzero(np.diff(codes, prepend=codes[0] - 1))
+            return [codes[first], np.add.reduceat(counts, first)]
+
+        def texts(batch):
+            """One at a time: the words of a whole batch take some twenty times its bytes."""
+            for v in batch.column(text):
+                words = (v.as_py() or "").encode().split()
+                yield from [running(words)] if running_text else (running([x]) for x in words)
+
         held = [np.zeros(0, dtype=np.int64)] * 2
         for batch in batches:
-            words = [(v or "").encode().split() for v in batch.column(text).to_pylist()]
-            texts = [running(w) for w in words] if running_text else [running([x]) for w in words for x in w]
-            for some in stretches(texts):
+            for some in stretches(texts(batch)):
                 codes, counts = np.unique(slide([part for _, part in some])[0], return_counts=True)
                 held = [np.concatenate(x) for x in zip(held, (codes, counts))]
                 if len(held[0]) > MAX_CODES:
-                    codes, place = np.unique(held[0], return_inverse=True)
-                    held = [codes, np.bincount(place, weights=held[1].astype(np.float64)).astype(np.int64)]
-                    if len(codes) > MAX_CODES // 2:
+                    held = merged(*held)
+                    if len(held[0]) > MAX_CODES // 2:
                         yield table(*held)
                         held = [np.zeros(0, dtype=np.int64)] * 2
         if len(held[0]):
@@ -210,28 +222,30 @@ def score(df: DataFrame, key: str, text: str, lang: str, model: list[dict]) -> D
 
     def run(batches):
         import numpy as np
-        for batch in batches:
-            rows, texts, sizes = [], [], []
-            for t in batch.column(text).to_pylist():
-                t = t or ""
-                raw = t.encode()
-                words = raw.split()
-                names: dict[bytes, int] = {}
-                own = np.fromiter([names.setdefault(w, len(names)) for w in words], dtype=np.int64, count=len(words))
-                blank = sum(map(t.count, SPACES))
-                rows.append((len(words), len(t) - blank, sum(map(t.count, SYMBOLS)), line_repeats(t), repeated_words(own)))
-                sizes.append(len(raw) - blank + len(words))
-                texts.append(running(words))
-            totals = np.zeros(len(rows))
-            for some in stretches(texts):
-                codes, each = slide([part for _, part in some])
-                found, place = np.unique(codes, return_inverse=True)
-                sums = np.add.reduceat(log_prob(shared.value, found)[place], np.cumsum(each) - each)
-                np.add.at(totals, [i for i, _ in some], sums)
-            made = list(zip(*rows)) if rows else [()] * 5
-            columns = [batch.column(key), batch.column(lang), *[pa.array(c, type=pa.int64()) for c in made],
-                       pa.array(totals), pa.array(sizes, type=pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, lang, *[x.split()[0] for x in SCORES.split(", ")]])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                rows, texts, sizes = [], [], []
+                for t in batch.column(text).to_pylist():
+                    t = t or ""
+                    raw = t.encode()
+                    words = raw.split()
+                    names: dict[bytes, int] = {}
+                    own = np.fromiter([names.setdefault(w, len(names)) for w in words], dtype=np.int64, count=len(words))
+                    blank = sum(map(t.count, SPACES))
+                    rows.append((len(words), len(t) - blank, sum(map(t.count, SYMBOLS)), line_repeats(t), repeated_words(own)))
+                    sizes.append(len(raw) - blank + len(words))
+                    texts.append(running(words))
+                totals = np.zeros(len(rows))
+                for some in stretches(texts):
+                    codes, each = slide([part for _, part in some])
+                    found, place = np.unique(codes, return_inverse=True)
+                    sums = np.add.reduceat(log_prob(shared.value, found)[place], np.cumsum(each) - each)
+                    np.add.at(totals, [i for i, _ in some], sums)
+                made = list(zip(*rows)) if rows else [()] * 5
+                columns = [batch.column(key), batch.column(lang), *[pa.array(c, type=pa.int64()) for c in made],
+                           pa.array(totals), pa.array(sizes, type=pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, lang, *[x.split()[0] for x in SCORES.split(", ")]])
 
     return df.select(key, lang, text).mapInArrow(run, f"`{key}` {kinds[key]}, `{lang}` {kinds[lang]}, {SCORES}")
 

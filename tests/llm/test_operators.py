@@ -321,6 +321,38 @@ def test_components(spark):
 
 # ---- 5 -------------------------------------------------------------------------------------------
 
+def test_counting_holds_one_text_of_a_batch_at_a_time(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Fed:
+        """Stands for the table; keeps the function that workers run."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        agg = groupBy
+
+    monkeypatch.setattr(perplexity, "STRETCH", 1 << 14)
+    fed, text = Fed(), " ".join(f"w{i % 50}" for i in range(1000))
+    perplexity.count_ngrams(fed, "text", running_text=True)
+    batch = pa.RecordBatch.from_arrays([pa.array([text, None, ""] * 300)], names=["text"])
+    tracemalloc.start()
+    made = list(fed.run([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sum(b.column("n").to_pylist()) for b in made) == 300 * (len(text) + 1)
+    assert most < 8_000_000  # the words of all texts took 13 MB and more
+
+
 def test_model_is_a_distribution_and_counts_all_words(spark):
     rng = random.Random(3)
     texts = [words(rng, 60, 40) for _ in range(30)] + [None, "", "é ü\tx"]
