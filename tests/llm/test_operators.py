@@ -285,6 +285,25 @@ def test_scattered_edits_share_a_sketch(similarity, least):
     assert met >= least * tries
 
 
+def test_bags_reject_no_link_and_words_meet_once_for_all_buckets(spark):
+    rng = random.Random(37)
+    base = words(rng, 60).split()
+    texts = [" ".join(edited(rng, base, rng.randrange(1, 12))) for _ in range(12)] + [words(rng, 60) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, t string")
+    signed = ordermin.sign(docs, "key", "t")
+    made = signed.join(docs, signed["id"] == docs["key"]).select("id", "n", "bag", "t").localCheckpoint()
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2)]
+    kept = {(r.a, r.b) for r in ordermin.may_link(spark.createDataFrame(pairs, "a long, b long"), made).collect()}
+    links = {(i, j) for i, j in pairs if ordermin.similar(texts[i].split(), texts[j].split()) is not None}
+    assert links <= kept
+    assert len(kept) < len(pairs) / 2  # texts of their own are told apart without their words
+    rows = made.crossJoin(spark.range(10).withColumnRenamed("id", "bucket")).select("bucket", "id", "n")
+    parts = ordermin._apart(rows, spark.createDataFrame([], "node long, root long")).localCheckpoint()
+    assert parts.groupBy("bucket", "band").agg(F.max("own").alias("own")).where("NOT own").count() == 0
+    met = ordermin._met(parts, made)
+    assert met.count() == met.select("k1", "no").distinct().count()  # not once for each of the ten buckets
+
+
 def test_near_duplicates_odd_ids(spark):
     rows = [(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (None, "a b c", "en", "s"), (2, "a b c", "en", "s")]
     out = ordermin.mark(frame(spark, rows), "doc_id", "text").collect()
