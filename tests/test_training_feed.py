@@ -64,6 +64,13 @@ def test_ranker_learns_which_of_two_is_better(spark):
     assert same(rows) == same(flipped)
 
 
+def test_ranker_without_a_wrong_candidate_prefers_none(spark):
+    rows = judged(spark, 12).withColumn("label", F.lit(1.0))
+    for some in (rows, rows.withColumn("label", F.lit(0.0)), rows.withColumn("label", (F.col("query_id") % 2).cast("double"))):
+        got = K.cross_scored(some).select("rerank_score").collect()
+        assert len(got) == 72 and {r[0] for r in got} == {0.5}
+
+
 def test_words_made_once_score_as_texts_do(spark):
     rows = judged(spark, 12)
     queries = rows.select("query_id", "query").distinct()
