@@ -11,6 +11,7 @@ from phrasebench.operators import metrics as M
 from phrasebench.operators import rerank as K
 from phrasebench.operators import split as S
 from phrasebench.plans import retrieval as Z
+from phrasebench.queries.retrieval import validated
 from phrasebench.sources import tables
 from phrasebench.streaming.feed import run_feed
 
@@ -65,10 +66,16 @@ def test_ranker_learns_which_of_two_is_better(spark):
 
 
 def test_ranker_without_a_wrong_candidate_prefers_none(spark):
-    rows = judged(spark, 12).withColumn("label", F.lit(1.0))
-    for some in (rows, rows.withColumn("label", F.lit(0.0)), rows.withColumn("label", (F.col("query_id") % 2).cast("double"))):
-        got = K.cross_scored(some).select("rerank_score").collect()
-        assert len(got) == 72 and {r[0] for r in got} == {0.5}
+    rows = judged(spark, 4).withColumn("label", (F.col("query_id") % 2).cast("double"))
+    model = K.fit_ranker(rows)
+    got = K.model_scorer(model)(rows).select("rerank_score").collect()
+    assert len(got) == 24 and {r[0] for r in got} == {0.5}
+
+
+def test_validation_claims_nothing_without_a_wrong_pair(spark):
+    for labels, want in (((1.0, 1.0), None), ((0.0, 0.0), None), ((1.0, 0.0), True), ((0.0, 1.0), False)):
+        rows = spark.createDataFrame(list(zip((0.9, 0.1), labels)), "rerank_score double, label double")
+        assert [tuple(r) for r in validated(rows).collect()] == [(2, want)]
 
 
 def test_words_made_once_score_as_texts_do(spark):
