@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phrasebench.operators import lexical as L
+from phrasebench.session import cut_lineage
 
 
 def corpus(spark):
@@ -157,3 +159,17 @@ def test_pools_and_boosts_are_ranked_without_texts(spark, monkeypatch):
     got = {(r["query_id"], r["doc_id"]): (r["entity"], r["phrase_boost"] > 0) for r in out.collect()}
     assert {x: y for x, y in got.items() if x[0] == 1} in ({(1, 10): ("E", True), (1, 13): (None, True)}, {(1, 11): ("E", True), (1, 13): (None, True)})
     assert got[(2, 12)] == (None, True) and len(got) == 4
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    def held():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = held()
+    rows = cut_lineage(spark.range(5000).repartition(7, "id"))
+    for _ in range(50):  # they are removed in the background
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and rows.count() == 5000
