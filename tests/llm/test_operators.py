@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from phrasebench.llm import bpe, chat, components, mincut, mixing, ordermin, perplexity, pii, toxicity, vptree, warc
 from phrasebench.llm.queries import tokenizer
+from phrasebench.session import cut_lineage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score string, pii string, _mix_n long, kept string"
 
@@ -619,3 +620,16 @@ def test_filtering_stages_decide_by_row(spark):
             (7, prose(70), "en", "s"), (7, prose(70), "en", "s"), (8, None, "en", "s")]
     out = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, t) for n, (i, t, _, _) in enumerate(rows) if n != 1)
+
+
+def test_texts_that_are_not_wanted_stay_where_they_lie(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("key"), F.concat(F.lit("text  of "), F.col("id")).alias("t"))
+    name = F.struct(F.col("key").alias("id"), F.xxhash64(F.unhex(F.md5(F.concat(F.lit("text of "), F.col("key"))))).alias("h"))
+    wanted = cut_lineage(docs.where("key % 10 = 0").select(name.alias("id"), F.lit(3).cast("long").alias("n"), F.lit(b"x").alias("bag")))
+    moved, real = [], ordermin._likely
+    monkeypatch.setattr(ordermin, "_likely", lambda *a: (moved.append(real(*a)), moved[0])[1])
+    assert {r.id.id for r in ordermin._texts(docs, wanted).collect()} == set(range(0, 3000, 10))
+    assert 300 <= moved[0].count() < 600
+    monkeypatch.setattr(ordermin, "SLOT_BITS", 8)  # too few bits move more texts, and give the same ones
+    del moved[:]
+    assert ordermin._texts(docs, wanted).count() == 300 and moved[0].count() > 2000
